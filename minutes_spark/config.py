@@ -84,10 +84,11 @@ ALIAS_PRIORITY = {"manual": 3, "attendee_derived": 2, "speech_derived": 1}
 MIN_WORD_LENGTH = 2
 WORDS_KEPT, WORDS_SERVED, WORDS_SHOWN = 500, 200, 100
 TOKEN_LIMIT = 12_000
+PART_HEADING = ("## パート", "の要約\n")
 
 # --- End of fixed values -------------------------------------------------------------
 
 # Rows of one key are scanned in blocks so that no task has to hold a whole key.
 PAGES_PER_BLOCK = 1024
 ROWS_PER_BLOCK = 65_536
-SPEECHES_PER_BLOCK = 8_192
+SPEECHES_PER_BLOCK = 4_096
