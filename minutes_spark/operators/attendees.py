@@ -37,7 +37,7 @@ def attendee_sections(
 ) -> DataFrame:
     """Trimmed preamble lines with the ``section`` they stand in (NULL outside of any)."""
     lines = (
-        preamble_lines(pages)
+        preamble_lines(pages, pages_per_block=pages_per_block)
         .withColumn("line", trim_ws("line"))
         .filter(F.length("line") > 0)
     )
@@ -54,66 +54,60 @@ def attendee_sections(
     )
 
 
-def parse_councilor_lines(lines: DataFrame) -> DataFrame:
-    """Seat number and spaced name, several per line."""
+def parse_lines(lines: DataFrame, roles=config.ATTENDEE_ROLES) -> DataFrame:
+    """Attendees of section lines with ``line``, ``category`` and a boolean ``seated``.
+
+    A seated line holds seat numbers and spaced names. Any other line alternates roles and
+    names; the longest role at the leftmost position counts.
+    """
     cut = rf"([{CJK}][{WS}]*)(?=[０-９])"
     seat = rf"(?s)^.*?([０-９{WS}]+)番(.*)\z"
-    return (
-        lines.withColumn("_chunks", F.split(F.regexp_replace("line", cut, "$1\n"), "\n", -1))
-        .select("*", F.posexplode("_chunks").alias("pos", "_chunk"))
-        .withColumn("_chunk", trim_ws("_chunk"))
-        .filter(F.col("_chunk").rlike(seat))
-        .withColumn("_name", trim_ws(F.regexp_extract("_chunk", seat, 2)))
-        .withColumn("full_name", normalize_alias("_name"))
-        .filter(F.length("full_name") >= 2)
-        .withColumn("family_name", family_from_spaced("_name"))
-        .withColumn("role", F.lit(config.COUNCILOR_ROLE))
-        .withColumn(
-            "seat_number",
-            zen_to_han(normalize_alias(F.regexp_extract("_chunk", seat, 1))).try_cast("int"),
-        )
-        .drop("_chunks", "_chunk", "_name")
-    )
+    pattern = role_pattern(roles)
 
+    def entry(role, text):
+        return F.struct(role.alias("role"), text.alias("text"))
 
-def parse_official_lines(lines: DataFrame, roles=config.ATTENDEE_ROLES) -> DataFrame:
-    """Alternating roles and names; the longest role at the leftmost position counts."""
-    pattern = role_pattern(roles)
+    seats = F.transform(
+        F.split(F.regexp_replace("line", cut, "$1\n"), "\n", -1),
+        lambda text: entry(F.lit(config.COUNCILOR_ROLE), trim_ws(text)),
+    )
+    posts = F.zip_with(
+        F.regexp_extract_all("_compact", F.lit(f"({pattern})"), F.lit(1)),
+        F.slice(F.split("_compact", pattern, -1), 2, 2**31 - 1),
+        entry,
+    )
+    seated, text = F.col("seated"), F.col("_entry.text")
+    entries = (
+        lines.withColumn("_compact", F.when(~seated, normalize_alias("line")))
+        .withColumn("_entries", F.when(seated, seats).otherwise(posts))
+        .select(*lines.columns, F.posexplode("_entries").alias("pos", "_entry"))
+        .filter(~seated | text.rlike(seat))
+        .withColumn("role", F.col("_entry.role"))
+        .withColumn("_seat", F.when(seated, F.regexp_extract(text, seat, 1)))
+        .withColumn("_spaced", F.when(seated, trim_ws(F.regexp_extract(text, seat, 2))))
+        .withColumn("_raw", F.when(~seated, text))
+    )
     return (
-        with_person_name(
-            lines.withColumn("_compact", normalize_alias("line"))
-            .withColumn("_roles", F.regexp_extract_all("_compact", F.lit(f"({pattern})"), F.lit(1)))
-            .filter(F.size("_roles") > 0)
-            .withColumn("_names", F.slice(F.split("_compact", pattern, -1), 2, F.size("_roles")))
-            .select("*", F.posexplode(F.arrays_zip("_roles", "_names")).alias("pos", "_hit"))
-            .withColumn("role", F.col("_hit._roles"))
-            .withColumn("_raw", F.col("_hit._names")),
-            "_raw",
-            "full_name",
-            roles=roles,
-        )
+        with_person_name(entries, "_raw", "_person", roles=roles)
+        .withColumn("full_name", F.coalesce(normalize_alias("_spaced"), "_person"))
         .filter(F.length("full_name") >= 2)
-        .withColumn("family_name", family_from_compact("full_name"))
-        .withColumn("seat_number", F.lit(None).cast("int"))
-        .drop("_compact", "_roles", "_names", "_hit", "_raw")
+        .withColumn(
+            "family_name",
+            F.when(seated, family_from_spaced("_spaced")).otherwise(family_from_compact("_person")),
+        )
+        .withColumn("seat_number", zen_to_han(normalize_alias("_seat")).try_cast("int"))
+        .select(*COLUMNS)
     )
 
 
 def parse_attendees(pages: DataFrame, **options) -> DataFrame:
     """Attendees of each document; (page, line_no, pos) is their order in the list."""
-    lines = (
+    numbered = F.col("line").rlike("[０-９]") & F.contains("line", F.lit("番"))
+    return parse_lines(
         attendee_sections(pages, **options)
         .filter(F.col("section").isNotNull() & F.col("section_event").isNull())
         .withColumn("category", F.col("section"))
-        .withColumn(
-            "_seats",
-            (F.col("section") == "councilor") & F.col("line").rlike("[０-９]") & F.contains("line", F.lit("番")),
-        )
-    )
-    return (
-        parse_councilor_lines(lines.filter("_seats"))
-        .select(*COLUMNS)
-        .unionByName(parse_official_lines(lines.filter("not _seats")).select(*COLUMNS))
+        .withColumn("seated", (F.col("section") == "councilor") & numbered)
     )
 
 

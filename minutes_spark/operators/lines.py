@@ -1,9 +1,10 @@
 """Pages to lines, preamble and page assembly."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
 from ..functions.text import is_page_number, is_separator, ltrim_ws, rtrim_ws
+from .scan import blocks_of
 
 
 def raw_lines(pages: DataFrame) -> DataFrame:
@@ -26,34 +27,38 @@ def content_lines(pages: DataFrame) -> DataFrame:
     return flatten_pages(pages).filter(~is_separator("line"))
 
 
-def preamble_lines(pages: DataFrame, marker=config.MARKER) -> DataFrame:
+def preamble_lines(
+    pages: DataFrame, marker=config.MARKER, pages_per_block=config.PAGES_PER_BLOCK
+) -> DataFrame:
     """Lines before a document's first marker line; documents without one give nothing.
 
-    The first marker is found on the page rows, so the pages after it are never split.
+    Each page is cut at its first marker before anything is shuffled. Documents of up to
+    ``pages_per_block`` pages are compared within one window, others by a grouped minimum.
     """
-    ends = pages.withColumn(
-        "_end",
-        F.array_position(
-            F.transform(
-                F.split("text", "\n", -1), lambda line: ltrim_ws(line).startswith(marker)
+    lines = F.split("text", "\n", -1)
+    marked = F.transform(lines, lambda line: ltrim_ws(line).startswith(marker))
+    heads = (
+        pages.withColumn("_lines", lines)
+        .withColumn("_at", F.array_position(marked, True))
+        .withColumn(
+            "_lines",
+            F.when(F.col("_at") > 0, F.slice("_lines", F.lit(1), F.col("_at") - 1)).otherwise(
+                F.col("_lines")
             ),
-            True,
         )
-        - 1,
+        .withColumn("_stop", F.when(F.col("_at") > 0, F.col("page")))
+        .drop("text", "_at")
     )
-    first = (
-        ends.filter(F.col("_end") >= 0)
-        .groupBy("document_id")
-        .agg(F.min(F.struct("page", "_end")).alias("_stop"))
-    )
-    return (
-        raw_lines(
-            pages.join(first, "document_id").filter(F.col("page") <= F.col("_stop.page"))
-        )
-        .filter(
-            (F.col("page") < F.col("_stop.page")) | (F.col("line_no") < F.col("_stop._end"))
-        )
-        .drop("_stop")
+    if blocks_of(pages, "page", pages_per_block) is None:
+        first = F.min("_stop").over(Window.partitionBy("document_id"))
+        heads = heads.withColumn("_first", first)
+    else:
+        stops = heads.filter(F.col("_stop").isNotNull())
+        stops = stops.groupBy("document_id").agg(F.min("_stop").alias("_first"))
+        heads = heads.join(stops, "document_id")
+    return heads.filter(F.col("page") <= F.col("_first")).select(
+        *[c for c in pages.columns if c != "text"],
+        F.posexplode("_lines").alias("line_no", "line"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
 from ..functions.text import normalize_alias, prefixes, speaker_role
@@ -122,18 +122,14 @@ def alias_history(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
                 ).drop("row")
             )
         )
-    spans = []
-    for owner, taker in zip(owners, [*owners[1:], None]):
-        if taker is None:
-            span = owner.withColumn("valid_to", F.lit(None).cast(rows.schema["ordinal"].dataType))
-        else:
-            span = owner.join(
-                taker.select(*key, F.col("row.ordinal").alias("valid_to")), key, "left"
-            )
-        spans.append(span)
-    return reduce(DataFrame.unionByName, spans).select(
-        *key, "row.speaker_id", "row.alias_raw", "row.alias_type", "row.confidence",
-        F.col("row.ordinal").alias("valid_from"), "valid_to",
+    taken = Window.partitionBy(*key).orderBy("row.ordinal")
+    return (
+        reduce(DataFrame.unionByName, owners)
+        .withColumn("valid_to", F.lead("row.ordinal").over(taken))
+        .select(
+            *key, "row.speaker_id", "row.alias_raw", "row.alias_type", "row.confidence",
+            F.col("row.ordinal").alias("valid_from"), "valid_to",
+        )
     )
 
 

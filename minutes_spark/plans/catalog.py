@@ -17,6 +17,7 @@ from ..functions.names import (
 from ..operators import attendees as A, lines as L, links, resolve, speakers as S, speeches as P
 from ..operators import state as H, summaries as G, words as W
 from ..sources import adapters as V, tables
+from ..sources.tables import durable
 from . import marts as M
 
 QUERIES = {}
@@ -31,7 +32,7 @@ def query(build):
 
 def _mart(name, build, *flat):
     def run(spark, root):
-        df = build(V.minutes(spark, root))
+        df = build(V.Minutes(spark, root))
         for column in df.columns:
             if column in ("created_at",):
                 df = df.withColumn(column, F.col(column).cast("string"))
@@ -71,14 +72,14 @@ _mart("parsed_documents", M.parsed_documents)
 @query
 def municipality_by_id(spark, root):
     used = V.documents(spark, root).select("municipality_id")
-    return M.municipality_by_id(V.minutes(spark, root), used)
+    return M.municipality_by_id(V.Minutes(spark, root), used)
 
 
 @query
 def unsummarized_documents(spark, root):
-    t = V.minutes(spark, root)
+    t = V.Minutes(spark, root)
     written = t.summaries.filter(F.col("topics").isNotNull())
-    left = M.unsummarized_documents(type(t)(**{**vars(t), "summaries": written}))
+    left = M.unsummarized_documents(t.with_tables(summaries=written))
     return left.withColumn("created_at", F.col("created_at").cast("string"))
 
 
@@ -137,16 +138,19 @@ def parse_attendees(spark, root):
     return A.parse_attendees(V.page_texts(spark, root))
 
 
+def _lines_as(spark, root, category, seated):
+    lines = L.preamble_lines(V.page_texts(spark, root))
+    return A.parse_lines(lines.withColumns({"category": F.lit(category), "seated": F.lit(seated)}))
+
+
 @query
 def councilor_lines(spark, root):
-    lines = L.preamble_lines(V.page_texts(spark, root)).withColumn("category", F.lit("councilor"))
-    return A.parse_councilor_lines(lines).select(*A.COLUMNS)
+    return _lines_as(spark, root, "councilor", True)
 
 
 @query
 def official_lines(spark, root):
-    lines = L.preamble_lines(V.page_texts(spark, root)).withColumn("category", F.lit("executive"))
-    return A.parse_official_lines(lines).select(*A.COLUMNS)
+    return _lines_as(spark, root, "executive", False)
 
 
 def _people(spark, root):
@@ -244,8 +248,10 @@ def _documents(spark, root):
 
 
 def _attendees(spark, root):
-    return S.with_speaker_ids(
-        A.parse_attendees(V.page_texts(spark, root)), _documents(spark, root)
+    """Attendees with speaker ids, written once because several steps read them."""
+    return durable(
+        S.with_speaker_ids(A.parse_attendees(V.page_texts(spark, root)), _documents(spark, root)),
+        "attendees",
     )
 
 
@@ -301,10 +307,9 @@ def _stored_aliases(spark, root):
     )
 
 
-def _history(spark, root):
-    return S.alias_history(
-        _stored_aliases(spark, root), S.derive_aliases(_attendees(spark, root))
-    )
+def _history(spark, root, attendees):
+    stored = _stored_aliases(spark, root)
+    return durable(S.alias_history(stored, S.derive_aliases(attendees)), "aliases")
 
 
 @query
@@ -323,16 +328,17 @@ def alias_dictionary(spark, root):
 @query
 def resolve_names(spark, root):
     speeches = P.parse_speeches(V.page_texts(spark, root))
-    names = resolve.speech_names(speeches, _documents(spark, root))
-    return resolve.resolve_names(names, _attendees(spark, root), _history(spark, root)).drop(
-        "created_at"
-    )
+    names = durable(resolve.speech_names(speeches, _documents(spark, root)), "names")
+    attendees = _attendees(spark, root)
+    history = _history(spark, root, attendees)
+    return resolve.resolve_names(names, attendees, history).drop("created_at")
 
 
 def _resolved(spark, root):
+    attendees = _attendees(spark, root)
     return resolve.resolve_speakers(
         P.parse_speeches(V.page_texts(spark, root)),
-        _documents(spark, root), _attendees(spark, root), _history(spark, root),
+        _documents(spark, root), attendees, _history(spark, root, attendees),
     )
 
 

@@ -318,7 +318,7 @@ def parsed_documents(t, limit=None) -> DataFrame:
 def unsummarized_documents(t, limit=None) -> DataFrame:
     """Parsed documents that have no summary yet, oldest first."""
     left = t.documents.join(t.summaries.select("document_id"), "document_id", "left_anti")
-    return parsed_documents(type(t)(**{**vars(t), "documents": left}), limit)
+    return parsed_documents(t.with_tables(documents=left), limit)
 
 
 def speeches_to_summarize(t, documents: DataFrame) -> DataFrame:

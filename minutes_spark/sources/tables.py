@@ -1,5 +1,8 @@
 """Table reads and writes, document files."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -49,6 +52,19 @@ def replace_partitions(df: DataFrame, path: str, partitioned_by) -> None:
     )
 
 
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and go on from the files.
+
+    For results that several later steps read: they are computed once, survive lost
+    executors, and come back with known sizes.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scan_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]") -> DataFrame:
     """Files below ``path`` with name, content, size and time."""
     return (
