@@ -71,9 +71,10 @@ def parse_lines(lines: DataFrame, roles=config.ATTENDEE_ROLES) -> DataFrame:
         F.split(F.regexp_replace("line", cut, "$1\n"), "\n", -1),
         lambda text: entry(F.lit(config.COUNCILOR_ROLE), trim_ws(text)),
     )
+    between = F.split("_compact", pattern, -1)
     posts = F.zip_with(
         F.regexp_extract_all("_compact", F.lit(f"({pattern})"), F.lit(1)),
-        F.slice(F.split("_compact", pattern, -1), 2, 2**31 - 1),
+        F.slice(between, F.lit(2), F.size(between)),
         entry,
     )
     seated, text = F.col("seated"), F.col("_entry.text")
