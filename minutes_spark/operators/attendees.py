@@ -11,7 +11,7 @@ from ..functions.names import (
 )
 from ..functions.text import CJK, WS, normalize_alias, trim_ws, zen_to_han
 from .lines import preamble_lines
-from .scan import BLOCK, MULTI, blocks_of, running
+from .scan import BLOCK, MULTI, PROBE, page_blocks, running
 
 NO_SECTION = "-"
 COLUMNS = (
@@ -33,11 +33,12 @@ def with_section_event(lines: DataFrame, headers=config.SECTION_HEADERS) -> Data
 
 
 def attendee_sections(
-    pages: DataFrame, headers=config.SECTION_HEADERS, pages_per_block=config.PAGES_PER_BLOCK
+    pages: DataFrame, headers=config.SECTION_HEADERS, block=PROBE
 ) -> DataFrame:
     """Trimmed preamble lines with the ``section`` they stand in (NULL outside of any)."""
+    block = page_blocks(pages, block)
     lines = (
-        preamble_lines(pages, pages_per_block=pages_per_block)
+        preamble_lines(pages, block=block)
         .withColumn("line", trim_ws("line"))
         .filter(F.length("line") > 0)
     )
@@ -46,7 +47,7 @@ def attendee_sections(
             with_section_event(lines, headers),
             ["document_id"],
             ["page", "line_no"],
-            blocks_of(pages, "page", pages_per_block),
+            block,
             lasts={"section": "section_event"},
         )
         .withColumn("section", F.nullif("section", F.lit(NO_SECTION)))

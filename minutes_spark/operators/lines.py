@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
 from ..functions.text import is_page_number, is_separator, ltrim_ws, rtrim_ws
-from .scan import blocks_of
+from .scan import PROBE, page_blocks
 
 
 def raw_lines(pages: DataFrame) -> DataFrame:
@@ -27,13 +27,11 @@ def content_lines(pages: DataFrame) -> DataFrame:
     return flatten_pages(pages).filter(~is_separator("line"))
 
 
-def preamble_lines(
-    pages: DataFrame, marker=config.MARKER, pages_per_block=config.PAGES_PER_BLOCK
-) -> DataFrame:
+def preamble_lines(pages: DataFrame, marker=config.MARKER, block=PROBE) -> DataFrame:
     """Lines before a document's first marker line; documents without one give nothing.
 
-    Each page is cut at its first marker before anything is shuffled. Documents of up to
-    ``pages_per_block`` pages are compared within one window, others by a grouped minimum.
+    Each page is cut at its first marker before anything is shuffled. Short documents are
+    compared within one window, long ones (see ``page_blocks``) by a grouped minimum.
     """
     lines = F.split("text", "\n", -1)
     marked = F.transform(lines, lambda line: ltrim_ws(line).startswith(marker))
@@ -49,7 +47,7 @@ def preamble_lines(
         .withColumn("_stop", F.when(F.col("_at") > 0, F.col("page")))
         .drop("text", "_at")
     )
-    if blocks_of(pages, "page", pages_per_block) is None:
+    if page_blocks(pages, block) is None:
         first = F.min("_stop").over(Window.partitionBy("document_id"))
         heads = heads.withColumn("_first", first)
     else:

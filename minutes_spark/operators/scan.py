@@ -2,10 +2,22 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import config
+
 BLOCK = "_block"
 MULTI = "_multi_block"
 
 
+PROBE = "probe"
+
+
+def page_blocks(pages: DataFrame, block=PROBE) -> Column | None:
+    """``block`` if it is given, otherwise what the pages themselves ask for."""
+    if isinstance(block, str) and block == PROBE:
+        return blocks_of(pages, "page", config.PAGES_PER_BLOCK)
+    return block
+
+
 def blocks_of(df: DataFrame, column: str, size: int) -> Column | None:
     """Block number ``column / size``, or None when no row lies beyond the first block.
 

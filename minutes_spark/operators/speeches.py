@@ -6,7 +6,7 @@ from .. import config
 from ..functions.names import with_speaker_match, with_speaker_name
 from ..functions.text import trim_ws
 from .lines import content_lines
-from .scan import BLOCK, MULTI, blocks_of, numbered, running
+from .scan import BLOCK, MULTI, PROBE, numbered, page_blocks, running
 
 
 def segment(lines: DataFrame, block: Column | None = None) -> DataFrame:
@@ -14,7 +14,7 @@ def segment(lines: DataFrame, block: Column | None = None) -> DataFrame:
 
     ``lines`` has ``document_id, page, line_no, line``, a boolean ``is_marker`` and, on marker
     lines, ``speaker_name_raw`` and ``rest``. Lines before the first marker and segments
-    without text are dropped. With ``block`` (from ``blocks_of`` on the pages) long documents
+    without text are dropped. With ``block`` (see ``page_blocks``) long documents
     are cut into blocks and only their speeches are put together in a second step; all other
     documents are shuffled once.
     """
@@ -93,17 +93,13 @@ def speaker_lines(pages: DataFrame, roles=config.SPEECH_ROLES) -> DataFrame:
     return lines.withColumn("is_marker", F.col("speaker_name_raw").isNotNull())
 
 
-def parse_speeches(
-    pages: DataFrame, roles=config.SPEECH_ROLES, pages_per_block=config.PAGES_PER_BLOCK
-) -> DataFrame:
+def parse_speeches(pages: DataFrame, roles=config.SPEECH_ROLES, block=PROBE) -> DataFrame:
     """Speeches of all documents, numbered from 0 in each."""
-    block = blocks_of(pages, "page", pages_per_block)
-    return with_speaker_name(segment(speaker_lines(pages, roles), block), roles=roles)
+    speeches = segment(speaker_lines(pages, roles), page_blocks(pages, block))
+    return with_speaker_name(speeches, roles=roles)
 
 
-def segment_by_marker(
-    pages: DataFrame, marker: str, pages_per_block=config.PAGES_PER_BLOCK
-) -> DataFrame:
+def segment_by_marker(pages: DataFrame, marker: str, block=PROBE) -> DataFrame:
     """Segmentation by a regex instead of the speaker rules; a marker line is text as well."""
     marked = (
         content_lines(pages)
@@ -111,5 +107,4 @@ def segment_by_marker(
         .withColumn("speaker_name_raw", F.lit(""))
         .withColumn("rest", F.col("line"))
     )
-    block = blocks_of(pages, "page", pages_per_block)
-    return segment(marked, block).drop("speaker_name_raw")
+    return segment(marked, page_blocks(pages, block)).drop("speaker_name_raw")

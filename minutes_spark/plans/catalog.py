@@ -120,26 +120,26 @@ def speaker_name_split(spark, root):
 
 @query
 def segment_speeches(spark, root):
-    return P.parse_speeches(V.page_texts(spark, root))
+    return P.parse_speeches(V.page_texts(spark, root), block=V.page_text_block(spark, root))
 
 
 @query
 def preamble_lines(spark, root):
-    return L.preamble_lines(V.page_texts(spark, root))
+    return L.preamble_lines(V.page_texts(spark, root), block=V.page_text_block(spark, root))
 
 
 @query
 def section_forward_fill(spark, root):
-    return A.attendee_sections(V.page_texts(spark, root))
+    return A.attendee_sections(V.page_texts(spark, root), block=V.page_text_block(spark, root))
 
 
 @query
 def parse_attendees(spark, root):
-    return A.parse_attendees(V.page_texts(spark, root))
+    return A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root))
 
 
 def _lines_as(spark, root, category, seated):
-    lines = L.preamble_lines(V.page_texts(spark, root))
+    lines = L.preamble_lines(V.page_texts(spark, root), block=V.page_text_block(spark, root))
     return A.parse_lines(lines.withColumns({"category": F.lit(category), "seated": F.lit(seated)}))
 
 
@@ -191,7 +191,7 @@ def family_name(spark, root):
 
 @query
 def suspicious_attendees(spark, root):
-    return A.suspicious_attendees(A.parse_attendees(V.page_texts(spark, root)), longest=3)
+    return A.suspicious_attendees(A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)), longest=3)
 
 
 @query
@@ -203,14 +203,14 @@ def normalize_alias(spark, root):
 
 @query
 def zen_to_han(spark, root):
-    return L.preamble_lines(V.page_texts(spark, root)).select(
+    return L.preamble_lines(V.page_texts(spark, root), block=V.page_text_block(spark, root)).select(
         "document_id", "line_no", X.zen_to_han("line").alias("line")
     )
 
 
 @query
 def role_map(spark, root):
-    roles = A.parse_attendees(V.page_texts(spark, root)).groupBy("role").agg(F.count("*").alias("n"))
+    roles = A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)).groupBy("role").agg(F.count("*").alias("n"))
     return roles.withColumn("code", X.speaker_role("role"))
 
 
@@ -250,7 +250,7 @@ def _documents(spark, root):
 def _attendees(spark, root):
     """Attendees with speaker ids, written once because several steps read them."""
     return durable(
-        S.with_speaker_ids(A.parse_attendees(V.page_texts(spark, root)), _documents(spark, root)),
+        S.with_speaker_ids(A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)), _documents(spark, root)),
         "attendees",
     )
 
@@ -278,7 +278,7 @@ def speaker_upsert(spark, root):
 
 @query
 def unique_family_names(spark, root):
-    return A.unique_families(A.parse_attendees(V.page_texts(spark, root)))
+    return A.unique_families(A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)))
 
 
 @query
@@ -327,7 +327,7 @@ def alias_dictionary(spark, root):
 
 @query
 def resolve_names(spark, root):
-    speeches = P.parse_speeches(V.page_texts(spark, root))
+    speeches = P.parse_speeches(V.page_texts(spark, root), block=V.page_text_block(spark, root))
     names = durable(resolve.speech_names(speeches, _documents(spark, root)), "names")
     attendees = _attendees(spark, root)
     history = _history(spark, root, attendees)
@@ -337,7 +337,7 @@ def resolve_names(spark, root):
 def _resolved(spark, root):
     attendees = _attendees(spark, root)
     return resolve.resolve_speakers(
-        P.parse_speeches(V.page_texts(spark, root)),
+        P.parse_speeches(V.page_texts(spark, root), block=V.page_text_block(spark, root)),
         _documents(spark, root), attendees, _history(spark, root, attendees),
     )
 

@@ -263,6 +263,23 @@ def page_texts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_LONGEST = {}
+
+
+def page_text_block(spark: SparkSession, root: str):
+    """Block column for ``page_texts``, or None if no document is long.
+
+    The longest document is looked up once per root. A stale answer would cost time but could
+    not change any result.
+    """
+    if root not in _LONGEST:
+        counts = table(spark, root, "lineitem").groupBy("l_orderkey").count()
+        _LONGEST[root] = counts.agg(F.max("count")).first()[0] or 0
+    if _LONGEST[root] + 2 <= config.PAGES_PER_BLOCK:
+        return None
+    return F.floor(F.col("page") / config.PAGES_PER_BLOCK)
+
+
 # --- Text views ------------------------------------------------------------------------
 
 
