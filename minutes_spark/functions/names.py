@@ -174,4 +174,5 @@ def family_from_compact(c, single=config.ONE_CHAR_FAMILY_NAMES) -> Column:
 
 def role_pattern(roles=config.ATTENDEE_ROLES) -> str:
     """Alternation that prefers the longest role at a position."""
-    return "|".join(_longest_first(roles))
+    firsts = "".join(sorted({role[0] for role in roles}))
+    return f"(?=[{firsts}])(?:{'|'.join(_longest_first(roles))})"

@@ -15,7 +15,7 @@ _WS_CODES = (
 )
 WS_CHARS = "".join(map(chr, _WS_CODES))
 # The same set as the inside of a Java regex character class.
-WS = "".join(f"\\u{code:04X}" for code in _WS_CODES)
+WS = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 CJK = r"\p{IsHan}\p{IsKatakana}\p{IsHiragana}"
 
 
@@ -45,8 +45,9 @@ def zen_to_han(c) -> Column:
     return F.translate(col(c), "０１２３４５６７８９", "0123456789")
 
 
-def is_page_number(c) -> Column:
-    return trim_ws(c).rlike(r"^[0-9]+\z")
+def is_blank_or_number(c) -> Column:
+    """Lines that hold nothing, or a page number only."""
+    return col(c).rlike(rf"^[{WS}]*+[0-9]*+[{WS}]*+\z")
 
 
 def is_separator(c) -> Column:

@@ -11,7 +11,7 @@ from ..functions.names import (
 )
 from ..functions.text import CJK, WS, normalize_alias, trim_ws, zen_to_han
 from .lines import preamble_lines
-from .scan import BLOCK, MULTI, PROBE, page_blocks, running
+from .scan import BLOCK, MULTI, PROBE, kept, page_blocks, running
 
 NO_SECTION = "-"
 COLUMNS = (
@@ -90,9 +90,12 @@ def parse_lines(lines: DataFrame, roles=config.ATTENDEE_ROLES) -> DataFrame:
         .withColumn("_raw", F.when(~seated, text))
     )
     return (
-        with_person_name(entries, "_raw", "_person", roles=roles)
-        .withColumn("full_name", F.coalesce(normalize_alias("_spaced"), "_person"))
-        .filter(F.length("full_name") >= 2)
+        kept(
+            with_person_name(entries, "_raw", "_person", roles=roles).withColumn(
+                "full_name", F.coalesce(normalize_alias("_spaced"), "_person")
+            ),
+            F.length("full_name") >= 2,
+        )
         .withColumn(
             "family_name",
             F.when(seated, family_from_spaced("_spaced")).otherwise(family_from_compact("_person")),

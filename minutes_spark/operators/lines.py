@@ -3,23 +3,24 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
-from ..functions.text import is_page_number, is_separator, ltrim_ws, rtrim_ws
+from ..functions.text import is_blank_or_number, is_separator, ltrim_ws, rtrim_ws
 from .scan import PROBE, page_blocks
 
 
 def raw_lines(pages: DataFrame) -> DataFrame:
     """Every line of every page: the page's other columns, ``line_no`` and ``line``."""
     rest = [c for c in pages.columns if c != "text"]
-    return pages.select(*rest, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return pages.select(
+        *rest, F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")
+    ).filter(F.col("line").isNotNull())
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
     """Lines without page numbers and blank lines; trailing whitespace is cut."""
     return (
         raw_lines(pages)
-        .filter(~is_page_number("line"))
+        .filter(~is_blank_or_number("line"))
         .withColumn("line", rtrim_ws("line"))
-        .filter(F.length("line") > 0)
     )
 
 
@@ -56,8 +57,8 @@ def preamble_lines(pages: DataFrame, marker=config.MARKER, block=PROBE) -> DataF
         heads = heads.join(stops, "document_id")
     return heads.filter(F.col("page") <= F.col("_first")).select(
         *[c for c in pages.columns if c != "text"],
-        F.posexplode("_lines").alias("line_no", "line"),
-    )
+        F.posexplode_outer("_lines").alias("line_no", "line"),
+    ).filter(F.col("line").isNotNull())
 
 
 def reconstruct_pages(items: DataFrame, gap=2.0) -> DataFrame:

@@ -15,7 +15,10 @@ _NAME = ["document_id", "name_norm"]
 
 
 def speech_names(speeches: DataFrame, documents: DataFrame) -> DataFrame:
-    """Distinct normalised names per document, with what is needed to look up aliases."""
+    """Distinct normalised names per document, with what is needed to look up aliases.
+
+    ``speeches`` may also be the ``named_lines`` of the pages, which come without a shuffle.
+    """
     return (
         speeches.select("document_id", normalize_alias("speaker_name").alias("name_norm"))
         .distinct()
@@ -150,10 +153,15 @@ def resolve_names(names: DataFrame, attendees: DataFrame, aliases: DataFrame) ->
 
 
 def resolve_speakers(
-    speeches: DataFrame, documents: DataFrame, attendees: DataFrame, aliases: DataFrame
+    speeches: DataFrame, documents: DataFrame, attendees: DataFrame, aliases: DataFrame, names=None
 ) -> DataFrame:
-    """Speech rows with their speaker; ``confidence`` is the resolver's."""
-    resolved = resolve_names(speech_names(speeches, documents), attendees, aliases)
+    """Speech rows with their speaker; ``confidence`` is the resolver's.
+
+    ``names`` (from ``speech_names``) saves a second pass over derived speeches.
+    """
+    if names is None:
+        names = speech_names(speeches, documents)
+    resolved = resolve_names(names, attendees, aliases)
     return (
         speeches.withColumn("name_norm", normalize_alias("speaker_name"))
         .join(resolved.drop("municipality_id", "created_at"), _NAME, "left")

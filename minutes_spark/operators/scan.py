@@ -18,6 +18,16 @@ def page_blocks(pages: DataFrame, block=PROBE) -> Column | None:
     return block
 
 
+def kept(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter that stays above the projections it reads.
+
+    A plain filter is pushed down with its columns written out in full, so a condition on the
+    last of several dependent columns would compute all of them many times over.
+    """
+    rows = F.when(condition, F.array(F.struct(*df.columns)))
+    return df.select(F.inline_outer(rows)).filter(F.col(df.columns[0]).isNotNull())
+
+
 def blocks_of(df: DataFrame, column: str, size: int) -> Column | None:
     """Block number ``column / size``, or None when no row lies beyond the first block.
 

@@ -6,7 +6,7 @@ from .. import config
 from ..functions.names import with_speaker_match, with_speaker_name
 from ..functions.text import trim_ws
 from .lines import content_lines
-from .scan import BLOCK, MULTI, PROBE, numbered, page_blocks, running
+from .scan import BLOCK, MULTI, PROBE, kept, numbered, page_blocks, running
 
 
 def segment(lines: DataFrame, block: Column | None = None) -> DataFrame:
@@ -93,6 +93,15 @@ def speaker_lines(pages: DataFrame, roles=config.SPEECH_ROLES) -> DataFrame:
     return lines.withColumn("is_marker", F.col("speaker_name_raw").isNotNull())
 
 
+def named_lines(pages: DataFrame, roles=config.SPEECH_ROLES, marker=config.MARKER) -> DataFrame:
+    """Only the lines that name a speaker, with the name split; nothing is shuffled."""
+    marked = content_lines(pages).filter(F.col("line").startswith(marker))
+    named = with_speaker_match(marked, roles=roles, marker=marker)
+    return with_speaker_name(
+        kept(named, F.col("speaker_name_raw").isNotNull()), roles=roles
+    )
+
+
 def parse_speeches(pages: DataFrame, roles=config.SPEECH_ROLES, block=PROBE) -> DataFrame:
     """Speeches of all documents, numbered from 0 in each."""
     speeches = segment(speaker_lines(pages, roles), page_blocks(pages, block))

@@ -12,7 +12,7 @@ from ..functions.names import (
     family_from_compact,
     family_from_spaced,
     with_person_name,
-    with_speaker_name,
+    with_speaker_match,
 )
 from ..operators import attendees as A, lines as L, links, resolve, speakers as S, speeches as P
 from ..operators import state as H, summaries as G, words as W
@@ -86,6 +86,18 @@ def unsummarized_documents(spark, root):
 # --- Text and parsing -------------------------------------------------------------------
 
 
+def _speeches(spark, root):
+    return P.parse_speeches(V.page_texts(spark, root), block=V.page_text_block(spark, root))
+
+
+def _preamble(spark, root):
+    return L.preamble_lines(V.page_texts(spark, root), block=V.page_text_block(spark, root))
+
+
+def _listed(spark, root):
+    return A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root))
+
+
 @query
 def flatten_lines(spark, root):
     return L.flatten_pages(V.document_pages(spark, root)).drop("page")
@@ -105,27 +117,27 @@ def segment_by_marker(spark, root):
 
 @query
 def speaker_line_match(spark, root):
-    return P.speaker_lines(V.page_texts(spark, root)).filter(
+    lines = L.content_lines(V.page_texts(spark, root)).filter(
         F.col("line").startswith(config.MARKER)
-    ).drop("is_marker")
+    )
+    return with_speaker_match(lines)
 
 
 @query
 def speaker_name_split(spark, root):
-    named = P.speaker_lines(V.page_texts(spark, root)).filter("is_marker")
-    return with_speaker_name(named.select("speaker_name_raw")).groupBy(
+    return P.named_lines(V.page_texts(spark, root)).groupBy(
         "speaker_name_raw", "speaker_name", "speaker_role", "parse_confidence"
     ).agg(F.count("*").alias("lines"))
 
 
 @query
 def segment_speeches(spark, root):
-    return P.parse_speeches(V.page_texts(spark, root), block=V.page_text_block(spark, root))
+    return _speeches(spark, root)
 
 
 @query
 def preamble_lines(spark, root):
-    return L.preamble_lines(V.page_texts(spark, root), block=V.page_text_block(spark, root))
+    return _preamble(spark, root)
 
 
 @query
@@ -135,11 +147,11 @@ def section_forward_fill(spark, root):
 
 @query
 def parse_attendees(spark, root):
-    return A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root))
+    return _listed(spark, root)
 
 
 def _lines_as(spark, root, category, seated):
-    lines = L.preamble_lines(V.page_texts(spark, root), block=V.page_text_block(spark, root))
+    lines = _preamble(spark, root)
     return A.parse_lines(lines.withColumns({"category": F.lit(category), "seated": F.lit(seated)}))
 
 
@@ -191,7 +203,7 @@ def family_name(spark, root):
 
 @query
 def suspicious_attendees(spark, root):
-    return A.suspicious_attendees(A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)), longest=3)
+    return A.suspicious_attendees(_listed(spark, root), longest=3)
 
 
 @query
@@ -203,14 +215,14 @@ def normalize_alias(spark, root):
 
 @query
 def zen_to_han(spark, root):
-    return L.preamble_lines(V.page_texts(spark, root), block=V.page_text_block(spark, root)).select(
+    return _preamble(spark, root).select(
         "document_id", "line_no", X.zen_to_han("line").alias("line")
     )
 
 
 @query
 def role_map(spark, root):
-    roles = A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)).groupBy("role").agg(F.count("*").alias("n"))
+    roles = _listed(spark, root).groupBy("role").agg(F.count("*").alias("n"))
     return roles.withColumn("code", X.speaker_role("role"))
 
 
@@ -250,7 +262,7 @@ def _documents(spark, root):
 def _attendees(spark, root):
     """Attendees with speaker ids, written once because several steps read them."""
     return durable(
-        S.with_speaker_ids(A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)), _documents(spark, root)),
+        S.with_speaker_ids(_listed(spark, root), _documents(spark, root)),
         "attendees",
     )
 
@@ -278,7 +290,7 @@ def speaker_upsert(spark, root):
 
 @query
 def unique_family_names(spark, root):
-    return A.unique_families(A.parse_attendees(V.page_texts(spark, root), block=V.page_text_block(spark, root)))
+    return A.unique_families(_listed(spark, root))
 
 
 @query
@@ -325,20 +337,23 @@ def alias_dictionary(spark, root):
     return S.alias_dictionary(merged).select("municipality_id", "alias_norm", "speaker_id")
 
 
+def _names(spark, root):
+    lines = P.named_lines(V.page_texts(spark, root))
+    return durable(resolve.speech_names(lines, _documents(spark, root)), "names")
+
+
 @query
 def resolve_names(spark, root):
-    speeches = P.parse_speeches(V.page_texts(spark, root), block=V.page_text_block(spark, root))
-    names = durable(resolve.speech_names(speeches, _documents(spark, root)), "names")
     attendees = _attendees(spark, root)
     history = _history(spark, root, attendees)
-    return resolve.resolve_names(names, attendees, history).drop("created_at")
+    return resolve.resolve_names(_names(spark, root), attendees, history).drop("created_at")
 
 
 def _resolved(spark, root):
     attendees = _attendees(spark, root)
     return resolve.resolve_speakers(
-        P.parse_speeches(V.page_texts(spark, root), block=V.page_text_block(spark, root)),
-        _documents(spark, root), attendees, _history(spark, root, attendees),
+        _speeches(spark, root), _documents(spark, root), attendees,
+        _history(spark, root, attendees), _names(spark, root),
     )
 
 

@@ -183,52 +183,54 @@ def _name(number):
 
 
 _PERSON = [f"(key * 3 + {37 * at}) % 1000" for at in range(4)] + ["(key * 3 + 1) % 1000"]
-_LETTERS = "ABCDEFGHIJKLMNOPQRST"
 
-# The letters A-D stand for the four characters of the first name, E-H for the second, ...
+
+def _spaced(name):
+    return " || ' ' || ".join(f"substr({name}, {at}, 1)" for at in range(1, 5))
+
+
 PREAMBLE_STAGES = (
     {f"n{at}": _name(number) for at, number in enumerate(_PERSON)},
     {
-        "members": """CASE WHEN status = 'P' THEN
+        "members": f"""CASE WHEN status = 'P' THEN
             '２．出席委員は次のとおりである。（３名）' || chr(10) ||
-            '委員長ABCD副委員長EFGH' || chr(10) || '委員QRST'
+            '委員長' || n0 || '副委員長' || n1 || chr(10) || '委員' || n4
         ELSE '２．出席議員は次のとおりである。（３名）' || chr(10) ||
-            '１番　A B C D　　　　２番　E F G H' || chr(10) || '１５番　Q R S T' END""",
+            '１番　' || {_spaced('n0')} || '　　　　２番　' || {_spaced('n1')} || chr(10) ||
+            '１５番　' || {_spaced('n4')} END""",
         "officials": """CASE substr(priority, 1, 1)
-            WHEN '1' THEN '市長IJKL副市長MNOP'
-            WHEN '2' THEN '総務課長IJKL総務係長MNOP'
-            WHEN '3' THEN '福祉保健部長兼福祉事務所長IJKL'
-            WHEN '4' THEN '課長補佐IJKL（代理）事務局次長MNOP'
-            ELSE '教育次長 IJKL　危機管理監MNOP' END""",
+            WHEN '1' THEN '市長' || n2 || '副市長' || n3
+            WHEN '2' THEN '総務課長' || n2 || '総務係長' || n3
+            WHEN '3' THEN '福祉保健部長兼福祉事務所長' || n2
+            WHEN '4' THEN '課長補佐' || n2 || '（代理）事務局次長' || n3
+            ELSE '教育次長 ' || n2 || '　危機管理監' || n3 END""",
     },
     {
-        "text": f"""translate('会議録　' || CAST(key AS STRING) || chr(10) || members || chr(10) ||
+        "text": """'会議録　' || CAST(key AS STRING) || chr(10) || members || chr(10) ||
             '３．欠席議員' || chr(10) || 'なし' || chr(10) ||
             '５．条例の規定により出席した者の職氏名' || chr(10) || officials || chr(10) ||
-            '議会事務局の職氏名' || chr(10) || '事務局長MNOP　書記EFGH' || chr(10),
-            '{_LETTERS}', n0 || n1 || n2 || n3 || n4)""",
+            '議会事務局の職氏名' || chr(10) || '事務局長' || n3 || '　書記' || n1 || chr(10)""",
     },
 )
 
-# A-D stand for the speaker's name and X for the words that follow.
 SPEECH_STAGES = (
     {
         "number": f"""CASE part % 6 WHEN 0 THEN {_PERSON[0]} WHEN 1 THEN {_PERSON[1]}
             WHEN 2 THEN {_PERSON[2]} WHEN 3 THEN {_PERSON[3]} WHEN 4 THEN {_PERSON[4]}
             ELSE (key * 11 + part) % 1000 END""",
-        "body": """CASE supplier % 7
-            WHEN 0 THEN '○A B 議 員' || chr(10) || 'X'
-            WHEN 1 THEN '○ABCD議員X'
-            WHEN 2 THEN '○AB（C）委員X'
-            WHEN 3 THEN '○AB政策企画課長' || chr(10) || 'X'
-            WHEN 4 THEN 'X'
-            WHEN 5 THEN '○第X' || chr(10) || '～～○～～'
-            ELSE '○AB CD' || chr(10) || chr(10) || 'X' END""",
         "said": "'　本案の第' || CAST(part AS STRING) || '号について、' || flag || 'とする。 '",
     },
     {"who": _name("number")},
     {
-        "text": """replace(translate(body, 'ABCD', who), 'X', said)
+        "text": """CASE supplier % 7
+            WHEN 0 THEN '○' || substr(who, 1, 1) || ' ' || substr(who, 2, 1) || ' 議 員' || chr(10)
+            WHEN 1 THEN '○' || who || '議員'
+            WHEN 2 THEN '○' || substr(who, 1, 2) || '（' || substr(who, 3, 1) || '）委員'
+            WHEN 3 THEN '○' || substr(who, 1, 2) || '政策企画課長' || chr(10)
+            WHEN 4 THEN ''
+            WHEN 5 THEN '○第'
+            ELSE '○' || substr(who, 1, 2) || ' ' || substr(who, 3, 2) || chr(10) || chr(10) END
+            || said || CASE supplier % 7 WHEN 5 THEN chr(10) || '～～○～～' ELSE '' END
             || chr(10) || ' ' || CAST(page AS STRING) || ' ' || chr(10)"""
     },
 )
