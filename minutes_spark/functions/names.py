@@ -152,13 +152,11 @@ def with_person_name(
 
 def family_from_spaced(c) -> Column:
     """Family name of a name whose parts are separated by whitespace."""
-    parts = F.split(trim_ws(c), f"[{WS}]+")
-    single = F.forall(parts, lambda part: F.length(part) == 1)
-    return (
-        F.when(F.size(parts) <= 1, normalize_alias(c))
-        .when(single & (F.size(parts) > 2), F.concat(parts[0], parts[1]))
-        .otherwise(parts[0])
-    )
+    name = F.regexp_replace(trim_ws(c), f"[{WS}]+", " ")
+    return F.when(
+        name.rlike(r"^[^ ](?: [^ ]){2,}\z"),
+        F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1)),
+    ).otherwise(F.substring_index(name, " ", 1))
 
 
 def family_from_compact(c, single=config.ONE_CHAR_FAMILY_NAMES) -> Column:

@@ -72,15 +72,12 @@ def parse_lines(lines: DataFrame, roles=config.ATTENDEE_ROLES) -> DataFrame:
         F.split(F.regexp_replace("line", cut, "$1\n"), "\n", -1),
         lambda text: entry(F.lit(config.COUNCILOR_ROLE), trim_ws(text)),
     )
-    between = F.split("_compact", pattern, -1)
-    posts = F.zip_with(
-        F.regexp_extract_all("_compact", F.lit(f"({pattern})"), F.lit(1)),
-        F.slice(between, F.lit(2), F.size(between)),
-        entry,
-    )
+    posts = F.zip_with("_roles", F.slice("_between", F.lit(2), F.size("_between")), entry)
     seated, text = F.col("seated"), F.col("_entry.text")
     entries = (
         lines.withColumn("_compact", F.when(~seated, normalize_alias("line")))
+        .withColumn("_roles", F.regexp_extract_all("_compact", F.lit(f"({pattern})"), F.lit(1)))
+        .withColumn("_between", F.split(F.regexp_replace("_compact", pattern, "\n"), "\n", -1))
         .withColumn("_entries", F.when(seated, seats).otherwise(posts))
         .select(*lines.columns, F.posexplode("_entries").alias("pos", "_entry"))
         .filter(~seated | text.rlike(seat))

@@ -1,0 +1,118 @@
+"""Whole jobs: page text to stored speeches, word lists, and summaries.
+
+A job reads one snapshot of the tables (``source``) and writes the changed tables to another
+(``target``), so it can be run again after a failure at any point.
+"""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .. import config
+from ..operators import attendees as A, resolve, speakers as S, speeches as P, state, summaries as G
+from ..operators import words as W
+from ..sources.tables import durable, read_table, write_table
+
+
+def extract(pages: DataFrame, documents: DataFrame, speakers: DataFrame, aliases: DataFrame, block=P.PROBE):
+    """New speakers, aliases, speeches and outcomes of the given documents' pages.
+
+    Returns a dict of DataFrames. Attendees, alias spans and names are read by several steps
+    and are small next to the text, so they are written once.
+    """
+    block = P.page_blocks(pages, block)
+    attendees = durable(
+        S.with_speaker_ids(A.parse_attendees(pages, block=block), documents, speakers), "attendees"
+    )
+    history = durable(S.alias_history(aliases, S.derive_aliases(attendees)), "aliases")
+    names = durable(resolve.speech_names(P.named_lines(pages), documents), "names")
+    speeches = resolve.resolve_speakers(
+        P.parse_speeches(pages, block=block), documents, attendees, history, names
+    )
+    return {
+        "speakers": S.upsert_speakers(speakers, S.incoming_speakers(attendees)),
+        "speaker_aliases": S.alias_dictionary(history).withColumn(
+            "alias_id", S.natural_id("municipality_id", "alias_norm")
+        ),
+        "speeches": speeches,
+    }
+
+
+def outcomes(documents: DataFrame, assets: DataFrame, speeches: DataFrame) -> DataFrame:
+    """done, or skipped without an asset or without speeches."""
+    stored = speeches.select("document_id").distinct().withColumn("_stored", F.lit(True))
+    fetched = assets.select("document_id", F.lit(True).alias("_fetched"))
+    return (
+        documents.select("document_id", F.col("url"))
+        .join(fetched, "document_id", "left")
+        .join(stored, "document_id", "left")
+        .select(
+            "document_id", "url",
+            F.coalesce("_fetched", F.lit(False)).alias("fetched"),
+            F.coalesce("_stored", F.lit(False)).alias("stored"),
+            F.when(F.col("_stored"), "done").otherwise("skipped").alias("outcome"),
+        )
+    )
+
+
+def run_extract(spark: SparkSession, source: str, target: str, again=False) -> DataFrame:
+    """Parse all downloaded documents; ``again`` puts parsed ones back first.
+
+    Returns the counters of the run.
+    """
+    tables = {
+        name: read_table(spark, source, name)
+        for name in ("documents", "document_assets", "pages", "speakers", "speaker_aliases", "speeches")
+    }
+    documents = state.reset_status(tables["documents"]) if again else tables["documents"]
+    pending = documents.filter("status = 'downloaded'")
+    with_asset = pending.join(tables["document_assets"], "document_id", "left_semi")
+    pages = tables["pages"].join(with_asset, "document_id", "left_semi")
+    new = extract(pages, with_asset, tables["speakers"], tables["speaker_aliases"])
+    speeches = durable(new["speeches"], "speeches")
+    results = outcomes(pending, tables["document_assets"], speeches)
+
+    write_table(new["speakers"], target, "speakers")
+    write_table(new["speaker_aliases"], target, "speaker_aliases")
+    write_table(state.replace_rows(tables["speeches"], speeches.drop("name_norm"), ["document_id"]), target, "speeches")
+    write_table(state.advance_status(documents, results), target, "documents")
+    return state.step_counters(results)
+
+
+def run_words(spark: SparkSession, source: str, target: str, tokenizer: Callable | None = None) -> None:
+    """Word lists of every municipality that has speeches."""
+    documents = read_table(spark, source, "documents").select("document_id", "municipality_id")
+    speeches = read_table(spark, source, "speeches").select("document_id", "sequence", "speech_text")
+    tokens = W.tokenize(speeches.join(documents, "document_id"), tokenizer)
+    words = W.top_words(W.count_words(W.filter_tokens(tokens)))
+    write_table(words.withColumn("created_at", F.current_timestamp()), target, "word_frequencies")
+
+
+def summarize(speeches: DataFrame, model: Callable, limit=config.TOKEN_LIMIT) -> DataFrame:
+    """Summary of each document; ``model(kind, content)`` gives (reply, tokens).
+
+    ``kind`` is single, chunked or merge. Replies are written before they are used, so no
+    request is repeated by a later step. Documents with an unreadable reply have ``error``.
+    """
+    parts = durable(
+        G.ask(G.request_table(speeches, limit).select("document_id", "route", "part", "content"), model),
+        "replies",
+    )
+    parsed = G.with_parsed_reply(parts)
+    usable = parsed.join(
+        parsed.filter("error IS NOT NULL").select("document_id").distinct(), "document_id", "left_anti"
+    )
+    merges = G.merge_input(usable).withColumn("route", F.lit("merge"))
+    merged = durable(G.ask(merges, model), "merges")
+    tokens = G.token_totals(
+        parts.select("document_id", "used_tokens").unionByName(merged.select("document_id", "used_tokens"))
+    )
+    columns = ["document_id", "summary", "topics", "key_points", "error"]
+    alone = usable.join(merged.select("document_id"), "document_id", "left_anti").select(*columns)
+    failed = parsed.filter("error IS NOT NULL").select(*columns).dropDuplicates(["document_id"])
+    return (
+        alone.unionByName(G.with_parsed_reply(merged).select(*columns))
+        .unionByName(failed)
+        .join(tokens.select("document_id", F.col("total_tokens").alias("token_count")), "document_id")
+        .withColumnRenamed("summary", "summary_text")
+    )
