@@ -67,21 +67,14 @@ def reconstruct_pages(items: DataFrame, gap=2.0) -> DataFrame:
     An item whose ``y`` is more than ``gap`` away from the one before starts a line. The
     page's text is one cell of the result, so the group is no larger than that cell.
     """
-    runs = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("item", "y", "str"))),
-        F.struct(
-            F.lit(None).cast("double").alias("y"),
-            F.array().cast("array<string>").alias("parts"),
-        ),
-        lambda page, item: F.struct(
-            item["y"].cast("double").alias("y"),
-            F.concat(
-                page["parts"],
-                F.when(
-                    F.abs(item["y"] - page["y"]) > gap, F.array(F.lit("\n"), item["str"])
-                ).otherwise(F.array(item["str"])),
-            ).alias("parts"),
-        ),
-        lambda page: F.array_join(page["parts"], ""),
+    items = items.groupBy("document_id", "page").agg(
+        F.array_sort(F.collect_list(F.struct("item", "y", "str"))).alias("_items")
     )
-    return items.groupBy("document_id", "page").agg(runs.alias("text"))
+    pieces = F.transform(
+        "_items",
+        lambda item, at: F.when(
+            F.abs(item["y"] - F.get("_items", at - 1)["y"]) > gap,
+            F.concat(F.lit("\n"), item["str"]),
+        ).otherwise(item["str"]),
+    )
+    return items.select("document_id", "page", F.array_join(pieces, "").alias("text"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from minutes_spark.operators import attendees as A, lines as L, speeches as P
 
-PLENARY = """安芸高田市議会定例会会議録
+PLENARY = """市議会定例会会議録
 ２．出席議員は次のとおりである。（１５名）
 １番　南 澤 克 彦　　　　　　　　　２番　田 邊 介 三
 ３番　石 飛 空
