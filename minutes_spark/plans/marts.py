@@ -5,7 +5,7 @@ pushed down to the scans. Counts are taken before joins, so that a hot document
 reduced on the map side. Ties are broken by a unique column.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config, schemas
 from ..functions.text import (
@@ -31,7 +31,7 @@ def speech_counts(speeches: DataFrame) -> DataFrame:
     return speeches.groupBy("document_id").agg(F.count("*").alias("speech_count"))
 
 
-def _count(column) -> F.Column:
+def _count(column) -> Column:
     return F.coalesce(column, F.lit(0)).alias(column)
 
 
@@ -76,10 +76,9 @@ def recent_documents(t, municipality_id=None, limit=10) -> DataFrame:
         _of(t.documents, municipality_id), [MUNICIPALITY],
         [F.desc("created_at"), F.desc("document_id")], limit, rank="rank",
     )
-    counts = t.speeches.join(newest.select("document_id"), "document_id", "left_semi")
     return (
         newest.join(t.summaries.select("document_id", "summary_text", "topics"), "document_id", "left")
-        .join(speech_counts(counts), "document_id", "left")
+        .join(speech_counts(t.speeches), "document_id", "left")
         .select(
             MUNICIPALITY, "rank", "document_id", "title", "created_at", "summary_text",
             head_topics(F.coalesce("topics", F.array().cast("array<string>"))).alias("head_topics"),

@@ -2,7 +2,6 @@ import random
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from minutes_spark import config
 from minutes_spark.operators import resolve as R, speakers as S
