@@ -9,7 +9,8 @@ no piece is spelled in byte pieces.
 
 Texts are read once: bags of words are written per block of text, with the block's distinct
 words beside them. Words are counted and scored once each, and what a block needs comes back to
-it, so only distinct words of blocks are shuffled, never occurrences, and no word is a hot key.
+it, so only distinct words of blocks are shuffled, never occurrences, and a word has at most
+one row per block.
 
 Cases: a null text counts as empty and has the end token alone; letters A-Z count as lower
 case; without training rows counts are 0 and the first weights hold; repeated rows get equal
@@ -24,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable
 from .pieces import MODEL, Vocabulary
 
 #: Bytes of text whose bags of words are handled at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 ZIPF = 2.7
 #: Weight of the vocabulary's own scores against the counts.
 PRIOR = 1e-3
@@ -173,17 +175,20 @@ def _expected(path, logs):
     return run
 
 
-def _word_scores(path, logs):
+def _entry_scores(path, logs):
+    """Entries come sorted by word, so each word is scored once; a cut of the input repeats one word."""
+
     def run(batches):
-        vocabulary, weights = _vocabulary(path), logs.value.tolist()
+        vocabulary, weights, last, log = _vocabulary(path), logs.value.tolist(), None, 0.0
         for batch in batches:
-            words, out = batch.column("word").to_pylist(), []
-            for word in words:
-                text = " " + word.decode()
-                out.append(forward(arcs_of(vocabulary, text, weights), len(text))[-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("c"), pa.array(out, pa.float64())], ["word", "c", "log"]
-            )
+            out = []
+            for word in batch.column("word").to_pylist():
+                if word != last:
+                    text = " " + word.decode()
+                    last, log = word, forward(arcs_of(vocabulary, text, weights), len(text))[-1]
+                out.append(log)
+            columns = [batch.column("block"), batch.column("local"), batch.column("c"), pa.array(out, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["of_block", "local", "c", "log"])
 
     return run
 
@@ -237,8 +242,15 @@ def score(docs, train, key="doc_id", text="text", model=MODEL, rounds=ROUNDS):
     bags = durable(rows.mapInArrow(_bags(arrow), shape), "bags")
     entries = bags.filter("word IS NOT NULL").select("block", "word", "local", "n_train")
     blocks = bags.filter("word IS NULL").select("block", "key", "train", "ids", "counts")
-    words = durable(entries.groupBy("word").agg(F.sum("n_train").alias("c")), "word-counts")
-    counted, kinds = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    # one shuffle by word; the first entry of a word stands for it where words are counted
+    own = Window.partitionBy("word")
+    first_entry = F.row_number().over(own.orderBy("block")) == 1
+    counts = entries.select(
+        "word", F.sum("n_train").over(own).alias("c"), first_entry.alias("lead"), "block", "local"
+    )
+    entries = durable(counts, "word-entries")
+    words = entries.filter("lead AND c > 0").select("word", "c")
+    counted, kinds = words.agg(F.sum("c"), F.count("*")).first()
     ends = blocks.agg(F.count_if("train")).first()[0]
     total, kinds = (counted or 0) + ends, (kinds or 0) + int(ends > 0)
 
@@ -246,7 +258,7 @@ def score(docs, train, key="doc_id", text="text", model=MODEL, rounds=ROUNDS):
     share, learned = (ends / (2 * total) if total else 0.5), first
     for _ in range(rounds if counted else 0):
         logs = spark.sparkContext.broadcast(learned)
-        seen = words.filter("c > 0").mapInArrow(_expected(model, logs), "piece int, n double")
+        seen = words.mapInArrow(_expected(model, logs), "piece int, n double")
         # at most one row per piece of the vocabulary
         expected = np.zeros(len(first))
         for row in seen.groupBy("piece").agg(F.sum("n").alias("n")).collect():
@@ -257,9 +269,7 @@ def score(docs, train, key="doc_id", text="text", model=MODEL, rounds=ROUNDS):
             learned = np.log(weights / weights.sum())
     learned = learned + math.log(1 - share)
     logs = spark.sparkContext.broadcast(learned)
-    scored = durable(words.mapInArrow(_word_scores(model, logs), "word binary, c long, log double"), "word-scores")
-
-    needed = entries.join(scored, "word").select(F.col("block").alias("of_block"), "local", "c", "log")
+    needed = entries.mapInArrow(_entry_scores(model, logs), "of_block long, local int, c long, log double")
     out = f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     summed = _summed(total, kinds, ends, math.log(share))
     done = blocks.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(summed, out)
