@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 # The white space that separates words.
 WORD_SPACE = "\\x20\\x09-\\x0D"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark):
@@ -67,3 +68,38 @@ def chunks_of(lengths, size):
             held, total = [], 0
     if held:
         yield held
+
+
+class Index:
+    """Number of a key, from 1 in the order given; 0 if absent. Open addressing, at most a quarter full."""
+
+    def __init__(self, keys):
+        self.bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
+        self.nodes = np.zeros(1 << self.bits, np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.nodes[slot] == 0
+            self.nodes[slot[free]] = left[free] + 1
+            placed = self.nodes[slot] == left + 1
+            self.keys[slot[placed]] = keys[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys):
+        return ((keys * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys):
+        slot = self._slot(keys)
+        here = self.nodes[slot]
+        hit = self.keys[slot] == keys
+        nodes = np.where(hit, here, 0)
+        left = np.flatnonzero(~hit & (here != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            here, hit = self.nodes[slot], self.keys[slot] == keys[left]
+            nodes[left[hit]] = here[hit]
+            on = ~hit & (here != 0)
+            left, slot = left[on], slot[on]
+        return nodes

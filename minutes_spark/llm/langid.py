@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import chunks_of, utf8
+from .common import Index, chunks_of, utf8
 
 UNDETERMINED = "und"
 #: Bytes of training text per language; whole documents are drawn by hash up to about so much.
@@ -26,7 +26,6 @@ SAMPLE_BYTES = 4 << 20
 ORDER = 3
 _PAD = 0x0A
 _CELLS = 4_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "lang_pred string, score double, bits_per_byte double"
 
 
@@ -71,41 +70,6 @@ def _count_grams(order):
     return run
 
 
-class _Index:
-    """Node of a key: open addressing over arrays, at most a quarter full."""
-
-    def __init__(self, keys):
-        self.bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
-        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
-        self.nodes = np.zeros(1 << self.bits, np.int32)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):
-            free = self.nodes[slot] == 0
-            self.nodes[slot[free]] = left[free] + 1
-            placed = self.nodes[slot] == left + 1
-            self.keys[slot[placed]] = keys[left[placed]]
-            left, slot = left[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys):
-        return ((keys * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys):
-        slot = self._slot(keys)
-        here = self.nodes[slot]
-        hit = self.keys[slot] == keys
-        nodes = np.where(hit, here, 0)
-        left = np.flatnonzero(~hit & (here != 0))
-        slot = slot[left]
-        while len(left):
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            here, hit = self.nodes[slot], self.keys[slot] == keys[left]
-            nodes[left[hit]] = here[hit]
-            on = ~hit & (here != 0)
-            left, slot = left[on], slot[on]
-        return nodes
-
-
 @dataclass
 class LanguageModel:
     """Costs per node and language. ``index[k]``: nodes of k+1 bytes; ``cost``, ``escape`` by length."""
@@ -155,7 +119,7 @@ class LanguageModel:
             escape.append(leave.astype(np.float32))
             cost.append(np.vstack([np.zeros((1, width)), bits]).astype(np.float32))
             keys = here if length == 1 else context.astype(np.uint64) << np.uint64(8) | here & np.uint64(255)
-            index.append(_Index(keys))
+            index.append(Index(keys))
         return cls(languages, order, index, cost, escape)
 
     def bits(self, laid):

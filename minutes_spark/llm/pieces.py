@@ -23,19 +23,27 @@ they have a result's name.
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .common import Index
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Below the lowest score, for a character in bytes.
 UNKNOWN = 10.0
-#: Segments kept by a worker with their best segmentation, and the longest that is kept.
-CACHED, CACHED_CHARS = 100_000, 40
+#: Characters of text whose new segments are solved together, and the longest of those.
+CHUNK_CHARS, TOGETHER = 500_000, 64
+#: Solved segments that a worker keeps before it starts anew.
+KEPT = 120_000
+#: Texts whose results are Python objects at once.
+_ROWS = 500
 _SEGMENT = re.compile(r"[^ \n]+| [^ \n]*|\n")
 RESULT = (
     "ids array<int>, score double, "
@@ -112,10 +120,8 @@ class Lattice:
                 if piece is not None:
                     number, one = piece
                     starts.append(at), ends.append(end), ids.append(number), scores.append(one)
-                    total = base + one
-                    old = came[end]
-                    if total > best[end] or (total == best[end] and number < ids[old]):
-                        best[end], came[end] = total, len(ids) - 1
+                    if base + one > best[end]:
+                        best[end], came[end] = base + one, len(ids) - 1
                 if end == size:
                     break
                 node = node.get(text[end])
@@ -181,62 +187,227 @@ def segments(text):
     return _SEGMENT.findall(" " + text)
 
 
+class Solved:
+    """Best segmentations of distinct segments: ids end to end, scores, losses of the second best.
+
+    All lattices are filled together: arcs of one length and one start depth never share an end.
+    """
+
+    def __init__(self, vocabulary, index):
+        self.vocabulary, self.index = vocabulary, index
+        self.parts, self.ids = [], np.zeros(0, np.int32)
+        self.score, self.loss = np.zeros(0), np.zeros(0)
+        self.sizes, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, parts):
+        """Solve further segments; they are numbered on."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        score, loss = np.zeros(len(parts)), np.full(len(parts), np.inf)
+        sizes, flats = np.zeros(len(parts), np.int64), {}
+        short = np.flatnonzero(lengths <= TOGETHER)
+        for at in np.flatnonzero(lengths > TOGETHER).tolist():
+            lattice = Lattice(self.vocabulary, parts[at])
+            ids, arcs = lattice.path()
+            flats[at], sizes[at] = np.array(ids, np.int32), len(ids)
+            score[at], loss[at] = lattice.best[lattice.size], lattice.loss(arcs)
+        flat, sizes[short], score[short], loss[short] = self._together([parts[i] for i in short.tolist()], lengths[short])
+        first = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), np.int32)
+        ids[_spread(first[short], sizes[short])] = flat
+        for at, own in flats.items():
+            ids[first[at] : first[at] + len(own)] = own
+        self.first = np.concatenate([self.first, first + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.parts += parts
+
+    def _together(self, parts, lengths):
+        """Ids end to end, sizes, scores and losses of short segments."""
+        vocabulary, index = self.vocabulary, self.index
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
+        first = np.cumsum(lengths) - lengths
+        depth = (np.arange(len(codes)) - np.repeat(first, lengths)).astype(np.uint8)
+        left = np.repeat(lengths, lengths).astype(np.uint8) - depth
+        # one more node than characters for each segment
+        node = np.arange(len(codes), dtype=np.int32) + owner
+        levels = []
+        active, state = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int32)
+        length = 1
+        while len(active):
+            state = index.next(state, codes[active + length - 1])
+            piece = index.piece[state]
+            found = piece >= 0
+            start, ids, scores = active[found], piece[found], index.score[state[found]]
+            if length == 1:
+                alone = active[~found]
+                start = np.concatenate([start, alone])
+                ids = np.concatenate([ids, np.full(len(alone), -1, ids.dtype)])
+                scores = np.concatenate([scores, np.full(len(alone), vocabulary.unknown)])
+            order = np.argsort(depth[start], kind="stable")
+            start, ids, scores = start[order], ids[order], scores[order]
+            cuts = np.searchsorted(depth[start], np.arange(TOGETHER + 1)).tolist()
+            levels.append((length, start, node[start], ids, scores, cuts))
+            on = (state > 0) & (left[active] > length)
+            active, state = active[on], state[on]
+            length += 1
+        nodes = len(codes) + len(parts)
+        best, after = np.full(nodes, -np.inf), np.full(nodes, -np.inf)
+        came_level, came_arc = np.zeros(nodes, np.int8), np.zeros(nodes, np.int32)
+        best[first + np.arange(len(parts))] = 0.0
+        ends = first + lengths + np.arange(len(parts))
+        after[ends] = 0.0
+        deepest = int(lengths.max(initial=0))
+        for d in range(deepest):
+            for number, (length, _, start, _, scores, cuts) in enumerate(levels):
+                low, high = cuts[d], cuts[d + 1]
+                if low == high:
+                    continue
+                total, end = best[start[low:high]] + scores[low:high], start[low:high] + length
+                better = np.flatnonzero(total > best[end])
+                end = end[better]
+                best[end], came_level[end], came_arc[end] = total[better], number, low + better
+        for d in range(deepest - 1, -1, -1):
+            for length, _, start, _, scores, cuts in levels:
+                low, high = cuts[d], cuts[d + 1]
+                if low < high:
+                    own = start[low:high]
+                    after[own] = np.maximum(after[own], scores[low:high] + after[own + length])
+        ends_of = ends
+        # walk back from all ends at once
+        on = [np.zeros(len(level[1]), bool) for level in levels]
+        at = ends
+        starts = first + np.arange(len(parts))
+        while len(at):
+            level, arc = came_level[at], came_arc[at]
+            at = at.copy()
+            for number in np.unique(level):
+                here = level == number
+                on[number][arc[here]] = True
+                at[here] = levels[number][2][arc[here]]
+            going = at != starts
+            at, starts = at[going], starts[going]
+        second = np.full(len(parts), -np.inf)
+        taken = np.full(len(codes), -2, np.int32)
+        for chosen, (length, start, start_node, pieces, scores, _) in zip(on, levels):
+            others = ~chosen
+            through = best[start_node[others]] + scores[others] + after[start_node[others] + length]
+            np.maximum.at(second, owner[start[others]], through)
+            taken[start[chosen]] = pieces[chosen]
+        score = best[ends_of]
+        places = np.flatnonzero(taken > -2)
+        ids = taken[places]
+        width = np.ones(len(ids), np.int64)
+        spelled = {}
+        for code in np.unique(codes[places[ids < 0]]).tolist():
+            spelled[code] = np.array(vocabulary.bytes_of(chr(code)), np.int32)
+            width[(ids < 0) & (codes[places] == code)] = len(spelled[code])
+        flat = np.repeat(ids, width)
+        begin = np.cumsum(width) - width
+        for code, own in spelled.items():
+            for k in range(len(own)):
+                flat[begin[(ids < 0) & (codes[places] == code)] + k] = own[k]
+        return flat, np.bincount(owner[places], width, len(parts)).astype(np.int64), score, score - second
+
+
+def _spread(first, sizes):
+    """Positions first, first + 1, ... of each run, end to end."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+
+
+class TrieIndex:
+    """The trie as arrays: states are edges, found by (state, character)."""
+
+    def __init__(self, vocabulary):
+        keys, pieces, scores = [], [-1], [0.0]
+        todo = [(0, vocabulary.trie)]
+        for state, edges in todo:
+            for letter, below in edges.items():
+                if letter is None:
+                    continue
+                keys.append(state << 21 | ord(letter))
+                number, score = below.get(None, (-1, 0.0))
+                pieces.append(number)
+                scores.append(score)
+                todo.append((len(keys), below))
+        self.index = Index(np.array(keys, dtype=np.uint64))
+        self.piece, self.score = np.array(pieces, np.int32), np.array(scores)
+
+    def next(self, state, codes):
+        return self.index.find(state.astype(np.uint64) << np.uint64(21) | codes.astype(np.uint64))
+
+
 class Encoder:
-    """Segmentations of texts; keeps those of frequent segments."""
+    """Segmentations of texts, several at a time."""
 
     def __init__(self, vocabulary):
         self.vocabulary = vocabulary
-        self.kept = {}
-
-    def segment(self, text):
-        """(ids, score, loss of the second best)."""
-        found = self.kept.get(text)
-        if found is None:
-            lattice = Lattice(self.vocabulary, text)
-            ids, arcs = lattice.path()
-            found = ids, lattice.best[lattice.size], lattice.loss(arcs)
-            if len(text) <= CACHED_CHARS:
-                if len(self.kept) >= CACHED:
-                    self.kept.clear()
-                self.kept[text] = found
-        return found
-
-    def encode(self, text, n=N_BEST):
-        """Ids and score of the best segmentation, and (score, changes) of the next ones."""
-        if not text:
-            return [], 0.0, []
-        parts = segments(text)
-        kept = self.kept
-        found = [kept.get(part) or self.segment(part) for part in parts]
-        ids, offsets = [], []
-        for own, _, _ in found:
-            offsets.append(len(ids))
-            ids += own
-        score = sum(x[1] for x in found)
-        others = []
-        if n > 1:
-            order = heapq.nsmallest(n - 1, range(len(parts)), key=lambda i: (found[i][2], i))
-            order = [i for i in order if found[i][2] < np.inf]
-            combined = [(0.0, ())]
-            for i in order:
-                own, top, _ = found[i]
-                choices = [(0.0, None)]
-                choices += [(top - s, new) for s, new in Lattice(self.vocabulary, parts[i]).n_best(n) if new != own]
-                combined = heapq.nsmallest(
-                    n,
-                    (
-                        (loss + less, changes if choice is None else (*changes, (i, choice)))
-                        for loss, changes in combined
-                        for less, choice in choices
-                    ),
-                )
-            others = [(score - loss, sorted(changes)) for loss, changes in combined[1:]]
-        described = []
-        for total, changes in others:
-            described.append(
-                (total, [(offsets[i], len(found[i][0]), choice) for i, choice in changes])
+        self.index = TrieIndex(vocabulary)
+        self.known = self.solved = self.choices = None
+
+    def encode(self, texts, n=N_BEST):
+        """For each text (ids, score, [(score, changes)] of the next ones), in chunks of texts."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                yield from self._chunk(held, n)
+                held, size = [], 0
+        if held:
+            yield from self._chunk(held, n)
+
+    def _chunk(self, texts, n):
+        if self.known is None or len(self.known) > KEPT:
+            self.known, self.choices = defaultdict(count().__next__), {}
+            self.solved = Solved(self.vocabulary, self.index)
+        known, tokens = self.known, []
+        for text in texts:
+            parts = segments(text) if text else []
+            tokens.append(np.array([known[part] for part in parts], np.int32))
+        solved = self.solved
+        solved.extend(list(islice(known, len(solved.parts), None)))
+        for own in tokens:
+            sizes = solved.sizes[own]
+            ids = solved.ids[_spread(solved.first[own], sizes)]
+            score = float(sum(solved.score[own].tolist()))
+            yield ids, score, self._others(solved, own, sizes, score, n)
+
+    def _others(self, solved, own, sizes, score, n):
+        """The next n - 1 combinations; only the segments that lose least can take part."""
+        if n < 2 or not len(own):
+            return []
+        losses = solved.loss[own]
+        most = np.partition(losses, n - 2)[n - 2] if len(losses) >= n else np.inf
+        order = np.flatnonzero(losses <= most)
+        order = order[np.argsort(losses[order], kind="stable")[: n - 1]]
+        combined = [(0.0, ())]
+        for i in order[losses[order] < np.inf].tolist():
+            number = int(own[i])
+            if (number, n) not in self.choices:
+                self.choices[number, n] = self._choices(solved, number, n)
+            combined = heapq.nsmallest(
+                n,
+                (
+                    (loss + less, changes if new is None else (*changes, (i, new)))
+                    for loss, changes in combined
+                    for less, new in self.choices[number, n]
+                ),
             )
-        return ids, score, described
+        if len(combined) < 2:
+            return []
+        offsets = np.cumsum(sizes) - sizes
+        return [
+            (score - loss, [(int(offsets[i]), int(sizes[i]), new) for i, new in sorted(changes)])
+            for loss, changes in combined[1:]
+        ]
+
+    def _choices(self, solved, number, n):
+        best = tuple(solved.ids[solved.first[number] : solved.first[number] + solved.sizes[number]].tolist())
+        found = Lattice(self.vocabulary, solved.parts[number]).n_best(n)
+        top = float(solved.score[number])
+        return [(0.0, None)] + [(top - score, ids) for score, ids in found if ids != best]
 
 
 @lru_cache(2)
@@ -244,6 +415,12 @@ def _encoder(path):
     return Encoder(Vocabulary.load(path))
 
 
+@lru_cache(2)
+def _spellings(path):
+    """Bytes of each id; all that decoding needs."""
+    return Vocabulary.load(path).raw
+
+
 def applied(ids, changes):
     """The ids of another segmentation: ``changes`` (at, removed, ids) made in ``ids``."""
     out = list(ids)
@@ -261,12 +438,14 @@ def encode(docs, text="text", n=N_BEST, model=MODEL):
 
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(model)
-        flat, offsets, scores, others = array("i"), [0], [], []
-        for value in texts.to_pylist():
-            ids, score, more = encoder.encode(value or "", n)
-            flat.extend(ids)
-            offsets.append(len(flat))
+        parts = [part_of(texts.slice(at, _ROWS).to_pylist()) for at in range(0, max(1, len(texts)), _ROWS)]
+        return pa.concat_arrays(parts)
+
+    def part_of(texts):
+        lists, offsets, scores, others = [], [0], [], []
+        for ids, score, more in _encoder(model).encode((x or "" for x in texts), n):
+            lists.append(ids)
+            offsets.append(offsets[-1] + len(ids))
             scores.append(score)
             others.append(
                 [
@@ -274,7 +453,8 @@ def encode(docs, text="text", n=N_BEST, model=MODEL):
                     for s, changes in more
                 ]
             )
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+        flat = np.concatenate([np.zeros(0, np.int32), *lists])
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays(
             [ids, pa.array(scores, pa.float64()), pa.array(others, pa.list_(_OTHER))], ["ids", "score", "others"]
         )
@@ -288,7 +468,7 @@ def decode(docs, ids="ids", into="decoded", model=MODEL):
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        raw = _encoder(model).vocabulary.raw
+        raw = _spellings(model)
         out = []
         for own in lists:
             if not own.is_valid:
