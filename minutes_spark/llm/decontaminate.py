@@ -28,7 +28,8 @@ EDITS = 0.06
 WINDOW = 512
 #: Characters of benchmark text that are indexed, and sent to the executors, at once.
 BLOCK_CHARS = 4_000_000
-_CHUNK = 1 << 20
+#: Characters looked up at once, and texts whose hits are Python objects at once.
+_CHUNK, _ROWS = 1 << 18, 500
 _BITMAP = 22
 _BASE = 0x9E3779B97F4A7C15
 _PLAIN = {**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in range(9, 14)}}
@@ -218,7 +219,8 @@ def _hits_of(index, spark):
     def hits(texts: pa.Array) -> pa.Array:
         rows = [
             [{"item_id": i, "start": a, "end": b, "edits": e} for i, a, b, e in sorted(set(found))]
-            for found in shared.value.hits(texts.to_pylist())
+            for at in range(0, len(texts), _ROWS)
+            for found in shared.value.hits(texts.slice(at, _ROWS).to_pylist())
         ]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
         return pa.array(rows, type=kind)

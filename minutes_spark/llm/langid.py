@@ -25,7 +25,8 @@ SAMPLE_BYTES = 4 << 20
 #: Bytes of context in front of a byte.
 ORDER = 3
 _PAD = 0x0A
-_CELLS = 4_000_000
+#: Costs (bytes times languages) that are held at once.
+_CELLS = 1_000_000
 RESULT = "lang_pred string, score double, bits_per_byte double"
 
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import durable
 
@@ -58,7 +59,7 @@ def fingerprint_of(data, width=SHINGLE):
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
     found = [0 if x is None else fingerprint_of(x) for x in texts.cast(pa.binary()).to_pylist()]
     return pa.array(np.array(found, dtype=np.uint64).view(np.int64))
