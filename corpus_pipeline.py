@@ -34,11 +34,12 @@ def secret_scan(spark, docs, sf_dir):
 
 
 def sentence_pieces(spark, docs, sf_dir):
-    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "text", "lang", "source")))
+    """Pieces of every text; each is decoded where it was encoded and must be the text again."""
+    encoded = pieces.encode(docs.select("doc_id", "text", "lang", "source"))
     return encoded.select(
         "doc_id", "lang", "source", "ids", "score", "others",
         F.size("ids").cast("long").alias("n_pieces"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+        F.coalesce("exact", F.col("text").isNull()).alias("round_trip"),
     )
 
 

@@ -47,7 +47,7 @@ _ROWS = 500
 _SEGMENT = re.compile(r"[^ \n]+| [^ \n]*|\n")
 RESULT = (
     "ids array<int>, score double, "
-    "others array<struct<score:double,changes:array<struct<at:int,removed:int,ids:array<int>>>>>"
+    "others array<struct<score:double,changes:array<struct<at:int,removed:int,ids:array<int>>>>>, exact boolean"
 )
 
 
@@ -346,6 +346,10 @@ class Encoder:
         self.index = TrieIndex(vocabulary)
         self.known = self.solved = self.choices = None
 
+    def forget(self):
+        """Give back the memory of solved segments."""
+        self.known = self.solved = self.choices = None
+
     def encode(self, texts, n=N_BEST):
         """For each text (ids, score, [(score, changes)] of the next ones), in chunks of texts."""
         held, size = [], 0
@@ -421,6 +425,11 @@ def _spellings(path):
     return Vocabulary.load(path).raw
 
 
+def decoded(raw, ids):
+    """The text of an array of ids, without the space in front."""
+    return b"".join([raw[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
+
+
 def applied(ids, changes):
     """The ids of another segmentation: ``changes`` (at, removed, ids) made in ``ids``."""
     out = list(ids)
@@ -434,17 +443,23 @@ _OTHER = pa.struct([("score", pa.float64()), ("changes", pa.list_(_CHANGE))])
 
 
 def encode(docs, text="text", n=N_BEST, model=MODEL):
-    """``docs`` with ids, score and others: the next n - 1 segmentations as changes of the best."""
+    """``docs`` with ids, score, others (the next n - 1 segmentations as changes of the best) and exact.
+
+    ``exact``: the ids decode to the text, tried where they were made.
+    """
 
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
         parts = [part_of(texts.slice(at, _ROWS).to_pylist()) for at in range(0, max(1, len(texts)), _ROWS)]
+        _encoder(model).forget()
         return pa.concat_arrays(parts)
 
     def part_of(texts):
-        lists, offsets, scores, others = [], [0], [], []
-        for ids, score, more in _encoder(model).encode((x or "" for x in texts), n):
+        lists, offsets, scores, others, exact = [], [0], [], [], []
+        encoder = _encoder(model)
+        for text, (ids, score, more) in zip(texts, encoder.encode((x or "" for x in texts), n)):
             lists.append(ids)
+            exact.append(decoded(encoder.vocabulary.raw, ids) == (text or ""))
             offsets.append(offsets[-1] + len(ids))
             scores.append(score)
             others.append(
@@ -456,11 +471,12 @@ def encode(docs, text="text", n=N_BEST, model=MODEL):
         flat = np.concatenate([np.zeros(0, np.int32), *lists])
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays(
-            [ids, pa.array(scores, pa.float64()), pa.array(others, pa.list_(_OTHER))], ["ids", "score", "others"]
+            [ids, pa.array(scores, pa.float64()), pa.array(others, pa.list_(_OTHER)), pa.array(exact)],
+            ["ids", "score", "others", "exact"],
         )
 
     done = docs.withColumn("_pieces", F.when(F.col(text).isNotNull(), run(F.col(text))))
-    return done.withColumns({c: F.col(f"_pieces.{c}") for c in ("ids", "score", "others")}).drop("_pieces")
+    return done.withColumns({c: F.col(f"_pieces.{c}") for c in ("ids", "score", "others", "exact")}).drop("_pieces")
 
 
 def decode(docs, ids="ids", into="decoded", model=MODEL):
@@ -474,8 +490,7 @@ def decode(docs, ids="ids", into="decoded", model=MODEL):
             if not own.is_valid:
                 out.append(None)
                 continue
-            spelled = b"".join([raw[i] for i in own.values.to_numpy(zero_copy_only=False).tolist()])
-            out.append(spelled[1:].decode("utf-8", "replace"))
+            out.append(decoded(raw, own.values.to_numpy(zero_copy_only=False)))
         return pa.array(out, pa.string())
 
     return docs.withColumn(into, run(F.col(ids)))
