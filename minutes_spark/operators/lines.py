@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
 from ..functions.text import is_blank_or_number, is_separator, ltrim_ws, rtrim_ws
-from .scan import PROBE, page_blocks
+from .scan import PROBE
 
 
 def raw_lines(pages: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def content_lines(pages: DataFrame) -> DataFrame:
 def preamble_lines(pages: DataFrame, marker=config.MARKER, block=PROBE) -> DataFrame:
     """Lines before a document's first marker line; documents without one give nothing.
 
-    Each page is cut at its first marker before anything is shuffled. Short documents are
-    compared within one window, long ones (see ``page_blocks``) by a grouped minimum.
+    The first marked page of each document is found by a grouped minimum of page numbers; only
+    pages up to it are joined and cut at their first marker. ``block`` is not needed.
     """
     lines = F.split("text", "\n", -1)
     marked = F.transform(lines, lambda line: ltrim_ws(line).startswith(marker))
@@ -48,13 +48,9 @@ def preamble_lines(pages: DataFrame, marker=config.MARKER, block=PROBE) -> DataF
         .withColumn("_stop", F.when(F.col("_at") > 0, F.col("page")))
         .drop("text", "_at")
     )
-    if page_blocks(pages, block) is None:
-        first = F.min("_stop").over(Window.partitionBy("document_id"))
-        heads = heads.withColumn("_first", first)
-    else:
-        stops = heads.filter(F.col("_stop").isNotNull())
-        stops = stops.groupBy("document_id").agg(F.min("_stop").alias("_first"))
-        heads = heads.join(stops, "document_id")
+    stops = heads.filter(F.col("_stop").isNotNull())
+    stops = stops.groupBy("document_id").agg(F.min("_stop").alias("_first"))
+    heads = heads.join(stops, "document_id")
     return heads.filter(F.col("page") <= F.col("_first")).select(
         *[c for c in pages.columns if c != "text"],
         F.posexplode_outer("_lines").alias("line_no", "line"),

@@ -71,16 +71,21 @@ def summary_coverage(stats: DataFrame) -> DataFrame:
 
 
 def recent_documents(t, municipality_id=None, limit=10) -> DataFrame:
-    """Newest documents with summary, first topics and number of speeches."""
+    """Newest documents with summary, all topics, the first ones and number of speeches."""
     newest = top_per_group(
         _of(t.documents, municipality_id), [MUNICIPALITY],
         [F.desc("created_at"), F.desc("document_id")], limit, rank="rank",
     )
     return (
         newest.join(t.summaries.select("document_id", "summary_text", "topics"), "document_id", "left")
-        .join(speech_counts(t.speeches), "document_id", "left")
+        .join(
+            # only the chosen documents' speeches are counted
+            speech_counts(t.speeches.join(newest.select("document_id"), "document_id", "left_semi")),
+            "document_id", "left",
+        )
         .select(
             MUNICIPALITY, "rank", "document_id", "title", "created_at", "summary_text",
+            F.coalesce("topics", F.array().cast("array<string>")).alias("topics"),
             head_topics(F.coalesce("topics", F.array().cast("array<string>"))).alias("head_topics"),
             _count("speech_count"),
         )
@@ -213,23 +218,36 @@ def document_header(t, municipality_id, document_id) -> DataFrame:
 
 
 def document_detail(t, municipality_id=None, document_id=None) -> DataFrame:
-    """Speeches in order with their speaker, below the document's title and summary."""
+    """Speeches with their whole text and speaker, below the document's title, session and summary.
+
+    The speeches of one document come in order; of all documents they are not sorted.
+    """
     documents = _of(t.documents, municipality_id)
     if document_id is not None:
         documents = documents.filter(F.col("document_id") == document_id)
-    return (
-        documents.select(MUNICIPALITY, "document_id", "title", "status")
-        .join(t.summaries.select("document_id", "summary_text"), "document_id", "left")
-        .join(t.speeches, "document_id", "left")
-        .join(t.speakers.select("speaker_id", "name_ja", "role"), "speaker_id", "left")
+    sessions = t.sessions.select("session_id", "fiscal_year", "session_type")
+    spoken = t.speeches.filter(F.col("speaker_id").isNotNull()).join(
+        t.speakers.select("speaker_id", "name_ja", "role"), "speaker_id", "left"
+    )
+    # speeches without a speaker share no key and need no join
+    nobody = t.speeches.filter(F.col("speaker_id").isNull()).withColumns(
+        {"name_ja": F.lit(None).cast("string"), "role": F.lit(None).cast("string")}
+    )
+    detail = (
+        documents.select(MUNICIPALITY, "document_id", "session_id", "title", "status")
+        .join(sessions, "session_id", "left")
+        .join(t.summaries.select("document_id", "summary_text", "topics"), "document_id", "left")
+        .join(spoken.unionByName(nobody.select(spoken.columns)), "document_id", "left")
         .select(
-            MUNICIPALITY, "document_id", "title", "summary_text", "sequence",
+            MUNICIPALITY, "document_id", "title", "status", "fiscal_year", "session_type", "summary_text",
+            F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), "sequence",
             display_name("name_ja", "speaker_name_raw").alias("name"),
             display_role("role").alias("role"),
+            "speech_text",
             speech_preview("speech_text").alias("preview"),
         )
-        .orderBy("document_id", "sequence")
     )
+    return detail if document_id is None else detail.orderBy("sequence")
 
 
 def speaker_breakdown(t, municipality_id=None, document_id=None) -> DataFrame:

@@ -107,7 +107,7 @@ CTES = {
         ORDER BY {', '.join(V.ITEM_ORDER)}) - 1 AS INT) AS sequence FROM lineitem""",
     "a_speeches": """SELECT document_id, sequence, CASE WHEN l_returnflag <> 'R' THEN l_suppkey END AS speaker_id,
         'S' || l_suppkey AS speaker_name_raw,
-        concat_ws(' ', 'part', l_partkey, l_returnflag, l_linestatus) AS speech_text FROM items""",
+        repeat(concat_ws(' ', 'part', l_partkey, l_returnflag, l_linestatus), CASE WHEN l_partkey % 10 = 0 THEN 60 ELSE 1 END) AS speech_text FROM items""",
     "a_speakers": f"""SELECT s_suppkey AS speaker_id, s_nationkey AS municipality_id, s_name AS name_ja,
         {V.SPEAKER_ROLE} AS role FROM supplier""",
     "a_summaries": """SELECT o_orderkey AS document_id, 'Summary of ' || o_orderkey AS summary_text,
@@ -351,7 +351,7 @@ _BODIES = {
     "summary_coverage": """SELECT municipality_id, CASE WHEN documents = 0 THEN 0
         ELSE CAST(floor(100.0 * summaries / documents + 0.5) AS INT) END AS coverage FROM stats""",
     "recent_documents": """SELECT d.municipality_id, d.rank, d.document_id, d.title, CAST(d.created_at AS VARCHAR) AS created_at,
-        s.summary_text, coalesce(array_to_string(s.topics[1:3], '|'), '') AS head_topics, coalesce(c.speech_count, 0) AS speech_count
+        s.summary_text, coalesce(array_to_string(s.topics, '|'), '') AS topics, coalesce(array_to_string(s.topics[1:3], '|'), '') AS head_topics, coalesce(c.speech_count, 0) AS speech_count
         FROM (SELECT *, row_number() OVER (PARTITION BY municipality_id ORDER BY created_at DESC, document_id DESC) AS rank FROM a_documents) d
         LEFT JOIN a_summaries s USING (document_id) LEFT JOIN counts c USING (document_id) WHERE d.rank <= 10""",
     "topic_frequency": """SELECT municipality_id, topic, count(*) AS count,
@@ -366,11 +366,12 @@ _BODIES = {
         + " FROM trends GROUP BY municipality_id, fiscal_year, year",
     "document_list": "SELECT * FROM doc_list",
     "document_list_filtered": "SELECT * FROM doc_list WHERE fiscal_year = 2021 AND session_type = 'regular'",
-    "document_detail": """SELECT d.municipality_id, d.document_id, d.title, s.summary_text, p.sequence,
+    "document_detail": """SELECT d.municipality_id, d.document_id, d.title, d.status, e.fiscal_year, e.session_type, s.summary_text,
+        coalesce(array_to_string(s.topics, '|'), '') AS topics, p.sequence, p.speech_text,
         coalesce(k.name_ja, p.speaker_name_raw) AS name, coalesce(k.role, 'unknown') AS role,
         CASE WHEN length(p.speech_text) > 500 THEN substr(p.speech_text, 1, 500) || '...' ELSE p.speech_text END AS preview
-        FROM a_documents d LEFT JOIN a_summaries s USING (document_id) LEFT JOIN a_speeches p USING (document_id)
-        LEFT JOIN a_speakers k ON k.speaker_id = p.speaker_id""",
+        FROM a_documents d LEFT JOIN a_sessions e ON e.session_id = d.session_id LEFT JOIN a_summaries s USING (document_id)
+        LEFT JOIN a_speeches p USING (document_id) LEFT JOIN a_speakers k ON k.speaker_id = p.speaker_id""",
     "speaker_breakdown": f"""SELECT d.municipality_id, p.document_id, p.speaker_id, coalesce(k.name_ja, '{config.UNKNOWN_SPEAKER}') AS name,
         coalesce(k.role, 'unknown') AS role, count(*) AS count
         FROM a_speeches p JOIN a_documents d USING (document_id) LEFT JOIN a_speakers k ON k.speaker_id = p.speaker_id GROUP BY ALL""",

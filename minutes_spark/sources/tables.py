@@ -59,7 +59,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     executors, and come back with known sizes.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        # a folder of one machine serves a local master only
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
