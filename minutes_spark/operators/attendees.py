@@ -11,7 +11,7 @@ from ..functions.names import (
 )
 from ..functions.text import CJK, WS, normalize_alias, trim_ws, zen_to_han
 from .lines import preamble_lines
-from .scan import BLOCK, MULTI, PROBE, kept, page_blocks, running
+from .scan import BLOCK, MULTI, kept, page_blocks, running
 
 NO_SECTION = "-"
 COLUMNS = (
@@ -33,10 +33,10 @@ def with_section_event(lines: DataFrame, headers=config.SECTION_HEADERS) -> Data
 
 
 def attendee_sections(
-    pages: DataFrame, headers=config.SECTION_HEADERS, block=PROBE
+    pages: DataFrame, headers=config.SECTION_HEADERS, block=None
 ) -> DataFrame:
     """Trimmed preamble lines with the ``section`` they stand in (NULL outside of any)."""
-    block = page_blocks(pages, block)
+    block = page_blocks(block)
     lines = (
         preamble_lines(pages, block=block)
         .withColumn("line", trim_ws("line"))

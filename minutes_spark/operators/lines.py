@@ -1,10 +1,9 @@
 """Pages to lines, preamble and page assembly."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..functions.text import is_blank_or_number, is_separator, ltrim_ws, rtrim_ws
-from .scan import PROBE
 
 
 def raw_lines(pages: DataFrame) -> DataFrame:
@@ -28,7 +27,7 @@ def content_lines(pages: DataFrame) -> DataFrame:
     return flatten_pages(pages).filter(~is_separator("line"))
 
 
-def preamble_lines(pages: DataFrame, marker=config.MARKER, block=PROBE) -> DataFrame:
+def preamble_lines(pages: DataFrame, marker=config.MARKER, block=None) -> DataFrame:
     """Lines before a document's first marker line; documents without one give nothing.
 
     The first marked page of each document is found by a grouped minimum of page numbers; only

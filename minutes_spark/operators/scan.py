@@ -8,14 +8,9 @@ BLOCK = "_block"
 MULTI = "_multi_block"
 
 
-PROBE = "probe"
-
-
-def page_blocks(pages: DataFrame, block=PROBE) -> Column | None:
-    """``block`` if it is given, otherwise what the pages themselves ask for."""
-    if isinstance(block, str) and block == PROBE:
-        return blocks_of(pages, "page", config.PAGES_PER_BLOCK)
-    return block
+def page_blocks(block=None) -> Column:
+    """``block`` if it is given, otherwise blocks of ``PAGES_PER_BLOCK`` pages."""
+    return blocks_of("page", config.PAGES_PER_BLOCK) if block is None else block
 
 
 def kept(df: DataFrame, condition: Column) -> DataFrame:
@@ -28,42 +23,22 @@ def kept(df: DataFrame, condition: Column) -> DataFrame:
     return df.select(F.inline_outer(rows)).filter(F.col(df.columns[0]).isNotNull())
 
 
-def blocks_of(df: DataFrame, column: str, size: int) -> Column | None:
-    """Block number ``column / size``, or None when no row lies beyond the first block.
-
-    The check reads one column, and the filter lets Parquet skip row groups by their maximum.
-    """
-    if df.filter(F.col(column) >= size).select(column).limit(1).isEmpty():
-        return None
+def blocks_of(column: str, size: int) -> Column:
+    """Block number ``column / size``; the same plan serves short and long keys."""
     return F.floor(F.col(column) / size)
 
 
-def running(df: DataFrame, keys, order, block: Column | None, sums=None, lasts=None) -> DataFrame:
+def running(df: DataFrame, keys, order, block: Column, sums=None, lasts=None) -> DataFrame:
     """Per key, in ``order``: inclusive running sums and last non-NULL values.
 
     ``sums`` and ``lasts`` map output names to input columns. ``block`` is a column that never
     falls along ``order``. Rows are windowed per (key, block); what earlier blocks hand on is
     summed up in one row per block, and only keys with more than one block need that second
-    step. Without ``block`` each key is one window; that is for keys known to be short (see
-    ``blocks_of``). The result is partitioned by (keys, block) and keeps the columns ``BLOCK``
+    step. The result is partitioned by (keys, block) and keeps the columns ``BLOCK``
     and ``MULTI`` (whether the key has several blocks), so callers can go on without a shuffle.
     """
     keys, order = list(keys), list(order)
     sums, lasts = sums or {}, lasts or {}
-    if block is None:
-        upto = (
-            Window.partitionBy(*keys)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumns(
-            {
-                **{n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()},
-                **{n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()},
-                BLOCK: F.lit(0).cast("long"),
-                MULTI: F.lit(False),
-            }
-        )
     df = df.withColumn(BLOCK, block)
 
     totals = [F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()] + [
@@ -105,7 +80,7 @@ def running(df: DataFrame, keys, order, block: Column | None, sums=None, lasts=N
     return joined.withColumns(added).drop(*drop)
 
 
-def numbered(df: DataFrame, keys, order, block: Column | None, out="sequence") -> DataFrame:
+def numbered(df: DataFrame, keys, order, block: Column, out="sequence") -> DataFrame:
     """Dense numbers from 0 per key."""
     counted = running(df.withColumn("_one", F.lit(1)), keys, order, block, sums={out: "_one"})
     return counted.withColumn(out, (F.col(out) - 1).cast("int")).drop("_one", BLOCK, MULTI)

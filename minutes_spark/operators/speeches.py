@@ -6,7 +6,7 @@ from .. import config
 from ..functions.names import with_speaker_match, with_speaker_name
 from ..functions.text import trim_ws
 from .lines import content_lines
-from .scan import BLOCK, MULTI, PROBE, kept, numbered, page_blocks, running
+from .scan import BLOCK, MULTI, kept, numbered, page_blocks, running
 
 
 def segment(lines: DataFrame, block: Column | None = None) -> DataFrame:
@@ -45,12 +45,10 @@ def segment(lines: DataFrame, block: Column | None = None) -> DataFrame:
 
     in_block = Window.partitionBy("document_id", BLOCK).orderBy("segment")
     whole = (
-        _finish(parts if block is None else parts.filter(~F.col(MULTI)))
+        _finish(parts.filter(~F.col(MULTI)))
         .withColumn("sequence", (F.row_number().over(in_block) - 1).cast("int"))
         .drop(BLOCK, MULTI)
     )
-    if block is None:
-        return whole.drop("segment")
     spread = _finish(
         parts.filter(MULTI)
         .groupBy("document_id", "segment")
@@ -102,13 +100,13 @@ def named_lines(pages: DataFrame, roles=config.SPEECH_ROLES, marker=config.MARKE
     )
 
 
-def parse_speeches(pages: DataFrame, roles=config.SPEECH_ROLES, block=PROBE) -> DataFrame:
+def parse_speeches(pages: DataFrame, roles=config.SPEECH_ROLES, block=None) -> DataFrame:
     """Speeches of all documents, numbered from 0 in each."""
-    speeches = segment(speaker_lines(pages, roles), page_blocks(pages, block))
+    speeches = segment(speaker_lines(pages, roles), page_blocks(block))
     return with_speaker_name(speeches, roles=roles)
 
 
-def segment_by_marker(pages: DataFrame, marker: str, block=PROBE) -> DataFrame:
+def segment_by_marker(pages: DataFrame, marker: str, block=None) -> DataFrame:
     """Segmentation by a regex instead of the speaker rules; a marker line is text as well."""
     marked = (
         content_lines(pages)
@@ -116,4 +114,4 @@ def segment_by_marker(pages: DataFrame, marker: str, block=PROBE) -> DataFrame:
         .withColumn("speaker_name_raw", F.lit(""))
         .withColumn("rest", F.col("line"))
     )
-    return segment(marked, page_blocks(pages, block)).drop("speaker_name_raw")
+    return segment(marked, page_blocks(block)).drop("speaker_name_raw")

@@ -50,7 +50,7 @@ def pack_chunks(
     A speech above the limit is a chunk of its own. A document's speeches are folded in
     blocks of ``per_block`` consecutive numbers; only token counts travel, no text.
     """
-    block = blocks_of(speeches, "sequence", per_block)
+    block = blocks_of("sequence", per_block)
     line = F.concat(formatted(speeches), F.lit("\n\n"))
     items = F.array_sort(F.collect_list(F.struct("sequence", "tokens")))
     blocks = (
@@ -58,17 +58,14 @@ def pack_chunks(
             "document_id",
             "sequence",
             estimate_tokens(line).cast("int").alias("tokens"),
-            (F.lit(0) if block is None else block).cast("int").alias("block"),
+            block.cast("int").alias("block"),
         )
         .groupBy("document_id", "block")
         .agg(items.alias("items"))
     )
-    if block is None:
-        blocks = blocks.withColumns({"carry": F.lit(0), "chunk": F.lit(0)})
-    else:
-        blocks = blocks.join(
-            _block_starts(blocks, limit), ["document_id", "block"], "left"
-        ).na.fill(0, ["carry", "chunk"])
+    blocks = blocks.join(
+        _block_starts(blocks, limit), ["document_id", "block"], "left"
+    ).na.fill(0, ["carry", "chunk"])
 
     def step(state, item):
         total = state["carry"] + item["tokens"]

@@ -14,13 +14,13 @@ from ..operators import words as W
 from ..sources.tables import durable, read_table, write_table
 
 
-def extract(pages: DataFrame, documents: DataFrame, speakers: DataFrame, aliases: DataFrame, block=P.PROBE):
+def extract(pages: DataFrame, documents: DataFrame, speakers: DataFrame, aliases: DataFrame, block=None):
     """New speakers, aliases, speeches and outcomes of the given documents' pages.
 
     Returns a dict of DataFrames. Attendees, alias spans and names are read by several steps
     and are small next to the text, so they are written once.
     """
-    block = P.page_blocks(pages, block)
+    block = P.page_blocks(block)
     attendees = durable(
         S.with_speaker_ids(A.parse_attendees(pages, block=block), documents, speakers), "attendees"
     )

@@ -5,10 +5,9 @@ Japanese minutes from the same rows, so that the parsing rules have input that g
 the tables. Its wording is plain SQL that other engines can run as well.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import config
-from ..operators.scan import blocks_of, numbered
 
 ITEM_ORDER = (
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
@@ -112,8 +111,9 @@ def assets(spark, root) -> DataFrame:
 def numbered_items(spark, root) -> DataFrame:
     """Line items with their number in the document, in the order of ``ITEM_ORDER``."""
     items = table(spark, root, "lineitem").withColumn("document_id", F.col("l_orderkey"))
-    block = blocks_of(items, "l_linenumber", config.ROWS_PER_BLOCK)
-    return numbered(items, ["document_id"], ITEM_ORDER, block)
+    # the table has at most seven items for an order, so its window is short
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy(*ITEM_ORDER)) - 1
+    return items.withColumn("sequence", number.cast("int"))
 
 
 def speeches(spark, root) -> DataFrame:
@@ -269,23 +269,6 @@ def page_texts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-_LONGEST = {}
-
-
-def page_text_block(spark: SparkSession, root: str):
-    """Block column for ``page_texts``, or None if no document is long.
-
-    The longest document is looked up once per root. A stale answer would cost time but could
-    not change any result.
-    """
-    if root not in _LONGEST:
-        counts = table(spark, root, "lineitem").groupBy("l_orderkey").count()
-        _LONGEST[root] = counts.agg(F.max("count")).first()[0] or 0
-    if _LONGEST[root] + 2 <= config.PAGES_PER_BLOCK:
-        return None
-    return F.floor(F.col("page") / config.PAGES_PER_BLOCK)
-
-
 # --- Text views ------------------------------------------------------------------------
 
 

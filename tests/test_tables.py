@@ -70,7 +70,7 @@ def test_running_blocks(spark):
         return [(r.k, r.n, r.s, r["last"]) for r in out.orderBy("k", "n").collect()]
 
     expected = [(k, n, n // 5 + 1, f"v{n - n % 7}") for k in "ab" for n in range(40)]
-    assert run(None) == run(F.floor(F.col("n") / 6)) == run(F.col("n")) == expected
+    assert run(F.lit(0)) == run(F.floor(F.col("n") / 6)) == run(F.col("n")) == expected
     out = numbered(df.filter("one = 1"), ["k"], ["n"], F.floor(F.col("n") / 11))
     assert sorted(r.sequence for r in out.collect()) == sorted(list(range(8)) * 2)
 
