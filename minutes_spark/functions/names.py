@@ -4,13 +4,14 @@ Rules with several steps take a DataFrame and add one column per step, so that C
 evaluates each step once instead of repeating it inside the next one.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config
 from .text import CJK, WS, col, normalize_alias, trim_ws
 
 
-
 def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -24,12 +25,16 @@ def _longest_first(roles):
     return sorted(roles, key=len, reverse=True)
 
 
-def original_prefix(text, n) -> Column:
-    """The shortest prefix of ``text`` that holds ``n`` non-space characters."""
-    pattern = F.concat(
-        F.lit(f"^(?:[{WS}]*[^{WS}]){{"), col(n).cast("string"), F.lit("}")
-    )
-    return F.call_function("regexp_extract", col(text), pattern, F.lit(0))
+def original_prefix(text, n, most) -> Column:
+    """The shortest prefix of ``text`` that holds ``n`` (1 to ``most``) non-space characters.
+
+    One constant pattern per length, so that none is compiled again for a row.
+    """
+    prefix = F.lit(None).cast("string")
+    for size in range(most, 0, -1):
+        part = F.regexp_extract(col(text), f"^(?:[{WS}]*[^{WS}]){{{size}}}", 0)
+        prefix = F.when(col(n) == size, part).otherwise(prefix)
+    return prefix
 
 
 def with_speaker_match(
@@ -45,7 +50,7 @@ def with_speaker_match(
     Without a role, a short name that fills the line is taken as it stands.
     """
     letters = f"[{CJK}]"
-    name_only = rf"^{marker}({letters}{{1,10}}(?:[{WS}]+{letters}{{1,5}})*)[{WS}]*\z"
+    name_only = rf"^{re.escape(marker)}({letters}{{1,10}}(?:[{WS}]+{letters}{{1,5}})*)[{WS}]*\z"
     is_marked = col(line).startswith(marker) & (F.length(col(line)) > len(marker))
     ranks = F.transform(
         _texts(roles),
@@ -54,6 +59,7 @@ def with_speaker_match(
             _position("_norm", role) * 1000 + (F.lit(999) - F.length(role)),
         ),
     )
+    most = longest_name + max((len(role) for role in roles), default=0)
     role_end = F.floor(F.col("_rank") / 1000) + 999 - F.col("_rank") % 1000
     fallback = trim_ws(F.regexp_extract(col(line), name_only, 1))
     df = (
@@ -64,7 +70,7 @@ def with_speaker_match(
         .withColumn("_end", role_end)
         .withColumn(
             "speaker_name_raw",
-            F.when(F.col("_rank").isNotNull(), original_prefix("_after", "_end")).when(
+            F.when(F.col("_rank").isNotNull(), original_prefix("_after", "_end", most)).when(
                 F.col("_after").isNotNull() & (F.length(fallback) > 0), fallback
             ),
         )
@@ -128,7 +134,7 @@ def with_person_name(
         ),
     )
     unknown_post = F.length(F.regexp_extract("_post", "^.*?[長監者]", 0))
-    before_word = rf"(?s)^(.{{2,}}?)(?:{'|'.join(bigrams)}).*\z"
+    before_word = rf"(?s)^(.{{2,}}?)(?:{'|'.join(map(re.escape, bigrams))}).*\z"
     df = (
         df.withColumn("_name", F.regexp_replace(col(raw), "^補佐", ""))
         .withColumn("_post", F.when(F.col("_name").startswith("兼"), F.substr("_name", F.lit(2))))
@@ -172,5 +178,5 @@ def family_from_compact(c, single=config.ONE_CHAR_FAMILY_NAMES) -> Column:
 
 def role_pattern(roles=config.ATTENDEE_ROLES) -> str:
     """Alternation that prefers the longest role at a position."""
-    firsts = "".join(sorted({role[0] for role in roles}))
-    return f"(?=[{firsts}])(?:{'|'.join(_longest_first(roles))})"
+    firsts = "".join(re.escape(first) for first in sorted({role[0] for role in roles}))
+    return f"(?=[{firsts}])(?:{'|'.join(map(re.escape, _longest_first(roles)))})"

@@ -1,5 +1,6 @@
 """Document links of web pages."""
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -20,14 +21,16 @@ class _Anchors(HTMLParser):
     def __init__(self, headings):
         super().__init__(convert_charrefs=True)
         self.headings = headings
-        self.open = []
+        self.open = []  # (tag, its list of texts if it is a heading or an anchor)
+        self.depth = Counter()  # open tags by name
+        self.taken = []  # lists of texts of the open headings and anchors
         self.heading = None
         self.anchors = []
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
             return
-        texts = []
+        texts = [] if tag == "a" or tag in self.headings else None
         if tag in self.headings:
             self._close_to(self.headings)
             self.heading = texts
@@ -35,19 +38,27 @@ class _Anchors(HTMLParser):
             self._close_to(("a",))
             self.anchors.append((dict(reversed(attrs)).get("href"), texts, self.heading))
         self.open.append((tag, texts))
+        self.depth[tag] += 1
+        if texts is not None:
+            self.taken.append(texts)
 
     def handle_endtag(self, tag):
         self._close_to((tag,))
 
     def handle_data(self, data):
-        for _, texts in self.open:
+        for texts in self.taken:
             texts.append(data)
 
     def _close_to(self, tags):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
-                del self.open[at:]
-                return
+        """Close the innermost of ``tags`` with all it holds; every tag is closed only once."""
+        if not any(self.depth[tag] for tag in tags):
+            return
+        closed = None
+        while closed not in tags:
+            closed, texts = self.open.pop()
+            self.depth[closed] -= 1
+            if texts is not None:
+                self.taken.pop()
 
 
 def page_anchors(html: str, headings) -> list[tuple]:

@@ -152,6 +152,20 @@ def resolve_names(names: DataFrame, attendees: DataFrame, aliases: DataFrame) ->
     )
 
 
+def shared_surname_hits(resolved: DataFrame, attendees: DataFrame) -> DataFrame:
+    """Names resolved by alias although several attendees of the document bear that surname."""
+    shared = (
+        attendees.groupBy("document_id", F.col("family_name").alias("name_norm"))
+        .agg(F.countDistinct("speaker_id").alias("bearers"))
+        .filter("bearers > 1")
+    )
+    return (
+        resolved.filter(F.col("match_strategy") == "alias_norm")
+        .join(shared, _NAME)
+        .select(*_NAME, "speaker_id", "bearers")
+    )
+
+
 def resolve_speakers(
     speeches: DataFrame, documents: DataFrame, attendees: DataFrame, aliases: DataFrame, names=None
 ) -> DataFrame:
@@ -164,29 +178,40 @@ def resolve_speakers(
     resolved = resolve_names(names, attendees, aliases)
     return (
         speeches.withColumn("name_norm", normalize_alias("speaker_name"))
-        .join(resolved.drop("municipality_id", "created_at"), _NAME, "left")
+        .join(resolved.drop("created_at"), _NAME, "left")
         .withColumn("confidence", confidence_value("confidence"))
         .withColumn("speech_id", natural_id("document_id", "sequence"))
     )
 
 
-def match_rate(resolved: DataFrame, by=()) -> DataFrame:
+def count_resolved(spoken: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Speeches per (document, name) with the name's speaker.
+
+    ``spoken`` has a row for each speech (``spoken_names``), ``resolved`` one for each name.
+    """
+    counts = spoken.groupBy("document_id", normalize_alias("speaker_name").alias("name_norm")).agg(
+        F.count("*").alias("speeches")
+    )
+    return counts.join(resolved.drop("municipality_id", "created_at"), _NAME, "left")
+
+
+def match_rate(counted: DataFrame, by=()) -> DataFrame:
     """Matched and unmatched speeches and the rate in percent (one decimal)."""
     return (
-        resolved.groupBy(*by)
+        counted.groupBy(*by)
         .agg(
-            F.count("*").alias("speeches"),
-            F.count("speaker_id").alias("matched"),
+            F.coalesce(F.sum("speeches"), F.lit(0)).alias("speeches"),
+            F.coalesce(F.sum(F.when(F.col("speaker_id").isNotNull(), F.col("speeches"))), F.lit(0)).alias("matched"),
         )
         .withColumn("unmatched", F.col("speeches") - F.col("matched"))
-        .withColumn("rate", F.round(F.col("matched") * 100.0 / F.col("speeches"), 1))
+        .withColumn("rate", F.round(F.try_divide(F.col("matched") * 100.0, F.col("speeches")), 1))
     )
 
 
-def unresolved_names(resolved: DataFrame) -> DataFrame:
+def unresolved_names(counted: DataFrame) -> DataFrame:
     """Names without a speaker and how many speeches they cover."""
     return (
-        resolved.filter(F.col("speaker_id").isNull())
+        counted.filter(F.col("speaker_id").isNull())
         .groupBy("name_norm")
-        .agg(F.count("*").alias("speeches"), F.countDistinct("document_id").alias("documents"))
+        .agg(F.sum("speeches").alias("speeches"), F.count("*").alias("documents"))
     )

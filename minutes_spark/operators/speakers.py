@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
 from ..functions.text import normalize_alias, prefixes, speaker_role
+from ..sources.tables import durable
 
 LIST_ORDER = ("created_at", "document_id", "page", "line_no", "pos")
 
@@ -85,7 +86,8 @@ def alias_history(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
 
     The first writer owns it; a different speaker takes over only with a higher alias type.
     Types rise with every takeover, so there are at most as many takeovers as types minus one,
-    and each is found by one grouped minimum over the rows that are still able to take over.
+    and each is found by one grouped minimum over the rows that are still able to take over:
+    rows of a higher type, for aliases that have such rows. The rows are written once.
     ``valid_from``/``valid_to`` are ordinals (see ``derive_aliases``); stored aliases come
     before all others.
     """
@@ -104,15 +106,18 @@ def alias_history(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
         rows = existing.select(*key, *_ALIAS, F.coalesce(stored, empty).alias("ordinal")).unionByName(rows)
     rows = rows.filter(F.length("alias_norm") > 0).withColumn("priority", priority)
 
+    rows = durable(rows, "alias-rows")
     row = F.struct(*_ALIAS, "priority", "ordinal")
 
     def earliest(candidates):
-        return candidates.groupBy(*key).agg(F.min_by(row, "ordinal").alias("row"))
+        return candidates.groupBy(*key).agg(
+            F.min_by(row, "ordinal").alias("row"), F.max("_top").alias("_top")
+        )
 
-    owners = [earliest(rows)]
-    for _ in range(len(levels) - 1):
-        last = owners[-1].filter(F.col("row.priority") < max(levels.values()))
-        able = rows.filter(F.col("priority") > min(levels.values())).join(last, key)
+    owners = [earliest(rows.withColumn("_top", F.col("priority")))]
+    for beaten in sorted(levels.values())[:-1]:
+        last = owners[-1].filter(F.col("row.priority") < F.col("_top"))
+        able = rows.filter(F.col("priority") > beaten).join(last, key)
         owners.append(
             earliest(
                 able.filter(
@@ -178,11 +183,14 @@ def merge_groups(speakers: DataFrame, min_len=3) -> DataFrame:
 def repoint_speeches(speeches: DataFrame, groups: DataFrame) -> DataFrame:
     """Speeches of duplicates under their canonical speaker."""
     moves = groups.select(F.col("duplicate_id").alias("speaker_id"), "canonical_id")
-    return (
-        speeches.join(moves, "speaker_id", "left")
+    moved = (
+        speeches.filter(F.col("speaker_id").isNotNull())
+        .join(moves, "speaker_id", "left")
         .withColumn("speaker_id", F.coalesce("canonical_id", "speaker_id"))
         .drop("canonical_id")
     )
+    # speeches without a speaker share no key and need no join
+    return moved.unionByName(speeches.filter(F.col("speaker_id").isNull()))
 
 
 def drop_duplicates(speakers: DataFrame, groups: DataFrame) -> DataFrame:

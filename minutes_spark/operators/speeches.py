@@ -100,6 +100,28 @@ def named_lines(pages: DataFrame, roles=config.SPEECH_ROLES, marker=config.MARKE
     )
 
 
+def spoken_names(pages: DataFrame, roles=config.SPEECH_ROLES, block=None) -> DataFrame:
+    """The speeches of ``parse_speeches`` with their names but without text, numbers and pages.
+
+    Lines are shuffled as flags: whether they start a speech, and whether they have text.
+    """
+    piece = F.when(F.col("is_marker"), F.col("rest")).otherwise(F.col("line"))
+    flags = speaker_lines(pages, roles).select(
+        "document_id", "page", "line_no", "speaker_name_raw",
+        F.col("is_marker").cast("int").alias("_mark"),
+        (F.length(trim_ws(piece)) > 0).alias("_text"),
+    )
+    segments = (
+        running(flags, ["document_id"], ["page", "line_no"], page_blocks(block), sums={"segment": "_mark"})
+        .filter("segment > 0")
+        .groupBy("document_id", "segment")
+        .agg(F.max("speaker_name_raw").alias("speaker_name_raw"), F.max("_text").alias("_text"))
+        .filter("_text")
+        .select("document_id", "speaker_name_raw")
+    )
+    return with_speaker_name(segments, roles=roles)
+
+
 def parse_speeches(pages: DataFrame, roles=config.SPEECH_ROLES, block=None) -> DataFrame:
     """Speeches of all documents, numbered from 0 in each."""
     speeches = segment(speaker_lines(pages, roles), page_blocks(block))

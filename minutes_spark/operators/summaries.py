@@ -192,17 +192,29 @@ def request_table(speeches: DataFrame, limit=config.TOKEN_LIMIT, **options) -> D
 
 
 def ask(requests: DataFrame, model: Callable) -> DataFrame:
-    """Add ``reply`` and ``used_tokens``; ``model(kind, content)`` returns both."""
+    """Add ``reply`` and ``used_tokens``; ``model(kind, content)`` returns both.
+
+    A call that raises gives a row with ``failure`` and no reply, so the others go on.
+    """
+
+    def answer(kind, text):
+        try:
+            reply, tokens = model(kind, text)
+            return reply, int(tokens), None
+        except Exception as error:  # noqa: BLE001 - whatever the given model raises
+            return None, 0, f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = [model(kind, text) for kind, text in zip(batch["route"], batch["content"])]
+            answers = [answer(kind, text) for kind, text in zip(batch["route"], batch["content"])]
+            reply, tokens, failure = map(list, zip(*answers)) if answers else ([], [], [])
             yield batch.assign(
-                reply=[a[0] for a in answers], used_tokens=[int(a[1]) for a in answers]
+                reply=pd.Series(reply, batch.index, "object"), used_tokens=tokens,
+                failure=pd.Series(failure, batch.index, "object"),
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return requests.mapInPandas(run, f"{fields}, reply string, used_tokens long")
+    return requests.mapInPandas(run, f"{fields}, reply string, used_tokens long, failure string")
 
 
 def with_parsed_reply(df: DataFrame, reply="reply") -> DataFrame:

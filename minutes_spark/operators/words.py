@@ -57,11 +57,20 @@ def filter_tokens(
 
 
 def count_words(tokens: DataFrame, order=("document_id", "sequence", "token_no")) -> DataFrame:
-    """Count per (municipality, word); reading and part of speech of the first occurrence."""
-    first = F.min_by(F.struct("reading", "pos", "pos_detail_1"), F.struct(*order))
+    """Count per (municipality, word); reading and part of speech of the first occurrence.
+
+    Tokens are first counted by hash per speech (all of ``order`` but its last column, a
+    number); the first occurrence is looked for among these counts.
+    """
+    *speech, number = order
+    kind = ("reading", "pos", "pos_detail_1")
+    per_speech = tokens.groupBy("municipality_id", F.col("surface").alias("word"), *kind, *speech).agg(
+        F.count("*").alias("_n"), F.min(number).alias(number)
+    )
+    first = F.min_by(F.struct(*kind), F.struct(*order))
     return (
-        tokens.groupBy("municipality_id", F.col("surface").alias("word"))
-        .agg(F.count("*").alias("count"), first.alias("_first"))
+        per_speech.groupBy("municipality_id", "word")
+        .agg(F.sum("_n").alias("count"), first.alias("_first"))
         .select(
             "municipality_id", "word", "count",
             F.nullif("_first.reading", F.lit("*")).alias("reading"),

@@ -77,12 +77,22 @@ def municipality_by_id(spark, root):
 
 @query
 def unsummarized_documents(spark, root):
-    t = V.Minutes(spark, root)
-    written = t.summaries.filter(F.col("topics").isNotNull())
-    left = M.unsummarized_documents(t.with_tables(summaries=written))
+    left = _open_documents(V.Minutes(spark, root))
     return left.withColumn("created_at", F.col("created_at").cast("string"))
 
 
+def _open_documents(t):
+    written = t.summaries.filter(F.col("topics").isNotNull())
+    return M.unsummarized_documents(t.with_tables(summaries=written))
+
+
+@query
+def speeches_to_summarize(spark, root):
+    """All speeches of the parsed documents without a summary, with their whole text."""
+    t = V.Minutes(spark, root)
+    return M.speeches_to_summarize(t, _open_documents(t))
+
+
 # --- Text and parsing -------------------------------------------------------------------
 
 
@@ -365,19 +375,33 @@ def resolve_cascade(spark, root):
     )
 
 
+def _counted(spark, root):
+    """Speeches per name; no text is read beyond the lines' flags."""
+    attendees = _attendees(spark, root)
+    resolved = resolve.resolve_names(_names(spark, root), attendees, _history(spark, root, attendees))
+    return resolve.count_resolved(P.spoken_names(V.page_texts(spark, root)), resolved)
+
+
 @query
 def match_rate(spark, root):
-    return resolve.match_rate(_resolved(spark, root))
+    return resolve.match_rate(_counted(spark, root))
 
 
 @query
 def match_rate_by_document(spark, root):
-    return resolve.match_rate(_resolved(spark, root), by=["document_id"])
+    return resolve.match_rate(_counted(spark, root), by=["document_id"])
 
 
 @query
 def unresolved_names(spark, root):
-    return resolve.unresolved_names(_resolved(spark, root))
+    return resolve.unresolved_names(_counted(spark, root))
+
+
+@query
+def shared_surname_hits(spark, root):
+    attendees = _attendees(spark, root)
+    resolved = resolve.resolve_names(_names(spark, root), attendees, _history(spark, root, attendees))
+    return resolve.shared_surname_hits(resolved, attendees)
 
 
 VARIANT = """CASE substr(priority, 1, 1) WHEN '2' THEN n2 || '市民' WHEN '3' THEN n2 || '政策企画'
@@ -478,9 +502,26 @@ def replace_words(spark, root):
     )
     new = V.text_speeches(spark, root).join(labelled, "document_id", "left_semi")
     fresh = W.top_words(W.count_words(W.filter_tokens(W.tokenize(new), stop_words=STOP_WORDS)))
+    # read twice: for its keys and for its rows
+    fresh = durable(fresh, "words")
     return H.replace_rows(W.top_words(_words(spark, root)), fresh, ["municipality_id"])
 
 
+@query
+def replace_word_partitions(spark, root):
+    """The lists of ``replace_words`` by the sink: written, partly overwritten, read back."""
+    stored = W.top_words(_words(spark, root))
+    path = tables.shared_path(spark, "words")
+    stored.write.partitionBy("municipality_id").parquet(path)
+    labelled = V.table(spark, root, "labels").filter("toxic = 1").select(
+        F.col("doc_id").alias("document_id")
+    )
+    new = V.text_speeches(spark, root).join(labelled, "document_id", "left_semi")
+    fresh = W.top_words(W.count_words(W.filter_tokens(W.tokenize(new), stop_words=STOP_WORDS)))
+    tables.replace_partitions(fresh, path, ["municipality_id"])
+    return spark.read.schema(stored.schema).parquet(path)
+
+
 # --- Summaries --------------------------------------------------------------------------
 
 
@@ -717,6 +758,12 @@ def run_log(spark, root):
     return H.run_records(_outcomes(spark, root))
 
 
+@query
+def run_log_with_errors(spark, root):
+    outcomes = _outcomes(spark, root)
+    return H.log_with_errors(H.run_records(outcomes), H.run_errors(outcomes))
+
+
 @query
 def run_errors(spark, root):
     return H.run_errors(_outcomes(spark, root))

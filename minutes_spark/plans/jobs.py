@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import config
 from ..operators import attendees as A, resolve, speakers as S, speeches as P, state, summaries as G
 from ..operators import words as W
-from ..sources.tables import durable, read_table, write_table
+from ..sources.tables import conform, durable, read_table, write_table
+from . import marts
 
 
 def extract(pages: DataFrame, documents: DataFrame, speakers: DataFrame, aliases: DataFrame, block=None):
@@ -92,7 +93,8 @@ def summarize(speeches: DataFrame, model: Callable, limit=config.TOKEN_LIMIT) ->
     """Summary of each document; ``model(kind, content)`` gives (reply, tokens).
 
     ``kind`` is single, chunked or merge. Replies are written before they are used, so no
-    request is repeated by a later step. Documents with an unreadable reply have ``error``.
+    request is repeated by a later step. Documents with a failed call or an unreadable reply
+    have ``error``.
     """
     parts = durable(
         G.ask(G.request_table(speeches, limit).select("document_id", "route", "part", "content"), model),
@@ -107,12 +109,49 @@ def summarize(speeches: DataFrame, model: Callable, limit=config.TOKEN_LIMIT) ->
     tokens = G.token_totals(
         parts.select("document_id", "used_tokens").unionByName(merged.select("document_id", "used_tokens"))
     )
+    # a failed call says why; its missing reply is no JSON either
+    parsed = parsed.withColumn("error", F.coalesce("failure", "error"))
     columns = ["document_id", "summary", "topics", "key_points", "error"]
     alone = usable.join(merged.select("document_id"), "document_id", "left_anti").select(*columns)
     failed = parsed.filter("error IS NOT NULL").select(*columns).dropDuplicates(["document_id"])
     return (
-        alone.unionByName(G.with_parsed_reply(merged).select(*columns))
+        alone.unionByName(
+            G.with_parsed_reply(merged).withColumn("error", F.coalesce("failure", "error")).select(*columns)
+        )
         .unionByName(failed)
         .join(tokens.select("document_id", F.col("total_tokens").alias("token_count")), "document_id")
         .withColumnRenamed("summary", "summary_text")
     )
+
+
+def summary_outcomes(summaries: DataFrame) -> DataFrame:
+    """done, or failed with the error, of each summarised document."""
+    return summaries.select(
+        "document_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("outcome"), "error"
+    )
+
+
+def run_summarize(
+    spark: SparkSession, source: str, target: str, model: Callable, model_id: str, limit=None
+) -> DataFrame:
+    """Summarise the parsed documents without a summary; ``limit`` takes the oldest.
+
+    Good summaries are stored with the model's id; failed documents stay open for the next
+    run. Returns the counters of the run.
+    """
+    t = marts.Tables(
+        **{
+            short: read_table(spark, source, name)
+            for short, name in (
+                ("documents", "documents"), ("speeches", "speeches"), ("summaries", "document_summaries")
+            )
+        }
+    )
+    open_ = marts.unsummarized_documents(t, limit).filter("speech_count > 0")
+    new = durable(summarize(marts.speeches_to_summarize(t, open_), model), "summaries")
+    good = new.filter("error IS NULL").withColumns(
+        {"model_id": F.lit(model_id), "created_at": F.current_timestamp()}
+    )
+    stored = state.upsert_latest(t.summaries, conform(good, "document_summaries"), ["document_id"], ["created_at"])
+    write_table(stored, target, "document_summaries")
+    return state.step_counters(summary_outcomes(new))

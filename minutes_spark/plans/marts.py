@@ -5,6 +5,8 @@ pushed down to the scans. Counts are taken before joins, so that a hot document
 reduced on the map side. Ties are broken by a unique column.
 """
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config, schemas
@@ -27,6 +29,18 @@ def _of(df: DataFrame, municipality_id) -> DataFrame:
     return df if municipality_id is None else df.filter(F.col(MUNICIPALITY) == municipality_id)
 
 
+class Tables(SimpleNamespace):
+    """Tables by name, as the reports read them."""
+
+    def with_tables(self, **given: DataFrame) -> "Tables":
+        return Tables(**{**vars(self), **given})
+
+
+def _speeches(t, municipality_id) -> DataFrame:
+    """Speeches; where they carry their municipality (as stored ones do), only its partition."""
+    return _of(t.speeches, municipality_id if MUNICIPALITY in t.speeches.columns else None)
+
+
 def speech_counts(speeches: DataFrame) -> DataFrame:
     return speeches.groupBy("document_id").agg(F.count("*").alias("speech_count"))
 
@@ -40,7 +54,7 @@ def dashboard_stats(t, municipality_id=None) -> DataFrame:
     documents = _of(t.documents, municipality_id)
     per_document = (
         documents.select("document_id", MUNICIPALITY)
-        .join(speech_counts(t.speeches), "document_id", "left")
+        .join(speech_counts(_speeches(t, municipality_id)), "document_id", "left")
         .join(t.summaries.select("document_id", F.lit(1).alias("_summary")), "document_id", "left")
         .groupBy(MUNICIPALITY)
         .agg(
@@ -80,7 +94,9 @@ def recent_documents(t, municipality_id=None, limit=10) -> DataFrame:
         newest.join(t.summaries.select("document_id", "summary_text", "topics"), "document_id", "left")
         .join(
             # only the chosen documents' speeches are counted
-            speech_counts(t.speeches.join(newest.select("document_id"), "document_id", "left_semi")),
+            speech_counts(
+                _speeches(t, municipality_id).join(newest.select("document_id"), "document_id", "left_semi")
+            ),
             "document_id", "left",
         )
         .select(
@@ -113,7 +129,8 @@ def topic_frequencies(t, municipality_id=None, limit=15) -> DataFrame:
 def speaker_ranking(t, municipality_id=None, limit=15) -> DataFrame:
     """Speakers by number of speeches, those without any included."""
     counts = (
-        t.speeches.filter(F.col("speaker_id").isNotNull())
+        _speeches(t, municipality_id)
+        .filter(F.col("speaker_id").isNotNull())
         .groupBy("speaker_id")
         .agg(F.count("*").alias("count"))
     )
@@ -197,7 +214,7 @@ def document_list(t, municipality_id=None, fiscal_year=None, session_type=None)
     return (
         documents.join(sessions, "session_id", how)
         .join(t.summaries.select("document_id", "summary_text", "topics"), "document_id", "left")
-        .join(speech_counts(t.speeches), "document_id", "left")
+        .join(speech_counts(_speeches(t, municipality_id)), "document_id", "left")
         .select(
             MUNICIPALITY, "document_id", "title", "status", "created_at", "fiscal_year",
             "session_name", "session_type", session_label("session_type").alias("session_label"),
@@ -217,6 +234,16 @@ def document_header(t, municipality_id, document_id) -> DataFrame:
     )
 
 
+def _by_speaker(rows: DataFrame, speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their speaker's name and role, and rows without a speaker, which need no join."""
+    names = speakers.select("speaker_id", "name_ja", "role")
+    known = rows.filter(F.col("speaker_id").isNotNull()).join(names, "speaker_id", "left")
+    nobody = rows.filter(F.col("speaker_id").isNull()).withColumns(
+        {c: F.lit(None).cast(names.schema[c].dataType) for c in ("name_ja", "role")}
+    )
+    return known, nobody
+
+
 def document_detail(t, municipality_id=None, document_id=None) -> DataFrame:
     """Speeches with their whole text and speaker, below the document's title, session and summary.
 
@@ -226,18 +253,12 @@ def document_detail(t, municipality_id=None, document_id=None) -> DataFrame:
     if document_id is not None:
         documents = documents.filter(F.col("document_id") == document_id)
     sessions = t.sessions.select("session_id", "fiscal_year", "session_type")
-    spoken = t.speeches.filter(F.col("speaker_id").isNotNull()).join(
-        t.speakers.select("speaker_id", "name_ja", "role"), "speaker_id", "left"
-    )
-    # speeches without a speaker share no key and need no join
-    nobody = t.speeches.filter(F.col("speaker_id").isNull()).withColumns(
-        {"name_ja": F.lit(None).cast("string"), "role": F.lit(None).cast("string")}
-    )
+    spoken, nobody = _by_speaker(_speeches(t, municipality_id).drop(MUNICIPALITY, "session_id"), t.speakers)
     detail = (
         documents.select(MUNICIPALITY, "document_id", "session_id", "title", "status")
         .join(sessions, "session_id", "left")
         .join(t.summaries.select("document_id", "summary_text", "topics"), "document_id", "left")
-        .join(spoken.unionByName(nobody.select(spoken.columns)), "document_id", "left")
+        .join(spoken.unionByName(nobody), "document_id", "left")
         .select(
             MUNICIPALITY, "document_id", "title", "status", "fiscal_year", "session_type", "summary_text",
             F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), "sequence",
@@ -251,21 +272,24 @@ def document_detail(t, municipality_id=None, document_id=None) -> DataFrame:
 
 
 def speaker_breakdown(t, municipality_id=None, document_id=None) -> DataFrame:
-    """Speeches per speaker of a document; an unknown speaker is a row of its own."""
+    """Speeches per speaker of a document; an unknown speaker is a row of its own.
+
+    The speakers of one document come in order; of all documents they are not sorted.
+    """
     documents = _of(t.documents, municipality_id)
     if document_id is not None:
         documents = documents.filter(F.col("document_id") == document_id)
-    counts = t.speeches.groupBy("document_id", "speaker_id").agg(F.count("*").alias("count"))
-    return (
-        counts.join(documents.select("document_id", MUNICIPALITY), "document_id")
-        .join(t.speakers.select("speaker_id", "name_ja", "role"), "speaker_id", "left")
-        .select(
-            MUNICIPALITY, "document_id", "speaker_id",
-            F.coalesce("name_ja", F.lit(config.UNKNOWN_SPEAKER)).alias("name"),
-            display_role("role").alias("role"), "count",
-        )
-        .orderBy("document_id", F.desc("count"), "speaker_id")
+    counts = (
+        _speeches(t, municipality_id).groupBy("document_id", "speaker_id").agg(F.count("*").alias("count"))
+        .join(documents.select("document_id", MUNICIPALITY), "document_id")
+    )
+    known, nobody = _by_speaker(counts, t.speakers)
+    breakdown = known.unionByName(nobody).select(
+        MUNICIPALITY, "document_id", "speaker_id",
+        F.coalesce("name_ja", F.lit(config.UNKNOWN_SPEAKER)).alias("name"),
+        display_role("role").alias("role"), "count",
     )
+    return breakdown if document_id is None else breakdown.orderBy(F.desc("count"), "speaker_id")
 
 
 def fiscal_years(t, municipality_id=None) -> DataFrame:
@@ -321,12 +345,14 @@ def parsed_documents(t, limit=None) -> DataFrame:
     documents = (
         t.documents.filter(F.col("status") == "parsed")
         .select(MUNICIPALITY, "document_id", "title", "created_at")
-        .orderBy("created_at", "document_id")
     )
+    speeches = t.speeches
     if limit:
-        documents = documents.limit(limit)
+        documents = documents.orderBy("created_at", "document_id").limit(limit)
+        # only the chosen documents' speeches are counted
+        speeches = speeches.join(documents.select("document_id"), "document_id", "left_semi")
     return (
-        documents.join(speech_counts(t.speeches), "document_id", "left")
+        documents.join(speech_counts(speeches), "document_id", "left")
         .select(MUNICIPALITY, "document_id", "title", "created_at", _count("speech_count"))
         .orderBy("created_at", "document_id")
     )
@@ -339,7 +365,10 @@ def unsummarized_documents(t, limit=None) -> DataFrame:
 
 
 def speeches_to_summarize(t, documents: DataFrame) -> DataFrame:
-    """The ordered speeches of the chosen documents."""
+    """The speeches of the chosen documents, each with its number in the document.
+
+    ``summaries.request_table`` puts them into order.
+    """
     return t.speeches.join(
         documents.select("document_id"), "document_id", "left_semi"
     ).select("document_id", "sequence", "speaker_name_raw", "speech_text")

@@ -389,6 +389,9 @@ _BODIES = {
     "unsummarized_documents": """SELECT municipality_id, document_id, title, CAST(created_at AS VARCHAR) AS created_at, coalesce(speech_count, 0) AS speech_count
         FROM a_documents LEFT JOIN counts USING (document_id) WHERE status = 'parsed'
         AND document_id NOT IN (SELECT document_id FROM a_summaries WHERE topics IS NOT NULL)""",
+    "speeches_to_summarize": """SELECT document_id, sequence, speaker_name_raw, speech_text FROM a_speeches WHERE document_id IN (
+        SELECT document_id FROM a_documents WHERE status = 'parsed'
+        AND document_id NOT IN (SELECT document_id FROM a_summaries WHERE topics IS NOT NULL))""",
     "flatten_lines": f"""SELECT document_id, line_no, rtrim(line, {_SPACES}) AS line
         FROM (SELECT doc_id AS document_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
         WHERE NOT regexp_matches(line, '^[{_WS}]*[0-9]+[{_WS}]*$') AND rtrim(line, {_SPACES}) <> ''""",
@@ -442,6 +445,10 @@ _BODIES = {
         round(count(speaker_id) * 100.0 / count(*), 1)::DOUBLE AS rate FROM resolved GROUP BY document_id""",
     "unresolved_names": """SELECT name_norm, count(*) AS speeches, count(DISTINCT document_id) AS documents
         FROM resolved WHERE speaker_id IS NULL GROUP BY name_norm""",
+    "shared_surname_hits": """SELECT r.document_id, r.name_norm, r.speaker_id, b.bearers FROM resolved_names r
+        JOIN (SELECT document_id, family_name, count(DISTINCT speaker_id) AS bearers FROM known_people GROUP BY ALL) b
+        ON b.document_id = r.document_id AND b.family_name = r.name_norm
+        WHERE r.match_strategy = 'alias_norm' AND b.bearers > 1""",
     "prefix_merge": "SELECT * FROM groups",
     "repoint_speeches": """SELECT v.document_id, coalesce(g.canonical_id, v.speaker_id) AS speaker_id
         FROM variant_ids v LEFT JOIN groups g ON g.duplicate_id = v.speaker_id""",
@@ -457,6 +464,8 @@ _BODIES = {
             FROM ranked_words WHERE rank <= 200 WINDOW g AS (PARTITION BY municipality_id)) WHERE rank <= 100""",
     "replace_words": """SELECT municipality_id, word, count, reading, part_of_speech FROM ranked_words WHERE rank <= 500
         AND municipality_id NOT IN (SELECT municipality_id FROM fresh_words) UNION ALL SELECT * FROM fresh_words""",
+    "replace_word_partitions": """SELECT municipality_id, word, count, reading, part_of_speech FROM ranked_words WHERE rank <= 500
+        AND municipality_id NOT IN (SELECT municipality_id FROM fresh_words) UNION ALL SELECT * FROM fresh_words""",
     "token_estimate": "SELECT document_id, sequence, CAST(ceil(units / 2.0) AS BIGINT) AS tokens FROM turns",
     "route_documents": "SELECT * FROM routes",
     "chunk_packing": "SELECT document_id, sequence, tokens, chunk FROM packed",
@@ -511,6 +520,10 @@ _BODIES = {
     "documents_to_fetch": "SELECT document_id, status FROM a_documents WHERE status = 'discovered'",
     "run_log": """SELECT run_id, total, done, skipped, failed, CASE WHEN failed = 0 THEN 'success' WHEN done > 0 THEN 'partial' ELSE 'failed' END AS status,
         '{"total":' || total || ',"done":' || done || ',"skipped":' || skipped || ',"failed":' || failed || '}' AS log FROM runs""",
+    "run_log_with_errors": """SELECT run_id, total, done, skipped, failed, CASE WHEN failed = 0 THEN 'success' WHEN done > 0 THEN 'partial' ELSE 'failed' END AS status,
+        '{"total":' || total || ',"done":' || done || ',"skipped":' || skipped || ',"failed":' || failed || ',"errors":[' || coalesce(errors, '') || ']}' AS log
+        FROM runs LEFT JOIN (SELECT run_id, string_agg('{"url":"' || url || '","error":"' || error || '"}', ',' ORDER BY url, error) AS errors
+            FROM outcomes WHERE outcome = 'failed' GROUP BY run_id) USING (run_id)""",
     "run_errors": "SELECT run_id, url, error FROM outcomes WHERE outcome = 'failed'",
     "step_counters": """SELECT municipality_id, CAST(sum(total) AS BIGINT) AS total, CAST(sum(done) AS BIGINT) AS done, CAST(sum(skipped) AS BIGINT) AS skipped,
         CAST(sum(failed) AS BIGINT) AS failed FROM runs GROUP BY municipality_id""",

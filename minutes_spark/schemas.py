@@ -38,7 +38,7 @@ TABLES = {
         alias_id=_s, municipality_id=_s, speaker_id=_s, alias_raw=_s, alias_norm=_s,
         alias_type=_s, confidence=_d, created_at=_ts, updated_at=_ts),
     "speeches": _table(
-        speech_id=_s, document_id=_s, session_id=_s, speaker_id=_s, speaker_name_raw=_s,
+        speech_id=_s, municipality_id=_s, document_id=_s, session_id=_s, speaker_id=_s, speaker_name_raw=_s,
         sequence=_i, speech_text=_s, speech_text_clean=_s, page_start=_i, page_end=_i,
         confidence=_d, created_at=_ts),
     "word_frequencies": _table(
@@ -62,6 +62,7 @@ UNIQUE_KEYS = {
 
 PARTITIONED_BY = {
     "documents": ("municipality_id",),
+    "speeches": ("municipality_id",),
     "word_frequencies": ("municipality_id",),
 }
 

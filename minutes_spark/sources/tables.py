@@ -52,13 +52,8 @@ def replace_partitions(df: DataFrame, path: str, partitioned_by) -> None:
     )
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from the files.
-
-    For results that several later steps read: they are computed once, survive lost
-    executors, and come back with known sizes.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the cluster's shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         # a folder of one machine serves a local master only
@@ -66,7 +61,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and go on from the files.
+
+    For results that several later steps read: they are computed once, survive lost
+    executors, and come back with known sizes.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

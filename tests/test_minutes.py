@@ -125,3 +125,12 @@ def test_attendee_checks(spark):
     )
     assert {r.family_name for r in A.unique_families(df).collect()} == {"南澤", "一二"}
     assert tuple(A.suspicious_attendees(df).first()) == ("d", 4, 1)
+
+
+def test_spoken_names_are_the_names_of_speeches(spark):
+    texts = ["○大下議長\nはい。\n○南澤議員\n \n○大下議長ただいま。", "続き。\n○田中\n○南澤議員\n 3 \n　", "終わり。\n○大下議長"]
+    pages = spark.createDataFrame([("d", n, t) for n, t in enumerate(texts)], "document_id string, page int, text string")
+    names = sorted(r.speaker_name for r in P.parse_speeches(pages).collect())
+    for size in (1, 2, 50):
+        found = P.spoken_names(pages, block=F.floor(F.col("page") / size)).collect()
+        assert sorted(r.speaker_name for r in found) == names

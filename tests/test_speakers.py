@@ -51,8 +51,15 @@ def test_cascade(spark, documents):
         (None, 0.3, "unresolved"),  # registered by a later document
         ("南澤克彦", 1.0, "exact_family"),
     ]
-    rate = R.match_rate(R.resolve_speakers(speeches, documents, people, history)).first()
-    assert (rate.matched, rate.unmatched, rate.rate) == (9, 3, 75.0)
+    resolved = R.resolve_names(R.speech_names(speeches, documents), people, history)
+    counted = R.count_resolved(speeches, resolved)
+    rate = R.match_rate(counted).first()
+    assert (rate.speeches, rate.matched, rate.unmatched, rate.rate) == (12, 9, 3, 75.0)
+    empty = R.match_rate(counted.limit(0)).first()
+    assert (empty.speeches, empty.matched, empty.rate) == (0, 0, None)
+    assert {(r.name_norm, r.speeches, r.documents) for r in R.unresolved_names(counted).collect()} == {
+        ("山本(外)", 1, 1), ("田中", 1, 1), ("後藤", 1, 1)}
+    assert [(r.name_norm, r.bearers) for r in R.shared_surname_hits(resolved, people).collect()] == [("山本", 2)]
 
 
 def test_upsert_speakers(spark, documents):
@@ -133,6 +140,13 @@ def test_merge_groups_equal_the_greedy_loop(spark):
     assert S.drop_duplicates(speakers, groups).count() == len(rows) - len(expected)
 
 
+def test_repoint_keeps_speeches_without_a_speaker(spark):
+    groups = spark.createDataFrame([("b", "a")], "duplicate_id string, canonical_id string")
+    speeches = spark.createDataFrame([(1, "b"), (2, None), (3, "c")], "n int, speaker_id string")
+    moved = S.repoint_speeches(speeches, groups).select("n", "speaker_id").collect()
+    assert {tuple(r) for r in moved} == {(1, "a"), (2, None), (3, "c")}
+
+
 def test_repoint(spark):
     groups = spark.createDataFrame([("m", "dup", "長い名", "can", "長い")], "municipality_id string, duplicate_id string, duplicate_name string, canonical_id string, canonical_name string")
     speeches = spark.createDataFrame([("dup",), ("dup",), ("can",), (None,)], "speaker_id string")

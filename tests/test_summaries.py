@@ -71,8 +71,10 @@ def test_summarize(spark):
     def model(kind, content):
         if "壊" in content:
             return "oops", 1
+        if "止" in content:
+            raise TimeoutError("no answer")
         return '{"summary": "%s", "topics": ["t"], "key_points": []}' % kind, 10
 
-    rows = [("a", 0, "甲", "短い"), ("b", 0, "甲", "あ" * 40), ("b", 1, "乙", "い" * 40), ("c", 0, "甲", "壊")]
+    rows = [("a", 0, "甲", "短い"), ("b", 0, "甲", "あ" * 40), ("b", 1, "乙", "い" * 40), ("c", 0, "甲", "壊"), ("d", 0, "甲", "止")]
     got = {r.document_id: (r.summary_text, r.error, r.token_count) for r in summarize(spark.createDataFrame(rows, SPEECH), model, 25).collect()}
-    assert got == {"a": ("single", None, 10), "b": ("merge", None, 30), "c": (None, "reply is not JSON", 1)}
+    assert got == {"a": ("single", None, 10), "b": ("merge", None, 30), "c": (None, "reply is not JSON", 1), "d": (None, "TimeoutError: no answer", 0)}

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -37,6 +38,12 @@ def test_links(spark):
     ]
 
 
+def test_unclosed_tags_take_linear_time():
+    start = time.perf_counter()
+    anchors = links.page_anchors("<p>text " * 40_000 + "</b>" * 40_000 + '<h2>x</h2><a href="/1">y</a>', ("h2",))
+    assert anchors == [(0, "/1", "y", "x")] and time.perf_counter() - start < 5
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "r6-first.pdf").write_bytes(b"hello-world")
     (tmp_path / "b.PDF").write_bytes(bytes([1, 2, 3, 4, 5]))
@@ -97,6 +104,30 @@ def test_runs(spark):
     assert logs["r2"] == '{"total":2,"done":1,"skipped":0,"failed":1,"errors":[{"url":"u3","error":"e"}]}'
 
 
+def test_run_summarize(spark, tmp_path):
+    now, source, target = datetime(2024, 1, 1), str(tmp_path / "v1"), str(tmp_path / "v2")
+    data = {
+        "documents": [{"document_id": d, "municipality_id": "m", "status": s, "created_at": now}
+                      for d, s in (("a", "parsed"), ("b", "parsed"), ("c", "downloaded"), ("d", "parsed"), ("e", "parsed"))],
+        "speeches": [{"document_id": d, "municipality_id": "m", "sequence": 0, "speaker_name_raw": "甲", "speech_text": d} for d in "abcd"],
+        "document_summaries": [{"document_id": "d", "summary_text": "old"}],
+    }
+    for name, rows in data.items():
+        schema = schemas.TABLES[name]
+        full = [tuple(row.get(f) for f in schema.fieldNames()) for row in rows]
+        tables.write_table(spark.createDataFrame(full, schema), source, name)
+
+    def model(kind, content):
+        if content.endswith("b"):
+            raise ValueError("busy")
+        return '{"summary": "new", "topics": [], "key_points": []}', 7
+
+    counters = jobs.run_summarize(spark, source, target, model, "model-1").first()
+    assert (counters.total, counters.done, counters.failed) == (2, 1, 1)
+    stored = tables.read_table(spark, target, "document_summaries").orderBy("document_id").collect()
+    assert [(r.document_id, r.summary_text, r.model_id, r.token_count) for r in stored] == [("a", "new", "model-1", 7), ("d", "old", None, None)]
+
+
 def test_words(spark):
     tokens = [
         ("財政", "ザイセイ", "名詞", "一般"), ("財政", "x", "名詞", "固有名詞"), ("それ", "ソレ", "名詞", "代名詞"), ("議員", "ギイン", "名詞", "一般"),
@@ -134,6 +165,8 @@ def test_extract_job_and_incremental_pages(spark, tmp_path):
         status = {r.document_id: r.status for r in tables.read_table(spark, target, "documents", "m").collect()}
         assert status == {"a": "parsed", "b": "downloaded", "c": "parsed"}
         assert tables.read_table(spark, target, "speakers").count() == 1
+        own = tables.read_table(spark, target, "speeches", "m")
+        assert own.count() == 2 and "PartitionFilters: [isnotnull(municipality_id" in own._jdf.queryExecution().toString()
         assert tables.read_table(spark, target, "speaker_aliases").count() == 2
 
     seen = []
