@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .common import durable
+
 Q = 10
 #: Edits allowed, as a share of a passage's characters.
 EDITS = 0.06
@@ -257,9 +259,16 @@ def contaminated(docs, benchmark, key="doc_id", text="text", q=Q, share=EDITS, b
 
 
 def decontaminated(docs, benchmark, text="text", q=Q, share=EDITS, block_chars=BLOCK_CHARS):
-    """The rows of ``docs`` without a benchmark passage; nothing is shuffled."""
+    """The rows of ``docs`` without a benchmark passage; nothing is shuffled.
+
+    What one block leaves is written before the next block looks at it, so that a worker never
+    holds the indexes of two blocks.
+    """
+    searched = False
     for rows in benchmark_blocks(benchmark, block_chars=block_chars):
         if rows:
+            docs = durable(docs, "decontaminated") if searched else docs
             hits = _hits_of(PassageIndex.build(rows, q, share), docs.sparkSession)
             docs = docs.withColumn("_hits", hits(F.col(text))).filter(F.size("_hits") == 0).drop("_hits")
+            searched = True
     return docs

@@ -327,6 +327,9 @@ def test_passages_within_the_budget_are_found(spark, real):
     blocks = decontaminate.contaminated(docs_of(spark, texts), bench, block_chars=2000).collect()
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, got))
     assert decontaminate.decontaminated(docs_of(spark, texts), bench).count() == 0
+    more = docs_of(spark, [*texts, "a clean text", None])
+    kept = decontaminate.decontaminated(more, bench, block_chars=2000).collect()
+    assert sorted(r["doc_id"] for r in kept) == [len(texts), len(texts) + 1]
 
 
 # --- 9 ---------------------------------------------------------------------------------------
