@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import Index, chunks_of, utf8
 
 UNDETERMINED = "und"
-#: Bytes of training text per language; whole documents are drawn by hash up to about so much.
+#: Bytes of training text per language; whole documents are drawn by the hash of key and text up to
+#: about so much, each copy of a text on its own, so that no large group of copies is drawn whole.
 SAMPLE_BYTES = 4 << 20
 #: Bytes of context in front of a byte.
 ORDER = 3
@@ -168,17 +169,25 @@ class LanguageModel:
         return out, lengths
 
 
-def fit(docs, text="text", lang="lang", order=ORDER, sample_bytes=SAMPLE_BYTES):
-    """Context trees of the languages in ``lang``, from about ``sample_bytes`` of text of each."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
+def training_sample(docs, text="text", lang="lang", key="doc_id", sample_bytes=SAMPLE_BYTES):
+    """The languages in ``lang``, and rows (text, lang) with about ``sample_bytes`` of text of each."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
+    rows = rows.dropna(subset=["text", "lang"])
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
     sizes = {r["lang"]: r["n"] for r in sizes if r["n"]}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], order, [], [], [])
-    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20))
+        return [], rows.select("text", "lang")
+    draw = F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(1 << 20))
     shares = F.create_map(*(F.lit(x) for k in languages for x in (k, int((1 << 20) * min(1.0, sample_bytes / sizes[k])))))
-    drawn = rows.filter(draw < F.element_at(shares, F.col("lang")))
+    return languages, rows.filter(draw < F.element_at(shares, F.col("lang"))).select("text", "lang")
+
+
+def fit(docs, text="text", lang="lang", key="doc_id", order=ORDER, sample_bytes=SAMPLE_BYTES):
+    """Context trees of the languages in ``lang``, from about ``sample_bytes`` of text of each."""
+    languages, drawn = training_sample(docs, text, lang, key, sample_bytes)
+    if not languages:
+        return LanguageModel([], order, [], [], [])
     counts = (
         drawn.mapInArrow(_count_grams(order), "lang string, gram long, n long")
         .groupBy("lang", "gram")

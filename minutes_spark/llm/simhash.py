@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
 from .common import durable
 
@@ -220,11 +221,10 @@ def components(edges):
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs, text="text", key="doc_id", radius=RADIUS, bands=BANDS, block=BLOCK):
-    """(key, fingerprint, component_id) of every row; the component's smallest key names it."""
-    marked = durable(
-        fingerprints(docs.select(F.col(key), F.col(text).alias("_text")), "_text").drop("_text"), "fingerprints"
-    )
+def _labelled(docs, text, key, radius, bands, block):
+    """(key, text_hash, fingerprint, root, component_id) of every row."""
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
+    marked = durable(fingerprints(rows, "_text").drop("_text"), "fingerprints")
     nodes = durable(
         marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("low")), "fingerprint-nodes"
     )
@@ -234,14 +234,27 @@ def near_duplicates(docs, text="text", key="doc_id", radius=RADIUS, bands=BANDS,
     )
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = durable(
-        rooted.join(lows, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "components"
+        rooted.join(lows, "root").select(F.col("fp").alias("fingerprint"), "root", "component_id"), "components"
     )
-    return marked.join(named, "fingerprint").select(key, "fingerprint", "component_id")
+    return marked.join(named, "fingerprint")
 
 
-def deduplicated(docs, text="text", key="doc_id", **options):
-    """One row of each component: one of those with its smallest key. Rows without a key all stay."""
-    found = near_duplicates(docs.filter(F.col(key).isNotNull()), text, key, **options)
-    kept = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    chosen = docs.join(durable(kept, "kept"), key, "left_semi").dropDuplicates([key])
+def near_duplicates(docs, text="text", key="doc_id", radius=RADIUS, bands=BANDS, block=BLOCK):
+    """(key, fingerprint, component_id) of every row; the component's smallest key names it."""
+    return _labelled(docs, text, key, radius, bands, block).select(key, "fingerprint", "component_id")
+
+
+def deduplicated(docs, text="text", key="doc_id", radius=RADIUS, bands=BANDS, block=BLOCK):
+    """One row of each component: one of those with its smallest key. Rows without a key all stay.
+
+    A key that stands in several components with different texts keeps a row in each of them
+    that it names; the hash of the text tells those rows apart.
+    """
+    found = _labelled(docs.filter(F.col(key).isNotNull()), text, key, radius, bands, block)
+    firsts = found.filter(F.col(key) == F.col("component_id")).groupBy(key, "root").agg(F.min("text_hash").alias("_text_hash"))
+    several = F.count("*").over(Window.partitionBy(key)) > 1
+    kept = firsts.select(key, F.when(several, F.col("_text_hash")).alias("_text_hash"))
+    named = docs.join(durable(kept, "kept"), key)
+    own = F.col("_text_hash").isNull() | (F.col("_text_hash") == F.xxhash64(text))
+    chosen = named.filter(own).dropDuplicates([key, "_text_hash"]).select(*docs.columns)
     return chosen.unionByName(docs.filter(F.col(key).isNull()))

@@ -415,3 +415,19 @@ def test_links_of_dense_groups_connect_what_all_pairs_connect(spark):
     assert groups(found) == groups({signed(k): signed(v) for k, v in want.items()})
     assert all(found[k] == min(g) for g in groups(found) for k in g)
 
+
+
+def test_equal_keys_with_different_texts_each_keep_a_row(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (4, c), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (4, c), (None, a), (None, a)], key=str)
+
+
+def test_copies_of_one_text_do_not_swell_the_sample(spark):
+    text = "one text that stands in very many rows " * 25
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    languages, drawn = langid.training_sample(docs, sample_bytes=40 * len(text))
+    assert languages == ["en"] and 10 < drawn.count() < 100
