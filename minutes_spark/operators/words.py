@@ -14,7 +14,9 @@ def tokenize(speeches: DataFrame, tokenizer: Callable | None = None, text="speec
     """One row per token with the speech's other columns.
 
     ``tokenizer`` maps a text to ``(surface, reading, pos, pos_detail_1)`` tuples and runs on
-    Arrow batches. The default takes runs of letters as nouns and stays in the JVM.
+    Arrow batches. The default takes runs of letters as nouns and stays in the JVM. With a
+    ``tokenizer`` there is a column ``error``: a text on which it raises gives one row that
+    says why and has no surface, so the others go on.
     """
     keep = [c for c in speeches.columns if c != text]
     if tokenizer is None:
@@ -26,18 +28,26 @@ def tokenize(speeches: DataFrame, tokenizer: Callable | None = None, text="speec
             F.lit("一般").alias("pos_detail_1"),
         )
 
+    none = (None,) * 4
+
+    def tokens_of(value):
+        try:
+            return [(*token, None) for token in map(tuple, tokenizer(value))]
+        except Exception as error:  # noqa: BLE001 - whatever the given tokenizer raises
+            return [(*none, f"{type(error).__name__}: {error}")]
+
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            lists = [list(map(tuple, tokenizer(t))) for t in batch[text].fillna("")]
+            lists = [tokens_of(t) for t in batch[text].fillna("")]
             tokens = batch[keep].assign(_t=lists).explode("_t", ignore_index=True)
             tokens = tokens[tokens["_t"].notna()]
-            for at, name in enumerate(("surface", "reading", "pos", "pos_detail_1")):
+            for at, name in enumerate(("surface", "reading", "pos", "pos_detail_1", "error")):
                 tokens[name] = [t[at] for t in tokens["_t"]]
             tokens["token_no"] = [n for ts in lists for n in range(len(ts))]
             yield tokens.drop(columns="_t")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in speeches.schema if f.name in keep)
-    return speeches.mapInPandas(run, f"{fields}, {TOKEN_SCHEMA}")
+    return speeches.mapInPandas(run, f"{fields}, {TOKEN_SCHEMA}, error string")
 
 
 def filter_tokens(
@@ -47,13 +57,17 @@ def filter_tokens(
     dropped=config.DROPPED_NOUN_KINDS,
     min_length=config.MIN_WORD_LENGTH,
 ) -> DataFrame:
-    """Nouns that can stand alone, are long enough, and are neither stop words nor numbers."""
+    """Nouns that can stand alone, are long enough, and are neither stop words nor numbers.
+
+    Rows with an ``error`` stay; they are no words.
+    """
     kind = F.coalesce("pos_detail_1", F.lit(""))
     word = F.col("surface")
     kept = (F.col("pos") == noun) & ~kind.isin(*dropped) & (F.length(word) >= min_length)
     if stop_words:
         kept &= ~word.isin(*stop_words)
-    return tokens.filter(kept & ~word.rlike(r"^[0-9０-９]+\z"))
+    kept &= ~word.rlike(r"^[0-9０-９]+\z")
+    return tokens.filter(kept | F.col("error").isNotNull() if "error" in tokens.columns else kept)
 
 
 def count_words(tokens: DataFrame, order=("document_id", "sequence", "token_no")) -> DataFrame:
@@ -64,6 +78,8 @@ def count_words(tokens: DataFrame, order=("document_id", "sequence", "token_no")
     """
     *speech, number = order
     kind = ("reading", "pos", "pos_detail_1")
+    if "error" in tokens.columns:
+        tokens = tokens.filter("error IS NULL")
     per_speech = tokens.groupBy("municipality_id", F.col("surface").alias("word"), *kind, *speech).agg(
         F.count("*").alias("_n"), F.min(number).alias(number)
     )

@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config
 from ..operators import attendees as A, resolve, speakers as S, speeches as P, state, summaries as G
+from ..functions.urls import local_url, title_from_filename
 from ..operators import words as W
-from ..sources.tables import conform, durable, read_table, write_table
+from ..schemas import PARTITIONED_BY, TABLES
+from ..sources.tables import (
+    LONGEST_FILE, check_keys, conform, durable, fingerprint, read_table, replace_partitions, scan_files,
+    too_long_files, write_table,
+)
 from . import marts
 
 
@@ -56,37 +61,145 @@ def outcomes(documents: DataFrame, assets: DataFrame, speeches: DataFrame) -> Da
     )
 
 
-def run_extract(spark: SparkSession, source: str, target: str, again=False) -> DataFrame:
+def replace_speeches(stored: DataFrame, new: DataFrame, path: str) -> None:
+    """Put the speeches of ``new``'s documents in the place of theirs in the table at ``path``.
+
+    Only the partitions of municipalities that occur in ``new`` are read and rewritten; their
+    ids, at most one for each municipality, prune the scan.
+    """
+    check_keys(new, "speeches")
+    touched = [r[0] for r in new.select("municipality_id").distinct().collect()]
+    own = F.col("municipality_id").isin([m for m in touched if m is not None])
+    if None in touched:
+        own |= F.col("municipality_id").isNull()
+    rows = state.replace_rows(stored.filter(own), new, ["document_id"])
+    if touched:
+        replace_partitions(conform(rows, "speeches"), path, PARTITIONED_BY["speeches"])
+
+
+def run_extract(spark: SparkSession, source: str, target: str, again=False, speeches_at=None) -> DataFrame:
     """Parse all downloaded documents; ``again`` puts parsed ones back first.
 
+    ``speeches_at`` is a speeches table beside the snapshots: it stays where it is, and only
+    the partitions that change are written; the snapshots then hold no speeches. A run that
+    failed half-way is repeated: its documents are still open in ``source``.
     Returns the counters of the run.
     """
     tables = {
         name: read_table(spark, source, name)
-        for name in ("documents", "document_assets", "pages", "speakers", "speaker_aliases", "speeches")
+        for name in ("documents", "document_assets", "pages", "speakers", "speaker_aliases")
     }
+    stored = spark.read.schema(TABLES["speeches"]).parquet(speeches_at or f"{source}/speeches")
     documents = state.reset_status(tables["documents"]) if again else tables["documents"]
     pending = documents.filter("status = 'downloaded'")
     with_asset = pending.join(tables["document_assets"], "document_id", "left_semi")
     pages = tables["pages"].join(with_asset, "document_id", "left_semi")
     new = extract(pages, with_asset, tables["speakers"], tables["speaker_aliases"])
-    speeches = durable(new["speeches"], "speeches")
+    speeches = durable(new["speeches"].drop("name_norm"), "speeches")
     results = outcomes(pending, tables["document_assets"], speeches)
 
     write_table(new["speakers"], target, "speakers")
     write_table(new["speaker_aliases"], target, "speaker_aliases")
-    write_table(state.replace_rows(tables["speeches"], speeches.drop("name_norm"), ["document_id"]), target, "speeches")
+    if speeches_at:
+        replace_speeches(stored, speeches, speeches_at)
+    else:
+        write_table(state.replace_rows(stored, speeches, ["document_id"]), target, "speeches")
     write_table(state.advance_status(documents, results), target, "documents")
     return state.step_counters(results)
 
 
-def run_words(spark: SparkSession, source: str, target: str, tokenizer: Callable | None = None) -> None:
-    """Word lists of every municipality that has speeches."""
+def run_import(
+    spark: SparkSession, source: str, target: str, files: str, municipality_id: str, run_id: str,
+    source_id=None, longest=LONGEST_FILE,
+) -> DataFrame:
+    """Register the document files below ``files``: documents, assets and the run's record.
+
+    A file whose document was fetched before is skipped; one that fits no value (``longest`` bytes)
+    is a failure.
+    Of several files of one name the one with the smallest hash counts. Returns the run.
+    """
+    started = spark.sql("SELECT current_timestamp() AS t").first().t
+    scanned = fingerprint(scan_files(spark, files, longest=longest)).select("path", "name", "sha256", "bytes")
+    failed = too_long_files(spark, files, longest=longest).select(
+        "path", "name", F.lit(None).cast("string").alias("sha256"), F.col("length").alias("bytes")
+    )
+    found = state.first_per_key(scanned.unionByName(failed), ["name"], ["sha256", "path"])
+    found = durable(found.withColumn("url", local_url("name")), "files")
+
+    new = found.select(
+        S.natural_id("url").alias("document_id"), "url", title_from_filename("name").alias("title"),
+        F.lit(municipality_id).alias("municipality_id"), F.lit(source_id).alias("source_id"),
+        F.lit("other").alias("document_type"), F.lit("discovered").alias("status"),
+        F.lit(started).alias("created_at"), F.lit(started).alias("updated_at"),
+    )
+    known = state.insert_if_absent(
+        read_table(spark, source, "documents"), conform(new, "documents"), ["url"], ["document_id"]
+    )
+    known = durable(known.drop("is_new"), "documents")
+    outcome = (
+        F.when(F.col("status").isin(*state.FETCHED), "skipped").when(F.col("sha256").isNull(), "failed").otherwise("done")
+    )
+    results = durable(
+        found.join(known.select("url", "document_id", "status"), "url").select(
+            "document_id", "url", "path", "sha256", "bytes", outcome.alias("outcome"),
+            (outcome == "done").alias("fetched"), F.lit(False).alias("stored"),
+            F.when(outcome == "failed", F.concat(F.lit("file of "), F.col("bytes"), F.lit(" bytes"))).alias("error"),
+        ),
+        "imports",
+    )
+    assets = results.filter("fetched").select(
+        "document_id", F.lit("local").alias("storage_provider"), F.col("path").alias("storage_path"),
+        F.col("sha256").alias("content_sha256"), F.lit("application/pdf").alias("content_type"), "bytes",
+        F.lit(started).alias("downloaded_at"),
+    )
+    stored = read_table(spark, source, "document_assets")
+    write_table(state.upsert_latest(stored, assets, ["document_id"], ["downloaded_at"]), target, "document_assets")
+    write_table(state.advance_status(known, results), target, "documents")
+    run = state.run_records(results, by=()).withColumn("run_id", F.lit(run_id))
+    errors = state.run_errors(results.withColumn("run_id", F.lit(run_id)))
+    run = state.log_with_errors(run, errors).withColumns(
+        {
+            "municipality_id": F.lit(municipality_id), "trigger": F.lit("manual"),
+            "started_at": F.lit(started), "finished_at": F.current_timestamp(),
+        }
+    )
+    run = durable(run, "run")
+    runs = read_table(spark, source, "ingestion_runs")
+    write_table(state.replace_rows(runs, conform(run, "ingestion_runs"), ["run_id"]), target, "ingestion_runs")
+    return run
+
+
+def run_merge(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Merge speakers whose names go on from a shorter one's; speeches and aliases follow.
+
+    Returns the merged speakers with the number of speeches that moved.
+    """
+    speakers, aliases, speeches = (
+        read_table(spark, source, name) for name in ("speakers", "speaker_aliases", "speeches")
+    )
+    groups = durable(S.merge_groups(speakers), "merges")
+    write_table(S.drop_duplicates(speakers, groups), target, "speakers")
+    write_table(S.repoint_speeches(aliases, groups), target, "speaker_aliases")
+    write_table(S.repoint_speeches(speeches, groups), target, "speeches")
+    return S.merge_report(speeches, groups)
+
+
+def run_words(spark: SparkSession, source: str, target: str, tokenizer: Callable | None = None) -> DataFrame:
+    """Word lists of every municipality that has speeches.
+
+    Returns the speeches on which the tokenizer failed; the others are counted.
+    """
     documents = read_table(spark, source, "documents").select("document_id", "municipality_id")
     speeches = read_table(spark, source, "speeches").select("document_id", "sequence", "speech_text")
-    tokens = W.tokenize(speeches.join(documents, "document_id"), tokenizer)
-    words = W.top_words(W.count_words(W.filter_tokens(tokens)))
+    tokens = W.filter_tokens(W.tokenize(speeches.join(documents, "document_id"), tokenizer))
+    if tokenizer is None:
+        tokens = tokens.withColumn("error", F.lit(None).cast("string"))
+    else:
+        # two steps read the kept tokens, and a tokenizer is slow
+        tokens = durable(tokens, "tokens")
+    words = W.top_words(W.count_words(tokens))
     write_table(words.withColumn("created_at", F.current_timestamp()), target, "word_frequencies")
+    return tokens.filter("error IS NOT NULL").select("document_id", "sequence", "error")
 
 
 def summarize(speeches: DataFrame, model: Callable, limit=config.TOKEN_LIMIT) -> DataFrame:

@@ -77,3 +77,14 @@ CODES = {
     "trigger": ("manual", "schedule", "webhook"),
     "run_status": ("success", "partial", "failed"),
 }
+
+#: Columns whose values are codes.
+CODED = {
+    "sources": {"source_type": "source_type"},
+    "sessions": {"session_type": "session_type"},
+    "documents": {"document_type": "document_type", "status": "document_status"},
+    "document_assets": {"storage_provider": "storage_provider"},
+    "speakers": {"role": "speaker_role"},
+    "speaker_aliases": {"alias_type": "alias_type"},
+    "ingestion_runs": {"trigger": "trigger", "status": "run_status"},
+}

@@ -33,12 +33,37 @@ def _balanced(df: DataFrame, partitioned_by) -> DataFrame:
     return df.hint("rebalance", *partitioned_by) if partitioned_by else df
 
 
+def checked_codes(df: DataFrame, name: str) -> DataFrame:
+    """``df``; a value that is none of its column's codes ends the job that computes it."""
+    checked = {}
+    for column, kind in schemas.CODED.get(name, {}).items():
+        value = F.col(column)
+        told = F.raise_error(F.concat(F.lit(f"{name}.{column}: no such code: "), value)).cast("string")
+        checked[column] = F.when(value.isNull() | value.isin(*schemas.CODES[kind]), value).otherwise(told)
+    return df.withColumns(checked) if checked else df
+
+
+def repeated_keys(df: DataFrame, name: str) -> DataFrame:
+    """Unique keys of the table that stand in several rows; a key with a NULL repeats none."""
+    keys = schemas.UNIQUE_KEYS[name]
+    return df.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")
+
+
+def check_keys(df: DataFrame, name: str) -> None:
+    """Raise where a unique key repeats; only the key columns are read."""
+    found = repeated_keys(df, name).first() if name in schemas.UNIQUE_KEYS else None
+    if found:
+        raise ValueError(f"{name}: repeated key {found.asDict()}")
+
+
 def write_table(df: DataFrame, root: str, name: str, mode="overwrite") -> None:
+    """Write a table of a snapshot; codes are checked while it is written, unique keys afterwards."""
     columns = schemas.PARTITIONED_BY.get(name, ())
-    writer = _balanced(conform(df, name), columns).write.mode(mode)
+    writer = _balanced(checked_codes(conform(df, name), name), columns).write.mode(mode)
     if columns:
         writer = writer.partitionBy(*columns)
     writer.parquet(f"{root}/{name}")
+    check_keys(read_table(df.sparkSession, root, name), name)
 
 
 def replace_partitions(df: DataFrame, path: str, partitioned_by) -> None:
@@ -76,8 +101,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]") -> DataFrame:
-    """Files below ``path`` with name, content, size and time."""
+#: Bytes of the longest file that fits one value.
+LONGEST_FILE = (1 << 31) - 64
+
+
+def scan_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]", longest=LONGEST_FILE) -> DataFrame:
+    """Files below ``path`` with name, content, size and time; see ``too_long_files`` for others."""
+    return _files(spark, path, glob).filter(F.col("length") <= longest)
+
+
+def _files(spark, path, glob):
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -87,6 +120,11 @@ def scan_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]") -> DataFra
     )
 
 
+def too_long_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]", longest=LONGEST_FILE) -> DataFrame:
+    """Files that fit no value, by name and size; their content is not read."""
+    return _files(spark, path, glob).select("path", "name", "length").filter(F.col("length") > longest)
+
+
 def fingerprint(df: DataFrame, content="content") -> DataFrame:
     """Replace ``content`` by its SHA-256 and size in bytes."""
     return df.withColumns(

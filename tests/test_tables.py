@@ -1,7 +1,9 @@
 import hashlib
+import json
 import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from minutes_spark import schemas
@@ -169,8 +171,96 @@ def test_extract_job_and_incremental_pages(spark, tmp_path):
         assert own.count() == 2 and "PartitionFilters: [isnotnull(municipality_id" in own._jdf.queryExecution().toString()
         assert tables.read_table(spark, target, "speaker_aliases").count() == 2
 
+    # a speeches table that stays in place: the municipality of no new speech keeps its files
+    place = tmp_path / "speeches"
+    rows = [("a", "m", 9, "old"), ("c", "m", 0, "kept"), ("x", "other", 0, "apart"), ("y", None, 0, "nowhere")]
+    old = spark.createDataFrame(rows, "document_id string, municipality_id string, sequence int, speech_text string")
+    tables.write_table(old, str(tmp_path), "speeches")
+    apart = sorted(place.glob("municipality_id=other/*.parquet"))
+    for _ in range(2):
+        jobs.run_extract(spark, source, str(tmp_path / "v3"), speeches_at=str(place))
+        got = tables.read_table(spark, str(tmp_path), "speeches").collect()
+        assert sorted((r.document_id, r.sequence, r.speech_text) for r in got) == [
+            ("a", 0, "はい。"), ("a", 1, "いいえ。"), ("c", 0, "kept"), ("x", 0, "apart"), ("y", 0, "nowhere")]
+    assert apart == sorted(place.glob("municipality_id=other/*.parquet")) and not (tmp_path / "v3" / "speeches").exists()
+
     seen = []
     for _ in range(2):
         query = parse_new_pages(spark, f"{source}/pages", str(tmp_path / "cp"), lambda df, n: seen.append(df.count()))
         query.awaitTermination()
     assert sum(seen) == 3
+
+
+def store(spark, root, **data):
+    for name, rows in data.items():
+        schema = schemas.TABLES[name]
+        full = [tuple(row.get(f) for f in schema.fieldNames()) for row in rows]
+        tables.write_table(spark.createDataFrame(full, schema), root, name)
+
+
+def test_import_job(spark, tmp_path):
+    files = tmp_path / "files"
+    files.mkdir()
+    for name, data in (("r6-new.pdf", b"new"), ("seen.pdf", b"seen"), ("open.pdf", b"open"), ("big.pdf", b"b" * 99)):
+        (files / name).write_bytes(data)
+    source, target, last = (str(tmp_path / v) for v in ("v1", "v2", "v3"))
+    store(
+        spark, source, document_assets=[], ingestion_runs=[{"run_id": "r0", "status": "success"}],
+        documents=[{"document_id": "s", "municipality_id": "m", "url": "local://seen.pdf", "status": "parsed"},
+                   {"document_id": "o", "municipality_id": "m", "url": "local://open.pdf", "status": "discovered"}],
+    )
+    run = jobs.run_import(spark, source, target, str(files), "m", "r1", longest=50).first()
+    assert (run.total, run.done, run.skipped, run.failed, run.status) == (4, 2, 1, 1, "partial")
+    assert json.loads(run.log)["errors"] == [{"url": "local://big.pdf", "error": "file of 99 bytes"}]
+    documents = {r.url: r for r in tables.read_table(spark, target, "documents").collect()}
+    assert {u[8:]: r.status for u, r in documents.items()} == {
+        "r6-new.pdf": "downloaded", "seen.pdf": "parsed", "open.pdf": "downloaded", "big.pdf": "discovered"}
+    assert documents["local://r6-new.pdf"].title == "r6 new"
+    assets = {r.document_id: r.content_sha256 for r in tables.read_table(spark, target, "document_assets").collect()}
+    assert assets == {documents["local://r6-new.pdf"].document_id: hashlib.sha256(b"new").hexdigest(),
+                      "o": hashlib.sha256(b"open").hexdigest()}
+    assert {r.run_id for r in tables.read_table(spark, target, "ingestion_runs").collect()} == {"r0", "r1"}
+    (tmp_path / "none").mkdir()
+    run = jobs.run_import(spark, target, last, str(tmp_path / "none"), "m", "r2").first()
+    assert (run.total, run.status) == (0, "success")
+
+
+def test_merge_job(spark, tmp_path):
+    source, target = str(tmp_path / "v1"), str(tmp_path / "v2")
+    store(
+        spark, source,
+        speakers=[{"speaker_id": i, "municipality_id": "m", "name_ja": n, "role": "councilor"} for i, n in (("1", "東西南"), ("2", "東西南北"), ("3", "甲乙丙"))],
+        speaker_aliases=[{"alias_id": "a", "municipality_id": "m", "speaker_id": "2", "alias_norm": "東西南北", "alias_type": "attendee_derived"}],
+        speeches=[{"document_id": "d", "sequence": n, "speaker_id": s} for n, s in enumerate(("1", "2", "2", None, "3"))],
+    )
+    report = jobs.run_merge(spark, source, target).first()
+    assert (report.duplicate_id, report.canonical_id, report.moved_speeches) == ("2", "1", 2)
+    assert sorted(r.speaker_id for r in tables.read_table(spark, target, "speakers").collect()) == ["1", "3"]
+    assert tables.read_table(spark, target, "speaker_aliases").first().speaker_id == "1"
+    moved = tables.read_table(spark, target, "speeches").orderBy("sequence").collect()
+    assert [r.speaker_id for r in moved] == ["1", "1", "1", None, "3"]
+
+
+def test_keys_and_codes_are_checked(spark, tmp_path):
+    with pytest.raises(ValueError, match="repeated key"):
+        store(spark, str(tmp_path / "a"), speeches=[{"document_id": "d", "sequence": 0}] * 2)
+    with pytest.raises(Exception, match="documents.status: no such code: lost"):
+        store(spark, str(tmp_path / "b"), documents=[{"document_id": "d", "status": "lost"}])
+    store(spark, str(tmp_path / "c"), documents=[{"document_id": d} for d in "de"])
+
+
+def test_words_job_goes_on_past_a_failing_text(spark, tmp_path):
+    source, target = str(tmp_path / "v1"), str(tmp_path / "v2")
+    store(
+        spark, source, documents=[{"document_id": "d", "municipality_id": "m"}],
+        speeches=[{"document_id": "d", "sequence": n, "speech_text": t} for n, t in enumerate(("財政", "bad", "財政"))],
+    )
+
+    def tokenizer(text):
+        if text == "bad":
+            raise ValueError("no words")
+        return [(text, "ザイセイ", "名詞", "一般")]
+
+    assert [tuple(r) for r in jobs.run_words(spark, source, target, tokenizer).collect()] == [("d", 1, "ValueError: no words")]
+    assert [(r.word, r["count"]) for r in tables.read_table(spark, target, "word_frequencies").collect()] == [("財政", 2)]
+    assert jobs.run_words(spark, source, str(tmp_path / "v3")).count() == 0
