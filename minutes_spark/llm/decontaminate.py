@@ -8,8 +8,13 @@ verifies. Texts are read whole. Letters A-Z count as lower case and each white-s
 as a space, so positions are those of the original text.
 
 The benchmark is the query set: it is indexed in blocks of at most ``BLOCK_CHARS`` characters
-and every text is held against each block. An item longer than ``WINDOW`` is looked for by
-windows of that size, the last one reaching back to fill up.
+and every text is held against each block. An item is looked for by windows of ``WINDOW``
+characters, an item up to that size as a whole, and by overlapping passages of ``LEAST`` to
+``PASSAGE`` characters, half an item where that lies between, each with an edit budget of its
+own. So a part of an item is found too: any copied stretch of 95 characters, and of a shorter
+item any of (3 P + n) / 4 for n characters and passages of P. Passages of an item that are found
+side by side are one hit; its edits are those of the joined stretch, each part being within its
+own budget.
 
 Cases: null and empty texts have no hits; items that are null, blank or have no letters or
 digits are left out; an item shorter than q is matched as it is; equal items each give their
@@ -28,6 +33,8 @@ Q = 10
 #: Edits allowed, as a share of a passage's characters.
 EDITS = 0.06
 WINDOW = 512
+#: Characters of the passages that find parts of an item: at least, if the item has them, and at most.
+LEAST, PASSAGE = 40, 64
 #: Characters of benchmark text that are indexed, and sent to the executors, at once.
 BLOCK_CHARS = 4_000_000
 #: Characters looked up at once, and texts whose hits are Python objects at once.
@@ -94,12 +101,26 @@ def aligned(pattern, text, low, high, edits):
     return int(row[cell]), int(origin[cell]), int(band[cell]) + len(pattern)
 
 
+def cuts(size, window=WINDOW):
+    """(start, end) of an item's windows, then of its passages."""
+    part = min(PASSAGE, max(LEAST, size // 2))
+    out = {}
+    for length, step in ((window, window), (part, max(1, min(part // 2, (size - part) // 4)))):
+        last = max(0, size - length)
+        for start in sorted({*range(0, last + 1, step), last}):
+            out[start, min(size, start + length)] = None
+    return list(out)
+
+
 @dataclass
 class PassageIndex:
-    """Postings of the q-grams of all passages of one block."""
+    """Postings of the q-grams of all windows and passages of one block."""
 
-    items: np.ndarray  # item id of each passage
-    passages: list  # code points
+    items: np.ndarray  # item ids
+    texts: list  # code points of the items
+    source: np.ndarray  # number of the item of each passage
+    offset: np.ndarray  # in the item
+    sizes: np.ndarray
     budget: np.ndarray  # edits
     needed: np.ndarray  # q-grams
     grams: np.ndarray  # sorted, distinct
@@ -111,28 +132,26 @@ class PassageIndex:
 
     @classmethod
     def build(cls, rows, q=Q, share=EDITS, window=WINDOW):
-        items, passages = [], []
-        for item, text in rows:
-            codes = plain(codes_of(text.strip()))
-            starts = range(0, max(1, len(codes) - window + 1), window)
-            starts = sorted({*starts, max(0, len(codes) - window)})
-            for start in starts:
-                items.append(item)
-                passages.append(codes[start : start + window])
-        sizes = np.array([len(p) for p in passages], dtype=np.int64)
+        items = [item for item, _ in rows]
+        texts = [plain(codes_of(text.strip())) for _, text in rows]
+        places = [(n, a, b - a) for n, codes in enumerate(texts) for a, b in cuts(len(codes), window)]
+        source, offset, sizes = np.array(places, dtype=np.int64).reshape(-1, 3).T.copy()
         # at least one q-gram must be needed, else nothing could be filtered
         budget = np.minimum((sizes * share).astype(np.int64), np.maximum(0, (sizes - q) // q))
         needed = np.maximum(1, sizes - q + 1 - budget * q)
-        hashes = [gram_hashes(p, q) if len(p) >= q else np.zeros(0, np.uint64) for p in passages]
-        owner = np.repeat(np.arange(len(passages)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
+        whole = [gram_hashes(codes, q) for codes in texts]
+        hashes = [whole[n][a : max(a, a + size - q + 1)] for n, a, size in places]
+        owner = np.repeat(np.arange(len(places), dtype=np.int32), [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes] or [np.zeros(0, np.int32)])
         flat = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
         bitmap = np.zeros(1 << _BITMAP, bool)
         bitmap[(grams >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
         first = np.append(first, len(flat))
-        return cls(np.array(items), passages, budget, needed, grams, first, owner[order], place[order], bitmap, q)
+        return cls(
+            np.array(items), texts, source, offset, sizes, budget, needed, grams, first, owner[order], place[order], bitmap, q
+        )
 
     def _bands(self, codes, document):
         """(text number, passage, lowest diagonal) of the bands with enough shared q-grams."""
@@ -149,7 +168,11 @@ class PassageIndex:
             return []
         posting = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[gram], counts)
         at = np.repeat(at, counts)
-        owner = self.owner[posting]
+        owner = self.owner[posting].astype(np.int64)
+        # most passages share too few q-grams with a text on all diagonals together
+        _, pair, n = np.unique(document[at] * len(self.sizes) + owner, return_inverse=True, return_counts=True)
+        enough = n[pair] >= self.needed[owner]
+        at, owner, posting = at[enough], owner[enough], posting[enough]
         diagonal = at - self.place[posting]
         step = self.budget[owner] + 1
         low = diagonal // step
@@ -163,7 +186,7 @@ class PassageIndex:
     def hits(self, texts):
         """For each text its (item, start, end, edits), one for each place."""
         found = [[] for _ in texts]
-        tiny = [(i, "".join(map(chr, p))) for i, p in enumerate(self.passages) if len(p) < self.q]
+        tiny = [(n, "".join(map(chr, codes))) for n, codes in enumerate(self.texts) if len(codes) < self.q]
         held, size = [], 0
         for number, text in enumerate(texts):
             if not text:
@@ -180,10 +203,10 @@ class PassageIndex:
         return found
 
     def _exact(self, out, tiny, text):
-        for passage, part in tiny:
+        for item, part in tiny:
             at = text.find(part)
             while at >= 0:
-                out.append((int(self.items[passage]), at, at + len(part), 0))
+                out.append((int(self.items[item]), at, at + len(part), 0))
                 at = text.find(part, at + len(part))
 
     def _chunk(self, held, found):
@@ -194,24 +217,72 @@ class PassageIndex:
             parts += [codes, gap]
             at += len(codes) + self.q
         document = np.repeat([n for n, _ in held], [len(c) + self.q for _, c in held])
-        places = {}
+        candidates = {}
         for number, owner, diagonal in self._bands(np.concatenate(parts), document):
-            at, codes = starts[number]
-            budget = int(self.budget[owner])
-            low, high = diagonal - at - budget, diagonal - at + 2 * budget + 1 + budget
-            here = places.setdefault((number, owner), [])
+            of_item = candidates.setdefault((number, int(self.source[owner])), {})
+            of_item.setdefault(owner, []).append(diagonal - starts[number][0])
+        for (number, item), of_item in candidates.items():
+            codes, places = starts[number][1], []
+            # the windows, which come first, cover most of what passages would find again
+            for owner in sorted(of_item):
+                places += self._places(codes, owner, of_item[owner], places)
+            for start, end, edits in self._joined(item, codes, places):
+                found[number].append((int(self.items[item]), start, end, edits))
+
+    def _places(self, codes, owner, diagonals, held):
+        """(start, end, edits, item from, item to) of a passage, one for each place that is not in ``held``."""
+        offset, size, budget = int(self.offset[owner]), int(self.sizes[owner]), int(self.budget[owner])
+        passage, here = self.texts[self.source[owner]][offset : offset + size], []
+        for diagonal in diagonals:
+            low, high = diagonal - budget, diagonal + 2 * budget + 1 + budget
             # the band beside it has already given this place
             if any(low <= start <= high for _, start, _ in here):
                 continue
-            match = aligned(self.passages[owner], codes, low, high, budget)
+            if any(a <= max(0, low) and min(len(codes), high + size) <= b for a, b, *_ in held):
+                continue
+            match = aligned(passage, codes, low, high, budget)
             if match:
                 here.append(match)
-        for (number, owner), here in places.items():
-            taken = []
-            for edits, start, end in sorted(here):
-                if all(end <= a or start >= b for a, b in taken):
-                    taken.append((start, end))
-                    found[number].append((int(self.items[owner]), start, end, edits))
+        taken = []
+        for edits, start, end in sorted(here):
+            if all(end <= a or start >= b for a, b, *_ in taken):
+                taken.append((start, end, edits, offset, offset + size))
+        return taken
+
+    def _joined(self, item, codes, held):
+        """(start, end, edits) of the stretches that the places of one item in one text make up."""
+        groups, open_ = [], []
+        for place in sorted(held, key=lambda p: (p[0], -p[1])):
+            start, end, _, low, high = place
+            open_ = [g for g in open_ if g["end"] >= start]
+            for group in open_:
+                last = group["places"][-1]
+                slack = 2 + 2 * int(EDITS * max(high - low, last[4] - last[3]))
+                if low <= group["high"] and high >= group["low"] and abs(start - low - last[0] + last[3]) <= slack:
+                    break
+            else:
+                group = {"places": [], "end": end, "low": low, "high": high}
+                groups.append(group)
+                open_.append(group)
+            group["places"].append(place)
+            group["end"] = max(group["end"], end)
+            group["low"], group["high"] = min(group["low"], low), max(group["high"], high)
+        out = []
+        for group in groups:
+            low, high, places = group["low"], group["high"], group["places"]
+            match = next(((p[2], p[0], p[1]) for p in places if p[3:] == (low, high)), None)
+            if not match:
+                # the ways of all places lie in this band
+                diagonals, most = [x + low for p in places for x in (p[0] - p[3], p[1] - p[4])], max(p[2] for p in places)
+                far = 2 * (high - low)
+                match = aligned(self.texts[item][low:high], codes, min(diagonals) - most, max(diagonals) + most, far)
+            out.append((match[1], match[2], match[0], high - low))
+        out.sort(key=lambda m: (-m[3], m[2], m[0]))
+        kept = []
+        for start, end, edits, _ in out:
+            if not any(a <= start and end <= b for a, b, _ in kept):
+                kept.append((start, end, edits))
+        return kept
 
 
 def _hits_of(index, spark):

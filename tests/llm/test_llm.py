@@ -332,6 +332,30 @@ def test_passages_within_the_budget_are_found(spark, real):
     assert sorted(r["doc_id"] for r in kept) == [len(texts), len(texts) + 1]
 
 
+def test_parts_of_items_are_found(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))[:n]
+    items = {n: prose(n) for n in (81, 150, 394, 512, 700, 2000)}
+    # (item, from, to): most of it, its middle, a stretch that covers no whole window
+    parts = [(n, n // 20, n - n // 20) for n in items] + [(n, n // 2 - 50, n // 2 + 50) for n in items if n > 100] + [(2000, 50, 980)]
+    texts = [prose(300) + " " + items[n][a:b] + " " + prose(200) for n, a, b in parts]
+    two = items[2000][100:400] + prose(100) + items[2000][1500:1800]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {}
+    for r in decontaminate.contaminated(docs_of(spark, [*texts, two, prose(3000)]), bench).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sorted(got) == list(range(len(texts) + 1))
+    for number, (n, a, b) in enumerate(parts):
+        (hit,) = got[number]
+        assert hit["item_id"] == n and hit["end"] > 301 and hit["start"] < 301 + b - a
+        # all but what may be left of a passage at both ends
+        assert min(hit["end"], 301 + b - a) - max(hit["start"], 301) >= max(32, b - a - 64)
+        # each window has its own budget, so two that are joined may have twice as many edits
+        assert hit["edits"] <= 2 * n * decontaminate.EDITS
+    assert len(got[len(texts)]) == 2
+    assert decontaminate.decontaminated(docs_of(spark, [*texts, two]), bench).count() == 0
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 
