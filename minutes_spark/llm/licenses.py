@@ -1,7 +1,9 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each is normalised to lower-case words joined by single spaces
-and looked up among known license sentences. The identifiers, in the order of the text, are
+The ends of sentences are marked in a text, and the rest is normalised to lower-case words joined
+by single spaces. A known license sentence is looked for from a mark on, up to a mark; marks
+inside it (a colon, a number such as "v. 2.0", a line end) do not cut it, and of several known
+sentences that begin at a mark the longest counts. The identifiers, in the order of the text, are
 matched against ordered license rules: a rule is a sequence of identifiers with at most
 ``GAP`` other known sentences between two of them. Rules are tried in order and use up what
 they match, so a full text comes before the short notice that its first sentence alone would be.
@@ -13,6 +15,8 @@ matches of one rule are reported once per match, in the order of the rules; repe
 equal results; other columns of the input stay unless they have a result's name.
 """
 
+import re
+
 from pyspark.sql import functions as F
 
 #: Known sentences that may stand between two sentences of a rule.
@@ -91,7 +95,9 @@ RULES = (
 # a sentence ends at a mark that white space or the end follows, at an empty line, or at a line
 # end before a capitalised word
 ENDS = "[.!?;:]+(?=\\s|$)|\\n(?=\\s*\\n)|\\n(?=\\s*\\p{Lu}\\p{Ll})"
-OTHER_LETTERS = "[^\\p{L}\\p{N}]+"
+#: Stands for the end of a sentence in a normalised text.
+MARK = "\x01"
+OTHER_LETTERS = "[^\\p{L}\\p{N}\x01]+"
 
 
 def _marked(rule):
@@ -100,16 +106,23 @@ def _marked(rule):
     return gap.join(f"<{name}>" for name in rule)
 
 
+def _sought(known):
+    """Pattern of a known sentence between two marks, the sentence being its group."""
+    longest_first = sorted(known.values(), key=lambda s: (-len(s), s))
+    inside = [f"[ {MARK}]+".join(re.sub(r"(\W)", r"\\\1", word) for word in s.split(" ")) for s in longest_first]
+    return f"{MARK} ?({'|'.join(inside)})(?= ?{MARK})"
+
+
 def recognise(docs, text="text", known=None, rules=RULES):
     """``docs`` with sentence_ids, in the order of the text, and licenses, in the order of the rules."""
     known = SENTENCES if known is None else known
     ids = F.create_map(*(F.lit(x) for name, sentence in known.items() for x in (sentence, f"<{name}>")))
-    # a sentence of another length than every known one need not be normalised
-    shortest = min(len(s) for s in known.values())
-    body = F.coalesce(F.col(text), F.lit(""))
-    cut = F.filter(F.split(body, ENDS), lambda s: F.length(s) >= shortest)
-    normal = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER_LETTERS, " ")))
-    found = docs.withColumn("_ids", F.array_compact(F.transform(normal, lambda s: F.try_element_at(ids, s))))
+    body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(" "))
+    marked = F.concat(F.lit(MARK), F.regexp_replace(body, ENDS, MARK), F.lit(MARK))
+    normal = F.regexp_replace(F.lower(marked), OTHER_LETTERS, " ")
+    parts = F.regexp_extract_all(normal, F.lit(_sought(known)), F.lit(1))
+    name = lambda s: F.element_at(ids, F.regexp_replace(s, f"[ {MARK}]+", " "))
+    found = docs.withColumn("_ids", F.transform(parts, name))
     out = found.withColumns({"_left": F.array_join("_ids", ""), "_licenses": F.array().cast("array<string>")})
     for name, rule in rules:
         pattern = F.lit(_marked(rule))
