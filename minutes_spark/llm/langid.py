@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 from .common import Index, chunks_of, utf8
 
 UNDETERMINED = "und"
-#: Bytes of training text per language; whole documents are drawn by the hash of key and text up to
-#: about so much, each copy of a text on its own, so that no large group of copies is drawn whole.
+#: Bytes of training text per language; blocks of text are drawn by the hash of key, text and block
+#: number up to about so much, each copy of a text on its own, so that no large group of copies is
+#: drawn whole. A language with no more than that is taken whole.
 SAMPLE_BYTES = 4 << 20
+#: Characters of a block at most; a sample is made of so many blocks at least, if their characters are bytes.
+BLOCK, BLOCKS = 1 << 14, 16
+_DRAWS = 1 << 40
 #: Bytes of context in front of a byte.
 ORDER = 3
 _PAD = 0x0A
@@ -171,16 +175,26 @@ class LanguageModel:
 
 def training_sample(docs, text="text", lang="lang", key="doc_id", sample_bytes=SAMPLE_BYTES):
     """The languages in ``lang``, and rows (text, lang) with about ``sample_bytes`` of text of each."""
+    block = max(1, min(BLOCK, sample_bytes // BLOCKS))
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
-    rows = rows.dropna(subset=["text", "lang"])
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
-    sizes = {r["lang"]: r["n"] for r in sizes if r["n"]}
+    rows = rows.dropna(subset=["text", "lang"]).filter(F.col("text") != "")
+    # a number below _DRAWS for each block of a text
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / block).cast("int"))
+    rows = rows.withColumn("hash", F.xxhash64("key", "text", F.lit("sample")))
+    draws = F.transform(numbers, lambda i: F.pmod(F.xxhash64("hash", i), F.lit(_DRAWS)))
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(F.array_min(draws)).alias("least"))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in sizes.collect()}
     languages = sorted(sizes)
     if not languages:
         return [], rows.select("text", "lang")
-    draw = F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(1 << 20))
-    shares = F.create_map(*(F.lit(x) for k in languages for x in (k, int((1 << 20) * min(1.0, sample_bytes / sizes[k])))))
-    return languages, rows.filter(draw < F.element_at(shares, F.col("lang"))).select("text", "lang")
+    # the block with the smallest number is drawn in any case
+    limits = {k: max(_DRAWS * sample_bytes // n, least + 1) for k, (n, least) in sizes.items()}
+    pairs = (x for k in languages for x in (F.lit(k), F.lit(min(limits[k], _DRAWS)).cast("long")))
+    rows = rows.withColumn("limit", F.element_at(F.create_map(*pairs), F.col("lang")))
+    drawn = F.filter(F.transform(draws, lambda n, i: F.when(n < F.col("limit"), i)), lambda i: i.isNotNull())
+    parts = F.transform(drawn, lambda i: F.substring(F.col("text"), i * block + 1, F.lit(block)))
+    parts = F.when(F.col("limit") == _DRAWS, F.array("text")).otherwise(parts)
+    return languages, rows.select(F.explode(parts).alias("text"), "lang")
 
 
 def fit(docs, text="text", lang="lang", key="doc_id", order=ORDER, sample_bytes=SAMPLE_BYTES):

@@ -544,3 +544,21 @@ def test_copies_of_one_text_do_not_swell_the_sample(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"))
     languages, drawn = langid.training_sample(docs, sample_bytes=40 * len(text))
     assert languages == ["en"] and 10 < drawn.count() < 100
+
+
+def test_languages_of_few_long_documents_are_sampled(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40_000))
+    rows = [(n * 100 + i, long[i:] + x, x) for n, x in enumerate("abcdefgh") for i in range(2)] + [(900, "short é", "z"), (901, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, drawn = langid.training_sample(docs, sample_bytes=40_000)
+    assert languages == [*"abcdefgh", "z"]
+    size = {}
+    for r in drawn.collect():
+        size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"].encode())
+        assert r["text"] in long or r["text"] in long + r["lang"] or r["text"] == "short é"
+    assert sorted(size) == languages and all(10_000 < size[x] < 100_000 for x in "abcdefgh")
+    # a sample far smaller than a block's chance still has a block, and all of a small language is taken
+    assert {r["lang"] for r in langid.training_sample(docs, sample_bytes=16)[1].collect()} == set(languages)
+    whole = langid.training_sample(docs, sample_bytes=1 << 20)[1].collect()
+    assert sorted((r["lang"], r["text"]) for r in whole) == sorted((x, t) for _, t, x in rows if t)
