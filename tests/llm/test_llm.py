@@ -339,6 +339,13 @@ def test_demanded_trigrams():
     assert secrets.demanded("(abc|xyz1)q?z") == [["abc"], ["xyz", "yz1"]] or len(secrets.demanded("(abc|xyz1)q?z")) >= 2
 
 
+def test_readme_names_the_rules_that_search_every_text():
+    with open(os.path.join(os.path.dirname(corpus_pipeline.__file__), "README.md")) as readme:
+        line = next(x for x in readme if x.startswith("| `op6_secret_scans`"))
+    named = {r.kind for r in secrets.RULES if f"`{r.kind}`" in line}
+    assert named == {r.kind for r in secrets.RULES if secrets.demanded(r.pattern) is None}
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
