@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, lm, pieces, quality, secrets, sharding, simhash
+from . import chat, decontaminate, langid, licenses, lm, pieces, quality, repair, secrets, sharding, simhash, topk, whitening
 from .common import id_remainder, table
 
 QUERIES = {}
@@ -134,6 +134,31 @@ def op10_simhash_near_dedup(spark, sf_dir):
     )
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told, _ = repair.repair(repair.damaged(rows))
+    told = told.withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op12_exact_top_k(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows.filter(F.col("vec_id") % 20 == 0), rows)
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    done = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 # --- SQL ------------------------------------------------------------------------------------
 
 _ESCAPED = (
@@ -237,4 +262,104 @@ FROM docs LEFT JOIN texts USING (row_no)
 """
 
 
-ORACLES = {"op1_chat_formatting": _OP1, "op5_license_scans": _op5(), "op6_secret_scans": _op6()}
+def _op11():
+    """The least (cost, audit) from every row and output to the end, from the last row backwards; then the audit is played."""
+    go = (2, 2, 3, 2)
+    keep = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+    # a cost of ten digits before the audit: the least string is the least cost, then the least audit
+    add = "lpad((left({0}, 10)::BIGINT + {1})::VARCHAR, 10, '0') || '{2}' || substr({0}, 11)"
+
+    def row(output):
+        kept = " ".join(f"WHEN ini = '{x}' THEN " + add.format(f"p{to[output]}", "5 * truncated", "K") for x, to in keep.items() if output in to)
+        kept = f"CASE WHEN must THEN NULL {kept} END" if kept else "NULL::VARCHAR"
+        role = f"CASE WHEN NOT must THEN {add.format(f'p{go[output]}', '1 + 5 * truncated', 'R')} END"
+        return f"least({add.format(f'p{output}', 2, 'D')}, {kept}, {role})"
+
+    def more(names):
+        once = [f"least({n}, {add.format(names[go[o]], 5, 'I')})" for o, n in enumerate(names)]
+        return once
+
+    def step(source, names, label):
+        return f"SELECT * EXCLUDE ({', '.join(names)}), " + ", ".join(f"{e} AS p{o}" for o, e in enumerate(more(names))) + f" FROM ({source}) {label}"
+
+    rows_ = "SELECT r.conv_id, r.pos, r.n, " + ", ".join(f"{row(o)} AS q{o}" for o in range(4))
+    rows_ += " FROM dp JOIN faults r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos - 1"
+    names = ("q0", "q1", "q2", "q3")
+    end = "0" * 10
+    return f"""
+WITH RECURSIVE bytes AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS steps
+    FROM range(256) t(i)
+), named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, 
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+            lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295::BIGINT) % 20 AS fate
+    FROM conversations, bytes
+), rows AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM named WHERE fate <> 0
+), placed AS (
+    SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS ini,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+        regexp_extract(text, '([^ \t\n\x0B\f\r])[ \t\n\x0B\f\r]*$', 1) AS final,
+        left(role, 1) || lead(left(role, 1)) OVER w AS pair
+    FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), faults AS (
+    SELECT *, final = '' AS is_blank, final <> '' AND seen > 1 AS is_duplicate,
+        (final <> '' AND seen = 1 AND final NOT IN ('.', '!', '?'))::INT AS truncated, final = '' OR seen > 1 AS must
+    FROM placed
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_duplicate) AS duplicate, sum(truncated)::BIGINT AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) + 1 AS behind
+    FROM faults GROUP BY conv_id
+), dp AS (
+    SELECT conv_id, behind AS pos, behind - 1 AS n, '{end}' AS p0, '0000000010II' AS p1, '0000000005I' AS p2, '{end}' AS p3 FROM counted
+    UNION ALL
+    {step(step(rows_, names, 'a'), ('p0', 'p1', 'p2', 'p3'), 'b')}
+), solved AS (
+    SELECT conv_id, left(p0, 10)::BIGINT AS cost, substr(p0, 11) AS audit FROM dp WHERE pos = 1
+), edits AS (
+    SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS place FROM solved
+), played AS (
+    SELECT *, count(*) FILTER (edit <> 'I') OVER w AS pos, count(*) FILTER (edit <> 'D') OVER w AS made FROM edits
+    WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+), left_in AS (
+    SELECT e.conv_id, e.place, e.made, e.edit, r.role, r.text, e.made = 1 AND e.edit = 'K' AND r.ini = 's' AS system
+    FROM played e LEFT JOIN faults r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.pos = e.pos AND e.edit <> 'I'
+    WHERE e.edit <> 'D'
+), said AS (
+    SELECT *, CASE WHEN edit = 'K' THEN role
+        WHEN (made - max(system::INT) OVER (PARTITION BY conv_id)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS line
+    FROM left_in
+), whole AS (
+    SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY place)) AS sha FROM said GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+    coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counted t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+_OP12 = """
+WITH rows AS (
+    SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 64)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+    FROM (SELECT * FROM rows WHERE vec_id % 20 = 0) q JOIN rows c ON q.vec_id <> c.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+ORACLES = {"op11_conversation_repair": _op11(), "op12_exact_top_k": _OP12, "op1_chat_formatting": _OP1, "op5_license_scans": _op5(), "op6_secret_scans": _op6()}
