@@ -10,7 +10,7 @@ from ..functions.names import (
     with_person_name,
 )
 from ..functions.text import CJK, WS, normalize_alias, trim_ws, zen_to_han
-from .lines import preamble_lines
+from .lines import first_marked_pages, preamble_lines
 from .scan import BLOCK, MULTI, kept, page_blocks, running
 
 NO_SECTION = "-"
@@ -37,8 +37,11 @@ def attendee_sections(
 ) -> DataFrame:
     """Trimmed preamble lines with the ``section`` they stand in (NULL outside of any)."""
     block = page_blocks(block)
+    firsts = first_marked_pages(pages)
+    # only a preamble that ends behind block 0 hands its section on
+    long = firsts.withColumnRenamed("first_page", "page").filter(block > 0).select("document_id")
     lines = (
-        preamble_lines(pages, block=block)
+        preamble_lines(pages, firsts=firsts)
         .withColumn("line", trim_ws("line"))
         .filter(F.length("line") > 0)
     )
@@ -49,6 +52,7 @@ def attendee_sections(
             ["page", "line_no"],
             block,
             lasts={"section": "section_event"},
+            long=long,
         )
         .withColumn("section", F.nullif("section", F.lit(NO_SECTION)))
         .drop(BLOCK, MULTI)

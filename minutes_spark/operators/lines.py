@@ -1,9 +1,15 @@
 """Pages to lines, preamble and page assembly."""
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
-from ..functions.text import is_blank_or_number, is_separator, ltrim_ws, rtrim_ws
+from ..functions.text import WS, is_blank_or_number, is_separator, ltrim_ws, rtrim_ws
+from ..sources.tables import durable
+
+#: Rows of two values that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def raw_lines(pages: DataFrame) -> DataFrame:
@@ -27,33 +33,49 @@ def content_lines(pages: DataFrame) -> DataFrame:
     return flatten_pages(pages).filter(~is_separator("line"))
 
 
-def preamble_lines(pages: DataFrame, marker=config.MARKER, block=None) -> DataFrame:
+def first_marked_pages(pages: DataFrame, marker=config.MARKER) -> DataFrame:
+    """(document_id, first_page): the first page of each document with a marker line, written once.
+
+    Pages travel as numbers; whether a page is marked is seen from its text where it lies.
+    """
+    starts = rf"(?:^|\n)[{WS}]*{re.escape(marker)}"
+    marked = F.contains("text", F.lit(marker)) & F.col("text").rlike(starts)
+    # a condition inside the aggregate; as a filter it would be pushed below what makes the text
+    firsts = pages.groupBy("document_id").agg(F.min(F.when(marked, F.col("page"))).alias("first_page"))
+    return durable(firsts.filter(F.col("first_page").isNotNull()), "first-marked-pages")
+
+
+def preamble_lines(pages: DataFrame, marker=config.MARKER, firsts: DataFrame | None = None) -> DataFrame:
     """Lines before a document's first marker line; documents without one give nothing.
 
-    The first marked page of each document is found by a grouped minimum of page numbers; only
-    pages up to it are joined and cut at their first marker. ``block`` is not needed.
+    ``firsts`` are the ``first_marked_pages``, by default found here: a stored table of two values
+    a document. Up to ``BROADCAST_ROWS`` of them, pages behind the first marked one are dropped
+    where they lie and no text is moved. Beyond that, marked pages are cut to the lines before
+    their marker, and the rest is joined by document.
     """
+    if firsts is None:
+        firsts = first_marked_pages(pages, marker)
+    firsts = firsts.withColumnsRenamed({"document_id": "_document", "first_page": "_first"})
+    if firsts.count() <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
+    else:
+        behind = rf"(?s)(^|\n)([{WS}]*{re.escape(marker)}).*\z"
+        pages = pages.withColumn("text", F.regexp_replace("text", behind, "$1$2"))
+    on = (F.col("document_id") == F.col("_document")) & (F.col("page") <= F.col("_first"))
     lines = F.split("text", "\n", -1)
     marked = F.transform(lines, lambda line: ltrim_ws(line).startswith(marker))
-    heads = (
-        pages.withColumn("_lines", lines)
-        .withColumn("_at", F.array_position(marked, True))
-        .withColumn(
-            "_lines",
-            F.when(F.col("_at") > 0, F.slice("_lines", F.lit(1), F.col("_at") - 1)).otherwise(
-                F.col("_lines")
-            ),
+    at = F.when(F.col("page") == F.col("_first"), F.array_position(marked, True))
+    return (
+        pages.join(firsts, on)
+        .withColumn("_lines", lines)
+        .withColumn("_at", at)
+        .withColumn("_lines", F.when(F.col("_at") > 0, F.slice("_lines", F.lit(1), F.col("_at") - 1)).otherwise(F.col("_lines")))
+        .select(
+            *[c for c in pages.columns if c != "text"],
+            F.posexplode_outer("_lines").alias("line_no", "line"),
         )
-        .withColumn("_stop", F.when(F.col("_at") > 0, F.col("page")))
-        .drop("text", "_at")
+        .filter(F.col("line").isNotNull())
     )
-    stops = heads.filter(F.col("_stop").isNotNull())
-    stops = stops.groupBy("document_id").agg(F.min("_stop").alias("_first"))
-    heads = heads.join(stops, "document_id")
-    return heads.filter(F.col("page") <= F.col("_first")).select(
-        *[c for c in pages.columns if c != "text"],
-        F.posexplode_outer("_lines").alias("line_no", "line"),
-    ).filter(F.col("line").isNotNull())
 
 
 def reconstruct_pages(items: DataFrame, gap=2.0) -> DataFrame:

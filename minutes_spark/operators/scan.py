@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
+from ..sources.tables import durable
 
 BLOCK = "_block"
 MULTI = "_multi_block"
@@ -28,14 +29,24 @@ def blocks_of(column: str, size: int) -> Column:
     return F.floor(F.col(column) / size)
 
 
-def running(df: DataFrame, keys, order, block: Column, sums=None, lasts=None) -> DataFrame:
+def long_keys(df: DataFrame, block: Column, keys=("document_id",)) -> DataFrame:
+    """Keys with rows behind block 0, written once; usually none.
+
+    Steps that hand something from block to block work on these keys alone: joined with the
+    stored table, whose size is known, an ordinary plan runs nothing for them.
+    """
+    return durable(df.filter(block > 0).select(*keys).distinct(), "long-keys")
+
+
+def running(df: DataFrame, keys, order, block: Column, sums=None, lasts=None, long=None) -> DataFrame:
     """Per key, in ``order``: inclusive running sums and last non-NULL values.
 
     ``sums`` and ``lasts`` map output names to input columns. ``block`` is a column that never
     falls along ``order``. Rows are windowed per (key, block); what earlier blocks hand on is
     summed up in one row per block, and only keys with more than one block need that second
-    step. The result is partitioned by (keys, block) and keeps the columns ``BLOCK``
-    and ``MULTI`` (whether the key has several blocks), so callers can go on without a shuffle.
+    step; ``long`` (see ``long_keys``) names them beforehand. The result is partitioned by
+    (keys, block) and keeps the columns ``BLOCK`` and ``MULTI`` (whether the key has several
+    blocks), so callers can go on without a shuffle.
     """
     keys, order = list(keys), list(order)
     sums, lasts = sums or {}, lasts or {}
@@ -48,7 +59,7 @@ def running(df: DataFrame, keys, order, block: Column, sums=None, lasts=None) ->
     per_key = Window.partitionBy(*keys)
     before = per_key.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     handed_on = (
-        df.groupBy(*keys, BLOCK)
+        (df if long is None else df.join(long, keys, "left_semi")).groupBy(*keys, BLOCK)
         .agg(*totals)
         .withColumns(
             {

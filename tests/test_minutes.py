@@ -134,3 +134,35 @@ def test_spoken_names_are_the_names_of_speeches(spark):
     for size in (1, 2, 50):
         found = P.spoken_names(pages, block=F.floor(F.col("page") / size)).collect()
         assert sorted(r.speaker_name for r in found) == names
+
+
+def test_preamble_beyond_the_broadcast_bound_is_the_same(spark, monkeypatch):
+    df = pages(
+        spark,
+        ("a", 1, PLENARY), ("a", 2, "○山本議員\nはい"), ("b", 1, "前文\n\n 二行目"), ("b", 2, "三行目"),
+        ("b", 3, "四行目\n　○田中委員\n五"), ("b", 4, "後の頁"), ("c", 1, "印なし"), ("d", 7, "○始め"),
+    )
+    read = lambda: sorted(map(tuple, L.preamble_lines(df).collect()))
+    near = read()
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    assert read() == near
+    assert [r[1:] for r in near if r[0] == "b"] == [(1, 0, "前文"), (1, 1, ""), (1, 2, " 二行目"), (2, 0, "三行目"), (3, 0, "四行目")]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_speeches_over_many_blocks_keep_text_pages_and_numbers(spark, size):
+    rows, said = [], []
+    for n in range(40):
+        if n % 11 == 3:
+            rows.append(("x", n, f"末尾{n}\n○山本議員 {n}番\n○田中委員"))
+        elif n % 11 == 5:
+            rows.append(("x", n, "\n  \n"))
+        else:
+            rows.append(("x", n, f"続き{n}"))
+    rows.append(("y", 9, "○大下議長 はい"))
+    df = pages(spark, *rows)
+    whole = speeches(df)
+    assert speeches(df, size) == whole
+    assert [r[1] for r in whole if r[0] == "x"] == list(range(len(whole) - 1))
+    names = P.spoken_names(df, block=block(size)).groupBy("document_id", "speaker_name").count()
+    assert {tuple(r) for r in names.collect()} == {("x", "山本", 4), ("x", "田中", 4), ("y", "大下", 1)}
