@@ -3,8 +3,11 @@
 A passage of m characters within K edits of a place in a text shares at least
 m - q + 1 - K*q of its character q-grams with that place, on diagonals (text position less
 passage position) at most K apart. Shared q-grams are counted in bands of 2(K + 1) diagonals
-that overlap by half; a band with enough of them is a candidate, which a banded alignment
-verifies. Texts are read whole. Letters A-Z count as lower case and each white-space character
+that overlap by half; a band with enough of them is a candidate, and bands side by side are one.
+Only the part of the text that a band reaches is aligned, column by column with a bit for each
+letter of the passage; short passages are aligned many at a time. Passages that several items
+share are indexed and verified once, and a hit is handed to all of them. Texts are read whole, very
+long ones in parts that overlap. Letters A-Z count as lower case and each white-space character
 as a space, so positions are those of the original text.
 
 The benchmark is the query set: it is indexed in blocks of at most ``BLOCK_CHARS`` characters
@@ -18,9 +21,12 @@ own budget.
 
 Cases: null and empty texts have no hits; items that are null, blank or have no letters or
 digits are left out; an item shorter than q is matched as it is; equal items each give their
-hit; an empty benchmark gives no hits; repeated rows give repeated hits.
+hit; an empty benchmark gives no hits; repeated rows give repeated hits; ruled lines and other
+repetitive texts are searched in linear time; other columns are not used by ``contaminated`` and stay
+in ``decontaminated``, where only a column named ``_hits`` is lost.
 """
 
+from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +45,12 @@ LEAST, PASSAGE = 40, 64
 BLOCK_CHARS = 4_000_000
 #: Characters looked up at once, and texts whose hits are Python objects at once.
 _CHUNK, _ROWS = 1 << 18, 500
+#: Characters that parts of a text share, and postings handled at once.
+_OVERLAP, _POSTINGS = 2 * WINDOW, 1 << 20
+#: Lanes that are aligned together, letters of a lane, and a letter that no text has.
+_LANES, _LANE, _NO_LETTER = 1 << 13, 512, 0xFFFFFFFF
+#: Meetings of equal q-grams, for each q-gram of a text that a passage has, beyond which bands are merged.
+_DENSE = 8
 _BITMAP = 22
 _BASE = 0x9E3779B97F4A7C15
 _PLAIN = {**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in range(9, 14)}}
@@ -101,6 +113,24 @@ def aligned(pattern, text, low, high, edits):
     return int(row[cell]), int(origin[cell]), int(band[cell]) + len(pattern)
 
 
+def _merged(bands, step, sizes):
+    """(text, passage, first, last diagonal) of bands side by side; the largest passages come first."""
+    order = np.lexsort((bands[:, 2], bands[:, 1], bands[:, 0], -sizes))
+    bands, step = bands[order], step[order]
+    if not len(bands):
+        return
+    new = np.ones(len(bands), bool)
+    new[1:] = (bands[1:, :2] != bands[:-1, :2]).any(1) | (bands[1:, 2] - bands[:-1, 2] > step[1:])
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bands)]):
+        yield int(bands[a, 0]), int(bands[a, 1]), int(bands[a, 2]), int(bands[b - 1, 2])
+
+
+def _runs(first, count):
+    """first, first + 1, ... of each run, end to end."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
 def cuts(size, window=WINDOW):
     """(start, end) of an item's windows, then of its passages."""
     part = min(PASSAGE, max(LEAST, size // 2))
@@ -112,21 +142,104 @@ def cuts(size, window=WINDOW):
     return list(out)
 
 
+def _masks(pattern):
+    masks = {}
+    for at, code in enumerate(pattern):
+        masks[code] = masks.get(code, 0) | 1 << at
+    return masks
+
+
+def _edits_behind(size, masks, codes, anchored):
+    """Edits of a pattern of ``size`` against what ends behind each letter, from any start or, ``anchored``, from the first.
+
+    A column of the alignment is held as two numbers, with a bit for each letter of the pattern
+    that tells where costs rise and where they fall.
+    """
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    plus, minus, score, out, mask = full, 0, size, [], masks.get
+    for code in codes:
+        equal = mask(code, 0)
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, down = minus | (full & ~(across | plus)), plus & across
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+        up = (up << 1 | anchored) & full
+        equal |= minus
+        plus, minus = (down << 1 & full) | (full & ~(equal | up)), up & equal
+        out.append(score)
+    return out
+
+
+def near_ends(passages, sizes, edits, codes, starts, stops):
+    """(lane, end, edits) of the ends in codes[start:stop] of a lane that its passage is near to.
+
+    ``passages`` has a row of letters for each lane, at most 64. The columns of all lanes are filled
+    together, a letter of the text in each at a time.
+    """
+    one, found = np.uint64(1), []
+    full = np.where(sizes == 64, ~np.uint64(0), (one << np.minimum(sizes, 63).astype(np.uint64)) - one)
+    top = one << (sizes - 1).astype(np.uint64)
+    plus, minus, score = full.copy(), np.zeros(len(full), np.uint64), sizes.copy()
+    with np.errstate(over="ignore"):
+        for step in range(int((stops - starts).max(initial=0))):
+            at = starts + step
+            on = at < stops
+            letter = np.where(on, codes[np.minimum(at, len(codes) - 1)], _NO_LETTER)
+            equal = np.packbits(passages == letter[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+            across = (((equal & plus) + plus) ^ plus) | equal
+            up, down = minus | (full & ~(across | plus)), plus & across
+            score = score + ((up & top) > 0) - ((down & top) > 0)
+            up = (up << one) & full
+            equal = equal | minus
+            plus, minus = ((down << one) & full) | (full & ~(equal | up)), up & equal
+            near = np.flatnonzero((score <= edits) & on)
+            if len(near):
+                found.append(np.stack([near, at[near] + 1, score[near]]))
+    return np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+
+
+def places_at(pattern, codes, ends, costs):
+    """(edits, start, end) of places with such ends apart from each other, nearest first, then from the left."""
+    size, letters, back, out = len(pattern), pattern.tolist(), None, []
+    order = np.lexsort((ends, costs))
+    base = int(ends.min()) - 2 * size - 1
+    busy = bytearray(int(ends.max()) - base + 1)
+    for end, cost in zip(ends[order].tolist(), costs[order].tolist()):
+        # a place is no shorter than this
+        if busy.find(1, end - size + cost - base, end - base) >= 0:
+            continue
+        length = size
+        if cost:
+            back = back or _masks(letters[::-1])
+            near = _edits_behind(size, back, codes[max(0, end - size - cost) : end][::-1].tolist(), 1)
+            length = near.index(cost) + 1 if cost in near else 0
+        start = end - length
+        if length and busy.find(1, start - base, end - base) < 0:
+            busy[start - base : end - base] = b"\1" * length
+            out.append((cost, start, end))
+    return out
+
+
 @dataclass
 class PassageIndex:
-    """Postings of the q-grams of all windows and passages of one block."""
+    """Postings of the q-grams of the distinct windows and passages of one block."""
 
     items: np.ndarray  # item ids
     texts: list  # code points of the items
-    source: np.ndarray  # number of the item of each passage
-    offset: np.ndarray  # in the item
+    passages: list  # distinct code points
+    held_by: np.ndarray  # (passage, item, offset), sorted
+    only: np.ndarray  # the item of a passage that no other item holds, else -1
     sizes: np.ndarray
     budget: np.ndarray  # edits
     needed: np.ndarray  # q-grams
     grams: np.ndarray  # sorted, distinct
     first: np.ndarray  # of each gram in the postings
-    owner: np.ndarray
-    place: np.ndarray
+    owner: np.ndarray  # passage of each posting
+    start: np.ndarray  # of each passage in its own q-grams, by place
+    own: np.ndarray  # number of each q-gram of a passage
+    new: np.ndarray  # whether it stands there for the first time
     bitmap: np.ndarray
     q: int
 
@@ -134,72 +247,137 @@ class PassageIndex:
     def build(cls, rows, q=Q, share=EDITS, window=WINDOW):
         items = [item for item, _ in rows]
         texts = [plain(codes_of(text.strip())) for _, text in rows]
-        places = [(n, a, b - a) for n, codes in enumerate(texts) for a, b in cuts(len(codes), window)]
-        source, offset, sizes = np.array(places, dtype=np.int64).reshape(-1, 3).T.copy()
+        known, passages, held_by = {}, [], []
+        for n, codes in enumerate(texts):
+            for a, b in cuts(len(codes), window):
+                number = known.setdefault(codes[a:b].tobytes(), len(passages))
+                if number == len(passages):
+                    passages.append(codes[a:b])
+                held_by.append((number, n, a))
+        sizes = np.array([len(p) for p in passages], dtype=np.int64)
         # at least one q-gram must be needed, else nothing could be filtered
         budget = np.minimum((sizes * share).astype(np.int64), np.maximum(0, (sizes - q) // q))
         needed = np.maximum(1, sizes - q + 1 - budget * q)
-        whole = [gram_hashes(codes, q) for codes in texts]
-        hashes = [whole[n][a : max(a, a + size - q + 1)] for n, a, size in places]
-        owner = np.repeat(np.arange(len(places), dtype=np.int32), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes] or [np.zeros(0, np.int32)])
+        hashes = [gram_hashes(p, q) for p in passages]
+        owner = np.repeat(np.arange(len(passages), dtype=np.int32), [len(h) for h in hashes])
         flat = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
-        grams, first = np.unique(flat[order], return_index=True)
+        grams, first, own = np.unique(flat, return_index=True, return_inverse=True)
+        first = np.searchsorted(flat[order], grams)
+        new = np.zeros(len(flat), bool)
+        new[np.unique(owner * np.int64(len(grams) + 1) + own, return_index=True)[1]] = True
         bitmap = np.zeros(1 << _BITMAP, bool)
         bitmap[(grams >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
-        first = np.append(first, len(flat))
+        held_by = np.array(sorted(held_by), dtype=np.int64).reshape(-1, 3)
+        only = np.full(len(passages), -1)
+        only[held_by[:, 0]] = held_by[:, 1]
+        only[held_by[1:, 0][(held_by[1:, 0] == held_by[:-1, 0]) & (held_by[1:, 1] != held_by[:-1, 1])]] = -1
         return cls(
-            np.array(items), texts, source, offset, sizes, budget, needed, grams, first, owner[order], place[order], bitmap, q
+            np.array(items), texts, passages, held_by, only, sizes, budget, needed,
+            grams, np.append(first, len(flat)), owner[order], np.searchsorted(owner, np.arange(len(passages) + 1)),
+            own.astype(np.int64), new, bitmap, q,
         )
 
-    def _bands(self, codes, document):
-        """(text number, passage, lowest diagonal) of the bands with enough shared q-grams."""
+    def _shared(self, codes, document):
+        """(text number, q-gram, position) of the q-grams of the text that some passage has."""
         hashes = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - _BITMAP)).astype(np.int64)])
         if not len(at) or not len(self.grams):
-            return []
+            return np.zeros((3, 0), np.int64)
         gram = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
         true = self.grams[gram] == hashes[at]
         at, gram = at[true], gram[true]
-        counts = self.first[gram + 1] - self.first[gram]
-        total = int(counts.sum())
-        if not total:
-            return []
-        posting = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[gram], counts)
-        at = np.repeat(at, counts)
-        owner = self.owner[posting].astype(np.int64)
-        # most passages share too few q-grams with a text on all diagonals together
-        _, pair, n = np.unique(document[at] * len(self.sizes) + owner, return_inverse=True, return_counts=True)
-        enough = n[pair] >= self.needed[owner]
-        at, owner, posting = at[enough], owner[enough], posting[enough]
-        diagonal = at - self.place[posting]
-        step = self.budget[owner] + 1
-        low = diagonal // step
-        text = document[at]
+        order = np.lexsort((gram, document[at]))
+        return np.stack([document[at], gram, at])[:, order]
+
+    def _pairs(self, text, gram):
+        """(text, passage) that share enough q-grams, on all diagonals together; each place counts once."""
+        count = self.first[gram + 1] - self.first[gram]
+        so_far = np.cumsum(count)
+        out, low, many = [], 0, len(self.passages)
+        while low < len(gram):
+            base = so_far[low] - count[low]
+            high = max(low + 1, int(np.searchsorted(so_far, base + _POSTINGS, "right")))
+            # a part ends with a text, unless the text alone is larger
+            if high < len(gram) and text[high] == text[high - 1]:
+                before = int(np.searchsorted(text, text[high], "left"))
+                high = before if before > low else int(np.searchsorted(text, text[high], "right"))
+            if text[high - 1] == text[low]:
+                total = np.zeros(many, np.int64)
+                for a in range(low, high, 4096):
+                    b = min(high, a + 4096)
+                    total += np.bincount(self.owner[_runs(self.first[gram[a:b]], count[a:b])], minlength=many)
+                enough = np.flatnonzero(total >= self.needed)
+                out.append(np.stack([np.full(len(enough), text[low]), enough]))
+            else:
+                owner = self.owner[_runs(self.first[gram[low:high]], count[low:high])].astype(np.int64)
+                pair, total = np.unique(np.repeat(text[low:high], count[low:high]) * many + owner, return_counts=True)
+                pair = pair[total >= self.needed[pair % many]]
+                out.append(np.stack([pair // many, pair % many]))
+            low = high
+        return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+
+    def _candidates(self, codes, document):
+        """Bands (text, passage, lowest diagonal) with enough shared q-grams, and (text, passage, positions) of
+        pairs whose q-grams repeat so often that their bands would cover the text many times over."""
+        text, gram, at = self._shared(codes, document)
+        key = text * (len(self.grams) + 1) + gram
+        keys, first, count = np.unique(key, return_index=True, return_counts=True)
+        pair_text, pair = self._pairs(text[first], gram[first])
+        if not len(pair):
+            return np.zeros((0, 3), np.int64), []
+        own = self.start[pair + 1] - self.start[pair]
+        entry = _runs(self.start[pair], own)
+        number = np.repeat(np.arange(len(pair)), own)
+        place = entry - np.repeat(self.start[pair], own)
+        wanted = pair_text[number] * (len(self.grams) + 1) + self.own[entry]
+        found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        times = np.where(keys[found] == wanted, count[found], 0)
+        meetings = np.bincount(number, times, len(pair))
+        touched = np.bincount(number, times * self.new[entry], len(pair))
+        dense = meetings > _DENSE * (touched + self.sizes[pair])
+        wide = []
+        for n in np.flatnonzero(dense).tolist():
+            own_entries = np.flatnonzero((number == n) & (times > 0) & self.new[entry])
+            positions = np.sort(at[_runs(first[found[own_entries]], times[own_entries])])
+            wide.append((int(pair_text[n]), int(pair[n]), positions))
+        keep = np.flatnonzero(~dense[number] & (times > 0))
+        number, place, times, run = number[keep], place[keep], times[keep], first[found[keep]]
+        position = at[_runs(run, times)]
+        number, place = np.repeat(number, times), np.repeat(place, times)
+        low = (position - place) // (self.budget[pair[number]] + 1)
         # each diagonal lies in the band that starts at its step and in the one before
-        keys = np.stack([np.tile(text, 2), np.tile(owner, 2), np.concatenate([low, low - 1])], 1)
-        bands, n = np.unique(keys, axis=0, return_counts=True)
-        bands = bands[n >= self.needed[bands[:, 1]]]
-        return [(int(t), int(o), int(b * (self.budget[o] + 1))) for t, o, b in bands]
+        span = 2 * (len(codes) + WINDOW) + 3
+        band = np.concatenate([low, low - 1]) + WINDOW + 2
+        bands, n = np.unique(np.tile(number, 2) * span + band, return_counts=True)
+        number, low = bands // span, bands % span - WINDOW - 2
+        enough = n >= self.needed[pair[number]]
+        number, low = number[enough], low[enough]
+        return np.stack([pair_text[number], pair[number], low * (self.budget[pair[number]] + 1)], 1), wide
 
     def hits(self, texts):
         """For each text its (item, start, end, edits), one for each place."""
         found = [[] for _ in texts]
         tiny = [(n, "".join(map(chr, codes))) for n, codes in enumerate(self.texts) if len(codes) < self.q]
-        held, size = [], 0
+        held, size, places = [], 0, {}
+        whole = {}
         for number, text in enumerate(texts):
             if not text:
                 continue
             if tiny:
                 self._exact(found[number], tiny, text.translate(_PLAIN))
-            held.append((number, plain(codes_of(text))))
-            size += len(text)
-            if size >= _CHUNK:
-                self._chunk(held, found)
-                held, size = [], 0
+            whole[number] = codes = plain(codes_of(text))
+            # parts of a very long text overlap by more than a window with its edits
+            for start in range(0, max(1, len(codes) - _OVERLAP), _CHUNK):
+                held.append((number, start, codes[start : start + _CHUNK + _OVERLAP]))
+                size += len(held[-1][2])
+                if size >= _CHUNK:
+                    self._chunk(held, places)
+                    held, size = [], 0
         if held:
-            self._chunk(held, found)
+            self._chunk(held, places)
+        for number, of_text in places.items():
+            self._told(found[number], whole[number], of_text)
         return found
 
     def _exact(self, out, tiny, text):
@@ -209,45 +387,103 @@ class PassageIndex:
                 out.append((int(self.items[item]), at, at + len(part), 0))
                 at = text.find(part, at + len(part))
 
-    def _chunk(self, held, found):
+    def _chunk(self, held, places):
+        """Add to ``places``, by text and passage, the (edits, start, end) found in parts of texts."""
         gap = np.zeros(self.q, np.uint32)
-        starts, at, parts = {}, 0, []
-        for number, codes in held:
-            starts[number] = (at, codes)
-            parts += [codes, gap]
-            at += len(codes) + self.q
-        document = np.repeat([n for n, _ in held], [len(c) + self.q for _, c in held])
-        candidates = {}
-        for number, owner, diagonal in self._bands(np.concatenate(parts), document):
-            of_item = candidates.setdefault((number, int(self.source[owner])), {})
-            of_item.setdefault(owner, []).append(diagonal - starts[number][0])
-        for (number, item), of_item in candidates.items():
-            codes, places = starts[number][1], []
-            # the windows, which come first, cover most of what passages would find again
-            for owner in sorted(of_item):
-                places += self._places(codes, owner, of_item[owner], places)
-            for start, end, edits in self._joined(item, codes, places):
-                found[number].append((int(self.items[item]), start, end, edits))
-
-    def _places(self, codes, owner, diagonals, held):
-        """(start, end, edits, item from, item to) of a passage, one for each place that is not in ``held``."""
-        offset, size, budget = int(self.offset[owner]), int(self.sizes[owner]), int(self.budget[owner])
-        passage, here = self.texts[self.source[owner]][offset : offset + size], []
-        for diagonal in diagonals:
-            low, high = diagonal - budget, diagonal + 2 * budget + 1 + budget
-            # the band beside it has already given this place
-            if any(low <= start <= high for _, start, _ in here):
-                continue
-            if any(a <= max(0, low) and min(len(codes), high + size) <= b for a, b, *_ in held):
+        sizes = np.array([len(codes) for _, _, codes in held])
+        begin = np.cumsum(sizes + self.q) - sizes - self.q
+        codes = np.concatenate([x for _, _, part in held for x in (part, gap)])
+        bands, wide = self._candidates(codes, np.repeat(np.arange(len(held)), sizes + self.q))
+
+        def add(part, passage, cost, start, end):
+            number, offset, _ = held[part]
+            at = offset - int(begin[part])
+            places.setdefault(number, {}).setdefault(passage, set()).add((int(cost), int(start) + at, int(end) + at))
+
+        regions = []
+        for part, passage, first, last in _merged(bands, self.budget[bands[:, 1]] + 1, self.sizes[bands[:, 1]]):
+            budget = int(self.budget[passage])
+            low = max(int(begin[part]), first - budget)
+            regions.append((part, passage, low, min(int(begin[part] + sizes[part]), last + 3 * budget + 1 + int(self.sizes[passage]))))
+        for part, passage, positions in wide:
+            reach = int(self.sizes[passage] + self.budget[passage]) + 1
+            for run in np.split(positions, np.flatnonzero(np.diff(positions) > 2 * reach) + 1):
+                low = max(int(begin[part]), int(run[0]) - reach)
+                regions.append((part, passage, low, min(int(begin[part] + sizes[part]), int(run[-1]) + self.q + reach)))
+
+        whole, small = {}, []  # places of windows by (part, item): passages of the item would find them again
+        for part, passage, low, high in regions:
+            if self.sizes[passage] <= PASSAGE:
+                small.append((part, passage, low, high))
                 continue
-            match = aligned(passage, codes, low, high, budget)
-            if match:
-                here.append(match)
-        taken = []
-        for edits, start, end in sorted(here):
-            if all(end <= a or start >= b for a, b, *_ in taken):
-                taken.append((start, end, edits, offset, offset + size))
-        return taken
+            pattern = self.passages[passage]
+            costs = np.array(_edits_behind(len(pattern), _masks(pattern.tolist()), codes[low:high].tolist(), 0), dtype=np.int64)
+            near = np.flatnonzero(costs <= self.budget[passage])
+            if len(near):
+                for cost, start, end in places_at(pattern, codes, near + low + 1, costs[near]):
+                    add(part, passage, cost, start, end)
+                    whole.setdefault((part, int(self.only[passage])), []).append((start, end))
+        small = [r for r in small if not any(a <= r[2] and r[3] <= b for a, b in whole.get((r[0], int(self.only[r[1]])), ()))]
+        for low in range(0, len(small), _LANES):
+            self._small(codes, np.array(small[low : low + _LANES], dtype=np.int64), add)
+
+    def _small(self, codes, regions, add):
+        """Verify passages of at most 64 letters; long regions are cut into lanes that overlap by a passage."""
+        passage = regions[:, 1]
+        reach = self.sizes[passage] + self.budget[passage] + 1
+        count = np.maximum(1, -(-(regions[:, 3] - regions[:, 2] - reach) // _LANE))
+        region = np.repeat(np.arange(len(regions)), count)
+        starts = regions[region, 2] + _runs(np.zeros(len(regions), np.int64), count) * _LANE
+        stops = np.minimum(starts + _LANE + reach[region], regions[region, 3])
+        known, row = np.unique(passage, return_inverse=True)
+        letters = np.full((len(known), 64), _NO_LETTER - 1, np.uint32)
+        for at, number in enumerate(known.tolist()):
+            letters[at, : self.sizes[number]] = self.passages[number]
+        found = []
+        for low in range(0, len(region), _LANES):
+            lanes = slice(low, low + _LANES)
+            own = passage[region[lanes]]
+            lane, end, cost = near_ends(letters[row[region[lanes]]], self.sizes[own], self.budget[own], codes, starts[lanes], stops[lanes])
+            found.append(np.stack([region[low + lane], end, cost]))
+        at, end, cost = np.concatenate(found, 1)
+        order = np.argsort(at, kind="stable")
+        at, end, cost = at[order], end[order], cost[order]
+        for number in np.unique(at).tolist():
+            a, b = np.searchsorted(at, [number, number + 1])
+            part, passage_, _, _ = regions[number].tolist()
+            for place in places_at(self.passages[passage_], codes, end[a:b], cost[a:b]):
+                add(part, passage_, *place)
+
+    def _told(self, out, codes, of_text):
+        """Hits of one text: items that hold the same passages at the same offsets are worked out once."""
+        apart = {}
+        for passage, found in of_text.items():
+            taken, starts = [], []
+            for cost, start, end in sorted(found):
+                # places taken lie apart, so only the neighbours can overlap
+                at = bisect(starts, start)
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                    starts.insert(at, start)
+                    taken.insert(at, (start, end, cost))
+            apart[passage] = taken
+        holders = {}
+        for passage in sorted(apart):
+            low, high = np.searchsorted(self.held_by[:, 0], [passage, passage + 1])
+            for _, item, offset in self.held_by[low:high].tolist():
+                holders.setdefault(item, []).append((passage, offset))
+        alike = {}
+        for item, held in holders.items():
+            alike.setdefault(tuple(held), []).append(item)
+        for held, items in alike.items():
+            places = [
+                (start, end, cost, offset, offset + int(self.sizes[passage]))
+                for passage, offset in held
+                for start, end, cost in apart[passage]
+            ]
+            told = self._joined(items[0], codes, places)
+            for item in items:
+                number = int(self.items[item])
+                out += [(number, start, end, edits) for start, end, edits in told]
 
     def _joined(self, item, codes, held):
         """(start, end, edits) of the stretches that the places of one item in one text make up."""
@@ -278,10 +514,12 @@ class PassageIndex:
                 match = aligned(self.texts[item][low:high], codes, min(diagonals) - most, max(diagonals) + most, far)
             out.append((match[1], match[2], match[0], high - low))
         out.sort(key=lambda m: (-m[3], m[2], m[0]))
-        kept = []
+        kept, near = [], {}  # what is kept, by the parts of the text it touches
         for start, end, edits, _ in out:
-            if not any(a <= start and end <= b for a, b, _ in kept):
+            if not any(a <= start and end <= b for a, b in near.get(start // WINDOW, ())):
                 kept.append((start, end, edits))
+                for part in range(start // WINDOW, end // WINDOW + 1):
+                    near.setdefault(part, []).append((start, end))
         return kept
 
 
