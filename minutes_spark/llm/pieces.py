@@ -146,41 +146,78 @@ class Lattice:
                 out.append(self.ids[arc])
         return tuple(out)
 
+    def _arrays(self):
+        """Ends of the arcs, and what each loses against the best way to its end; infinite for the best arc itself."""
+        starts, ends, came = (np.frombuffer(x, np.int32) for x in (self.starts, self.ends, self.came))
+        scores, best = (np.frombuffer(x, np.float64) for x in (self.scores, self.best))
+        loss = best[ends] - (best[starts] + scores)
+        loss[came[came >= 0]] = np.inf
+        return ends, loss
+
     def loss(self, arcs):
-        """Score that the second best segmentation lacks; infinite if there is none."""
-        after = [-np.inf] * (self.size + 1)
-        after[self.size] = 0.0
-        on, second, total = set(arcs), -np.inf, self.best[self.size]
-        for arc in range(len(self.ids) - 1, -1, -1):
-            start, through = self.starts[arc], self.scores[arc] + after[self.ends[arc]]
-            if through > after[start]:
-                after[start] = through
-            if arc not in on and self.best[start] + through > second:
-                second = self.best[start] + through
-        return total - second
+        """Score that the second best segmentation lacks; infinite if there is none.
+
+        The second best leaves the best way once, by the cheapest arc that ends on it.
+        """
+        if not arcs:
+            return np.inf
+        ends, loss = self._arrays()
+        on = np.zeros(self.size + 1, bool)
+        on[ends[np.array(arcs)]] = True
+        return float(loss[on[ends]].min())
 
     def n_best(self, n):
-        """(score, ids) of up to n segmentations, best first: A-star from the end."""
-        into = {}
-        for arc in range(len(self.ids)):
-            into.setdefault(self.ends[arc], []).append(arc)
-        heap, out, pushed = [(-self.best[self.size], 0, self.size, 0.0, None)], [], 0
+        """(score, ids) of up to n segmentations, best first: A-star from the end.
+
+        A forward score is the exact rest of a way, so a way taken from the queue follows the best arcs
+        down to the start without entering the queue again. What it queues are its detours,
+        arcs that end on that stretch, and of these no more than the segmentations still wanted. Of
+        equal ways the one queued last goes on.
+        """
+        heap, out, queued = [(0.0, 0, self.size, ())], [], 0
         while heap and len(out) < n:
-            cost, _, at, done, chain = heapq.heappop(heap)
-            if at == 0:
-                arcs = []
-                while chain:
-                    arc, chain = chain
-                    arcs.append(arc)
-                out.append((-cost, self.spelled(arcs)))
-                continue
-            for arc in into.get(at, ()):
-                gone = done + self.scores[arc]
-                start = self.starts[arc]
-                pushed += 1
-                heapq.heappush(heap, (-(self.best[start] + gone), pushed, start, gone, (arc, chain)))
+            lost, _, at, chain = heapq.heappop(heap)
+            stretch, places = [], []
+            while at:
+                places.append(at)
+                stretch.append(self.came[at])
+                at = self.starts[self.came[at]]
+            arcs = stretch[::-1]
+            for arc, behind in _links(chain):
+                arcs += [arc, *behind]
+            out.append((self.best[self.size] - lost, self.spelled(arcs)))
+            if len(out) == n:
+                break
+            for loss, step, arc in reversed(self._detours(places, n - len(out))):
+                queued += 1
+                heapq.heappush(heap, (lost + loss, -queued, self.starts[arc], (arc, stretch[:step][::-1], chain)))
         return out
 
+    def _detours(self, places, wanted):
+        """(loss, number of the place, arc) of the ``wanted`` cheapest other arcs into the places, cheapest first."""
+        if self.size <= TOGETHER:
+            step = dict(zip(places, range(len(places))))
+            best, starts, scores, came = self.best, self.starts, self.scores, self.came
+            found = [
+                (best[end] - best[starts[arc]] - scores[arc], step[end], arc)
+                for arc, end in enumerate(self.ends) if end in step and came[end] != arc
+            ]
+            return sorted(found)[:wanted]
+        ends, loss = self._arrays()
+        step = np.full(self.size + 1, -1)
+        step[places] = np.arange(len(places))
+        arcs = np.flatnonzero((step[ends] >= 0) & np.isfinite(loss))
+        if len(arcs) > wanted:
+            arcs = arcs[np.argpartition(loss[arcs], wanted - 1)[:wanted]]
+        return sorted(zip(loss[arcs].tolist(), step[ends[arcs]].tolist(), arcs.tolist()))
+
+
+def _links(chain):
+    """(detour, best arcs behind it) from the start of the text to its end."""
+    while chain:
+        arc, behind, chain = chain
+        yield arc, behind
+
 
 def segments(text):
     """Parts of " " + text whose lattices form the chain of the whole lattice."""
