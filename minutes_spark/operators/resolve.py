@@ -184,14 +184,18 @@ def resolve_speakers(
     )
 
 
-def count_resolved(spoken: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Speeches per (document, name) with the name's speaker.
-
-    ``spoken`` has a row for each speech (``spoken_names``), ``resolved`` one for each name.
-    """
-    counts = spoken.groupBy("document_id", normalize_alias("speaker_name").alias("name_norm")).agg(
+def count_names(spoken: DataFrame) -> DataFrame:
+    """Speeches per (document, name); ``spoken`` has a row for each speech (``spoken_names``)."""
+    return spoken.groupBy("document_id", normalize_alias("speaker_name").alias("name_norm")).agg(
         F.count("*").alias("speeches")
     )
+
+
+def count_resolved(counts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Speeches per (document, name) with the name's speaker: all that match rates need to keep.
+
+    ``counts`` are ``count_names``; ``resolved`` has one row for each name.
+    """
     return counts.join(resolved.drop("municipality_id", "created_at"), _NAME, "left")
 
 

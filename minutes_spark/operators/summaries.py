@@ -2,13 +2,13 @@
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
 from ..functions.text import estimate_tokens, trim_ws
-from .scan import blocks_of
+from ..sources.tables import durable
+from .scan import blocks_of, long_keys, running
 
 
 def _units(c) -> Column:
@@ -47,25 +47,23 @@ def pack_chunks(
 ) -> DataFrame:
     """Chunk number of each speech: chunks fill in order up to ``limit`` tokens.
 
-    A speech above the limit is a chunk of its own. A document's speeches are folded in
-    blocks of ``per_block`` consecutive numbers; only token counts travel, no text.
+    A speech above the limit is a chunk of its own. Speeches are numbered without gaps from 0; a
+    document's are folded in blocks of ``per_block``, whose starts are found by jumps from chunk
+    to chunk where there are several. Only token counts travel, no text.
     """
     block = blocks_of("sequence", per_block)
     line = F.concat(formatted(speeches), F.lit("\n\n"))
     items = F.array_sort(F.collect_list(F.struct("sequence", "tokens")))
-    blocks = (
-        speeches.select(
-            "document_id",
-            "sequence",
-            estimate_tokens(line).cast("int").alias("tokens"),
-            block.cast("int").alias("block"),
-        )
-        .groupBy("document_id", "block")
-        .agg(items.alias("items"))
+    counted = speeches.select(
+        "document_id", "sequence", estimate_tokens(line).cast("int").alias("tokens"), block.cast("int").alias("block")
     )
-    blocks = blocks.join(
-        _block_starts(blocks, limit), ["document_id", "block"], "left"
-    ).na.fill(0, ["carry", "chunk"])
+    blocks = counted.groupBy("document_id", "block").agg(items.alias("items"))
+    long = long_keys(speeches.select("document_id", "sequence"), block)
+    if not long.isEmpty():
+        starts = _block_starts(counted.join(long, "document_id", "left_semi"), limit)
+        blocks = blocks.join(starts, ["document_id", "block"], "left").na.fill(0, ["carry", "chunk"])
+    else:
+        blocks = blocks.withColumns({"carry": F.lit(0), "chunk": F.lit(0)})
 
     def step(state, item):
         total = state["carry"] + item["tokens"]
@@ -95,85 +93,76 @@ def pack_chunks(
     )
 
 
-# Long documents: what a block does to the tokens carried into it is a function on
-# 0..limit. Such functions compose, so blocks are summed up in groups of bounded size, and
-# every block learns its start without a pass over the whole document.
-_BLOCKS_PER_GROUP = 256
-
-
-def _effect(tokens, limit):
-    """For each carried-in count: the carried-out count and the number of new chunks."""
-    carry = np.arange(limit + 1, dtype=np.int32)
-    opened = np.zeros(limit + 1, dtype=np.int32)
-    for n in tokens:
-        full = (carry > 0) & (carry + n > limit)
-        carry = np.minimum(np.where(full, n, carry + n), limit).astype(np.int32)
-        opened += full
-    return carry, opened
-
-
-def _starts(effects, carry, chunk):
-    for out, opened in effects:
-        yield carry, chunk
-        carry, chunk = int(out[carry]), chunk + int(opened[carry])
-
-
-def _block_starts(blocks: DataFrame, limit: int) -> DataFrame:
-    doc = f"document_id {blocks.schema['document_id'].dataType.simpleString()}"
-    effect = "effect_out array<int>, effect_opened array<int>"
-    long_documents = blocks.filter("block > 0").select("document_id").distinct()
+#: Tokens of a bucket in which the next chunk's end is looked for, in requests.
+_REQUESTS_PER_BUCKET = 64
 
-    def block_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pairs = [_effect(tokens, limit) for tokens in batch["tokens"]]
-            yield batch[["document_id", "block"]].assign(
-                group=batch["block"] // _BLOCKS_PER_GROUP,
-                effect_out=[p[0] for p in pairs],
-                effect_opened=[p[1] for p in pairs],
-            )
 
-    def pairs_of(rows):
-        return zip(rows["effect_out"], rows["effect_opened"])
-
-    def group_effect(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        carry = np.arange(limit + 1, dtype=np.int32)
-        opened = np.zeros(limit + 1, dtype=np.int32)
-        for out, more in pairs_of(rows):
-            carry, opened = out[carry], opened + more[carry]
-        first = rows.iloc[:1]
-        return first[["document_id", "group"]].assign(effect_out=[carry], effect_opened=[opened])
-
-    def group_starts(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("group")
-        starts = list(_starts(pairs_of(rows), 0, 0))
-        return rows[["document_id", "group"]].assign(
-            group_carry=[s[0] for s in starts], group_chunk=[s[1] for s in starts]
-        )
+def _chunk_jumps(counted: DataFrame, limit: int) -> DataFrame:
+    """(document_id, at, to, upto): behind a chunk that ends with speech ``at`` the next one ends with ``to``.
 
-    def starts_in_group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        first = rows.iloc[0]
-        starts = list(_starts(pairs_of(rows), int(first["group_carry"]), int(first["group_chunk"])))
-        return rows[["document_id", "block"]].assign(
-            carry=[s[0] for s in starts], chunk=[s[1] for s in starts]
+    ``upto`` are the document's tokens up to ``at``. The next chunk ends with the last speech whose
+    running sum is within ``limit`` of that, or holds one larger speech. Sums are looked for in
+    buckets; the first ``limit`` tokens of a bucket are also known to the bucket before.
+    """
+    size = _REQUESTS_PER_BUCKET * limit
+    summed = running(
+        counted.withColumn("tokens", F.col("tokens").cast("long")), ["document_id"], ["sequence"], F.col("block"),
+        sums={"upto": "tokens"},
+    ).select("document_id", F.col("sequence").cast("long").alias("at"), "upto")
+    last = summed.groupBy("document_id").agg(F.max("at").alias("_last"))
+    start = last.select("document_id", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("upto"))
+    bucket = F.floor(F.col("upto") / size)
+    both = F.when(F.col("upto") % size <= limit, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))
+    placed = summed.unionByName(start).select("*", F.posexplode(both).alias("_copy", "_bucket"))
+    reach = Window.partitionBy("document_id", "_bucket").orderBy("upto").rangeBetween(1, limit)
+    jumps = placed.withColumn("_to", F.max("at").over(reach)).filter("_copy = 0").join(last, "document_id")
+    to = F.when(F.col("at") < F.col("_last"), F.coalesce("_to", F.col("at") + 1))
+    return jumps.select("document_id", "at", to.alias("to"), "upto")
+
+
+def _chunk_ends(jumps: DataFrame) -> DataFrame:
+    """(document_id, at): the ends that the chain from the start meets, by doubling the jumps.
+
+    After k rounds the first 2^k ends are known and a jump leads 2^k chunks on.
+    """
+    ends = jumps.filter("at = -1").select("document_id", "at")
+    jumps = durable(jumps.select("document_id", "at", "to").filter(F.col("to").isNotNull()), "chunk-jumps")
+    while not jumps.isEmpty():
+        ahead = ends.join(jumps, ["document_id", "at"]).select("document_id", F.col("to").alias("at"))
+        ends = durable(ends.unionByName(ahead), "chunk-ends")
+        further = jumps.select("document_id", F.col("at").alias("to"), F.col("to").alias("_further"))
+        jumps = durable(
+            jumps.join(further, ["document_id", "to"]).select("document_id", "at", F.col("_further").alias("to")), "chunk-jumps"
         )
-
-    effects = (
-        blocks.join(long_documents, "document_id", "left_semi")
-        .select("document_id", "block", F.transform("items", lambda i: i["tokens"]).alias("tokens"))
-        .mapInPandas(block_effects, f"{doc}, block int, group int, {effect}")
+    return ends
+
+
+def _block_starts(counted: DataFrame, limit: int) -> DataFrame:
+    """(document_id, block, carry, chunk): tokens of the open chunk and its number where a block begins."""
+    jumps = durable(_chunk_jumps(counted, limit), "chunk-jumps")
+    ends = _chunk_ends(jumps).join(jumps, ["document_id", "at"]).select("document_id", "at", "upto")
+    edges = counted.groupBy("document_id", "block").agg(F.min("sequence").cast("long").alias("_first"), F.sum("tokens").alias("_tokens"))
+    bounds = Window.partitionBy("document_id").orderBy("block")
+    edges = edges.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_tokens").over(bounds.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_next": F.lead("_first").over(bounds),
+        }
     )
-    groups = (
-        effects.groupBy("document_id", "group")
-        .applyInPandas(group_effect, f"{doc}, group int, {effect}")
-        .groupBy("document_id")
-        .applyInPandas(group_starts, f"{doc}, group int, group_carry int, group_chunk int")
+    # the start counts as an end, so the chunk that is open, or begins here, is the number of ends before less one
+    held = ends.join(edges.select("document_id", "block", "_first", "_next"), "document_id").filter(
+        (F.col("at") >= F.col("_first") - F.when(F.col("block") == 0, 1).otherwise(0))
+        & (F.col("_next").isNull() | (F.col("at") < F.col("_next")))
     )
-    return (
-        effects.join(groups, ["document_id", "group"])
-        .groupBy("document_id", "group")
-        .applyInPandas(starts_in_group, f"{doc}, block int, carry int, chunk int")
+    per_block = held.groupBy("document_id", "block").agg(F.count("*").alias("_n"), F.max("upto").alias("_upto"))
+    earlier = bounds.rowsBetween(Window.unboundedPreceding, -1)
+    found = edges.join(per_block, ["document_id", "block"], "left").withColumns(
+        {"_ends": F.sum("_n").over(earlier), "_open": F.max("_upto").over(earlier)}
+    )
+    carry = F.col("_before") - F.col("_open")
+    return found.filter("block > 0").select(
+        "document_id", "block", carry.cast("int").alias("carry"),
+        (F.col("_ends") - 1).cast("int").alias("chunk"),
     )
 
 

@@ -376,10 +376,19 @@ def resolve_cascade(spark, root):
 
 
 def _counted(spark, root):
-    """Speeches per name; no text is read beyond the lines' flags."""
-    attendees = _attendees(spark, root)
-    resolved = resolve.resolve_names(_names(spark, root), attendees, _history(spark, root, attendees))
-    return resolve.count_resolved(P.spoken_names(V.page_texts(spark, root)), resolved)
+    """Speeches per name with the name's speaker, kept for as long as the given tables stay the same.
+
+    One segmentation of the lines' flags gives the counts; its names are the ones to resolve.
+    """
+
+    def build():
+        counts = durable(resolve.count_names(P.spoken_names(V.page_texts(spark, root))), "name-counts")
+        names = counts.join(_documents(spark, root), "document_id").drop("speeches")
+        attendees = _attendees(spark, root)
+        resolved = resolve.resolve_names(names, attendees, _history(spark, root, attendees))
+        return resolve.count_resolved(counts, resolved)
+
+    return tables.kept_result(spark, [f"{root}/{t}.parquet" for t in ("orders", "lineitem", "customer")], "resolved-counts", build)
 
 
 @query

@@ -52,7 +52,7 @@ def test_cascade(spark, documents):
         ("南澤克彦", 1.0, "exact_family"),
     ]
     resolved = R.resolve_names(R.speech_names(speeches, documents), people, history)
-    counted = R.count_resolved(speeches, resolved)
+    counted = R.count_resolved(R.count_names(speeches), resolved)
     rate = R.match_rate(counted).first()
     assert (rate.speeches, rate.matched, rate.unmatched, rate.rate) == (12, 9, 3, 75.0)
     empty = R.match_rate(counted.limit(0)).first()

@@ -33,6 +33,15 @@ def test_packing_equals_the_sequential_rule(spark):
         assert len(got) == len(rows)
 
 
+def test_packing_a_document_of_many_speeches(spark):
+    rng = random.Random(4)
+    sizes = [rng.choice([0, 10, 60, 300]) for _ in range(100_000)]
+    rows = spark.createDataFrame([("long", n, "議長", "あ" * size) for n, size in enumerate(sizes)] + [("short", 0, "a", "b")], SPEECH)
+    got = G.pack_chunks(rows.repartition(4), 2000, per_block=4096).collect()
+    expected = dict(enumerate(packed([math.ceil((size + 6) / 2) for size in sizes], 2000)))
+    assert {r.sequence: r.chunk for r in got if r.document_id == "long"} == expected
+
+
 def test_requests(spark):
     rows = [("a", 0, "議長", "開会します。"), ("a", 1, "田中議員", "質問します。"), ("b", 0, "甲", "あ" * 40), ("b", 1, "乙", "い" * 10)]
     got = {(r.document_id, r.part): (r.route, r.content) for r in G.request_table(spark.createDataFrame(rows, SPEECH), 20).collect()}
