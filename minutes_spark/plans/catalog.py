@@ -18,7 +18,9 @@ from ..operators import attendees as A, lines as L, links, resolve, speakers as
 from ..operators import state as H, summaries as G, words as W
 from ..sources import adapters as V, tables
 from ..sources.tables import durable
+from ..schemas import PARTITIONED_BY
 from . import marts as M
+from .jobs import replace_speeches
 
 QUERIES = {}
 REQUEST_LIMIT = 300
@@ -93,6 +95,67 @@ def speeches_to_summarize(spark, root):
     return M.speeches_to_summarize(t, _open_documents(t))
 
 
+def _stored_speeches(spark, root):
+    """Root of a speeches table in the stored layout, written once for one state of the given tables."""
+    path = f"{root}/{{}}.parquet"
+
+    def build():
+        at = tables.shared_path(spark, "stored")
+        page = (F.col("sequence") + 2).cast("int")
+        owner = V.documents(spark, root).select("document_id", "municipality_id", "session_id")
+        rows = V.speeches(spark, root).withColumns({"page_start": page, "page_end": page}).join(owner, "document_id")
+        tables.write_table(rows, at, "speeches")
+        return spark.createDataFrame([(at,)], "root string")
+
+    sources = [path.format(t) for t in ("orders", "lineitem", "customer")]
+    return tables.kept_result(spark, sources, "stored-speeches", build).first()["root"]
+
+
+def _text_keys(df):
+    return df.withColumns({c: F.col(c).cast("string") for c in ("document_id", "municipality_id") if c in df.columns})
+
+
+def _one_document(spark, root):
+    """The tables of the stored model, and (document, own municipality, another one) of the latest parsed document."""
+    points = F.array(F.concat(F.lit("dated "), F.substring(F.col("created_at").cast("string"), 1, 10)), F.col("summary_text"))
+    t = V.Minutes(
+        spark, root,
+        documents=_text_keys(V.documents(spark, root)), sessions=_text_keys(V.sessions(spark, root)),
+        summaries=_text_keys(V.summaries(spark, root)).withColumn("key_points", points),
+        speakers=_text_keys(V.speakers(spark, root)).withColumn("speaker_id", F.col("speaker_id").cast("string")),
+    )
+    latest = F.max_by(F.struct("document_id", "municipality_id"), F.struct("created_at", F.col("document_id").cast("long")))
+    found = t.documents.filter("status = 'parsed'").agg(latest.alias("d")).first()["d"]
+    document, own = (found["document_id"], found["municipality_id"]) if found else ("", "")
+    return t, document, own, str((int(own or 0) + 1) % 25)
+
+
+@query
+def document_by_id(spark, root):
+    """One document for its own municipality, and for another one, which must not see it."""
+    t, document, own, foreign = _one_document(spark, root)
+    at, views = _stored_speeches(spark, root), []
+    for municipality in (own, foreign):
+        speeches = tables.read_table(spark, at, "speeches", municipality, document).drop("document_bucket")
+        views.append(M.document_speeches(t.with_tables(speeches=speeches), municipality, document))
+    both = views[0].unionByName(views[1])
+    return both.withColumns({c: F.array_join(c, "|") for c in ("topics", "key_points")})
+
+
+@query
+def replaced_speeches(spark, root):
+    """Speeches of re-parsed documents replaced in their buckets by the sink, read back from the table."""
+    path = f"{tables.shared_path(spark, 'replaced')}/speeches"
+    stored = tables.read_table(spark, _stored_speeches(spark, root), "speeches")
+    stored.write.partitionBy(*PARTITIONED_BY["speeches"]).parquet(path)
+    stored = spark.read.schema(stored.schema).parquet(path)
+    parsed = V.documents(spark, root).filter("status = 'parsed'").select(F.col("document_id").cast("string"))
+    new = stored.join(parsed, "document_id", "left_semi").withColumn("speech_text", F.upper("speech_text"))
+    replace_speeches(stored, durable(new, "new-speeches"), path)
+    after = spark.read.schema(stored.schema).parquet(path)
+    return after.select("municipality_id", "document_id", "sequence", "speaker_name_raw", "speech_text", "page_start")
+
+
 # --- Text and parsing -------------------------------------------------------------------
 
 

@@ -64,17 +64,22 @@ def outcomes(documents: DataFrame, assets: DataFrame, speeches: DataFrame) -> Da
 def replace_speeches(stored: DataFrame, new: DataFrame, path: str) -> None:
     """Put the speeches of ``new``'s documents in the place of theirs in the table at ``path``.
 
-    Only the partitions of municipalities that occur in ``new`` are read and rewritten; their
-    ids, at most one for each municipality, prune the scan.
+    Only the document buckets that occur in ``new`` are read and rewritten. Their municipalities and
+    bucket numbers, at most as many as there are of each, prune the scan.
     """
     check_keys(new, "speeches")
-    touched = [r[0] for r in new.select("municipality_id").distinct().collect()]
-    own = F.col("municipality_id").isin([m for m in touched if m is not None])
-    if None in touched:
-        own |= F.col("municipality_id").isNull()
-    rows = state.replace_rows(stored.filter(own), new, ["document_id"])
-    if touched:
-        replace_partitions(conform(rows, "speeches"), path, PARTITIONED_BY["speeches"])
+    place = list(PARTITIONED_BY["speeches"])
+    new = conform(new, "speeches")
+    touched = durable(new.select(*place).distinct(), "touched-buckets")
+    known = touched.agg(*(F.collect_set(c).alias(c) for c in place)).first()
+    if touched.isEmpty():
+        return
+    near = F.col(place[0]).isin(known[0]) | F.col(place[0]).isNull()
+    near &= F.col(place[1]).isin(known[1]) | F.col(place[1]).isNull()
+    asked = touched.select(*(F.col(c).alias(f"_{c}") for c in place))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+    inside = stored.filter(near).join(asked, same[0] & same[1], "left_semi")
+    replace_partitions(conform(state.replace_rows(inside, new, ["document_id"]), "speeches"), path, place)
 
 
 def run_extract(spark: SparkSession, source: str, target: str, again=False, speeches_at=None) -> DataFrame:

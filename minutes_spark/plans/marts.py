@@ -234,6 +234,28 @@ def document_header(t, municipality_id, document_id) -> DataFrame:
     )
 
 
+def document_speeches(t, municipality_id, document_id) -> DataFrame:
+    """One document with session, summary and key points, and its speeches with their pages, in order.
+
+    ``t.speeches`` should be read for the document alone (``read_table`` with its id). A document of
+    another municipality gives nothing.
+    """
+    header = document_header(t, municipality_id, document_id).select(
+        MUNICIPALITY, "document_id", "title", "status", "fiscal_year", "session_name", "session_type",
+        "summary_text", "topics", "key_points",
+    )
+    spoken, nobody = _by_speaker(t.speeches.drop(MUNICIPALITY, "session_id"), t.speakers)
+    return (
+        header.join(spoken.unionByName(nobody), "document_id", "left")
+        .select(
+            *header.columns, "sequence",
+            display_name("name_ja", "speaker_name_raw").alias("name"), display_role("role").alias("role"),
+            "speech_text", "page_start", "page_end",
+        )
+        .orderBy("sequence")
+    )
+
+
 def _by_speaker(rows: DataFrame, speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their speaker's name and role, and rows without a speaker, which need no join."""
     names = speakers.select("speaker_id", "name_ja", "role")

@@ -530,6 +530,17 @@ _BODIES = {
     "recent_runs": "SELECT municipality_id, run_id, CAST(started_at AS VARCHAR) AS started_at FROM runs",
     "replace_partitions": """SELECT document_id, sequence, CASE WHEN d.status = 'parsed' THEN upper(speech_text) ELSE speech_text END AS speech_text
         FROM a_speeches LEFT JOIN a_documents d USING (document_id)""",
+    "replaced_speeches": """SELECT CAST(d.municipality_id AS VARCHAR) AS municipality_id, CAST(document_id AS VARCHAR) AS document_id, sequence,
+        speaker_name_raw, CASE WHEN d.status = 'parsed' THEN upper(speech_text) ELSE speech_text END AS speech_text,
+        CAST(sequence + 2 AS INT) AS page_start FROM a_speeches JOIN a_documents d USING (document_id)""",
+    "document_by_id": """SELECT CAST(d.municipality_id AS VARCHAR) AS municipality_id, CAST(d.document_id AS VARCHAR) AS document_id, d.title, d.status,
+        e.fiscal_year, e.session_name, e.session_type, s.summary_text, coalesce(array_to_string(s.topics, '|'), '') AS topics,
+        'dated ' || substr(CAST(d.created_at AS VARCHAR), 1, 10) || '|' || s.summary_text AS key_points, p.sequence,
+        coalesce(k.name_ja, p.speaker_name_raw) AS name, coalesce(k.role, 'unknown') AS role, p.speech_text,
+        CAST(p.sequence + 2 AS INT) AS page_start, CAST(p.sequence + 2 AS INT) AS page_end
+        FROM (SELECT * FROM a_documents WHERE status = 'parsed' ORDER BY created_at DESC, document_id DESC LIMIT 1) d
+        LEFT JOIN a_sessions e ON e.session_id = d.session_id LEFT JOIN a_summaries s USING (document_id)
+        LEFT JOIN a_speeches p USING (document_id) LEFT JOIN a_speakers k ON k.speaker_id = p.speaker_id""",
 }
 
 ORACLES = {name: _sql(body) for name, body in _BODIES.items()}

@@ -3,23 +3,39 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.urls import local_url, title_from_filename
 
 
-def read_table(spark: SparkSession, root: str, name: str, municipality_id=None) -> DataFrame:
-    """A stored table with its declared schema; the municipality filter prunes partitions."""
+def bucket_of(document_id, buckets: int) -> Column:
+    """The bucket of a document; for a literal id a constant, which prunes partitions."""
+    return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(buckets).cast("long")).cast("int")
+
+
+def read_table(spark: SparkSession, root: str, name: str, municipality_id=None, document_id=None) -> DataFrame:
+    """A stored table with its declared schema.
+
+    The municipality filter prunes partitions; of a bucketed table ``document_id`` reads one bucket.
+    """
     table = spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
     if municipality_id is not None:
         table = table.filter(F.col("municipality_id") == municipality_id)
+    if document_id is not None:
+        if name in schemas.BUCKETS:
+            column, buckets = schemas.BUCKETS[name]
+            table = table.filter(F.col(column) == bucket_of(F.lit(document_id), buckets))
+        table = table.filter(F.col("document_id") == F.lit(document_id).cast("string"))
     return table
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Columns and types of the table, absent ones NULL."""
+    """Columns and types of the table, absent ones NULL; the bucket follows from the document."""
     fields = schemas.TABLES[name].fields
+    if name in schemas.BUCKETS:
+        column, buckets = schemas.BUCKETS[name]
+        df = df.withColumn(column, bucket_of(F.col("document_id"), buckets))
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)

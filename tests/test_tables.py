@@ -176,13 +176,13 @@ def test_extract_job_and_incremental_pages(spark, tmp_path):
     rows = [("a", "m", 9, "old"), ("c", "m", 0, "kept"), ("x", "other", 0, "apart"), ("y", None, 0, "nowhere")]
     old = spark.createDataFrame(rows, "document_id string, municipality_id string, sequence int, speech_text string")
     tables.write_table(old, str(tmp_path), "speeches")
-    apart = sorted(place.glob("municipality_id=other/*.parquet"))
+    apart = sorted(place.glob("municipality_id=other/*/*.parquet"))
     for _ in range(2):
         jobs.run_extract(spark, source, str(tmp_path / "v3"), speeches_at=str(place))
         got = tables.read_table(spark, str(tmp_path), "speeches").collect()
         assert sorted((r.document_id, r.sequence, r.speech_text) for r in got) == [
             ("a", 0, "はい。"), ("a", 1, "いいえ。"), ("c", 0, "kept"), ("x", 0, "apart"), ("y", 0, "nowhere")]
-    assert apart == sorted(place.glob("municipality_id=other/*.parquet")) and not (tmp_path / "v3" / "speeches").exists()
+    assert apart == sorted(place.glob("municipality_id=other/*/*.parquet")) and not (tmp_path / "v3" / "speeches").exists()
 
     seen = []
     for _ in range(2):
@@ -264,3 +264,28 @@ def test_words_job_goes_on_past_a_failing_text(spark, tmp_path):
     assert [tuple(r) for r in jobs.run_words(spark, source, target, tokenizer).collect()] == [("d", 1, "ValueError: no words")]
     assert [(r.word, r["count"]) for r in tables.read_table(spark, target, "word_frequencies").collect()] == [("財政", 2)]
     assert jobs.run_words(spark, source, str(tmp_path / "v3")).count() == 0
+
+
+def test_documents_are_read_and_replaced_in_their_bucket(spark, tmp_path):
+    rows = [(m, f"d{n}", f"{m}-{n}", s, f"text {s}") for m in ("m1", "m2") for n in range(40) for s in range(2)]
+    df = spark.createDataFrame(rows, "municipality_id string, document_id string, speech_id string, sequence int, speech_text string")
+    df = df.withColumn("document_id", F.concat("municipality_id", F.lit("/"), "document_id"))
+    tables.write_table(df, str(tmp_path), "speeches")
+    one = tables.read_table(spark, str(tmp_path), "speeches", "m1", "m1/d7")
+    assert sorted(r.speech_text for r in one.collect()) == ["text 0", "text 1"]
+    places = {r[0].rsplit("/", 1)[0] for r in one.select(F.input_file_name()).collect()}
+    assert len(places) == 1
+    assert tables.read_table(spark, str(tmp_path), "speeches", "m2", "m1/d7").count() == 0
+
+    place = tmp_path / "speeches"
+    before = {str(f) for f in place.rglob("*.parquet")}
+    stored = tables.read_table(spark, str(tmp_path), "speeches")
+    new = df.filter("document_id = 'm1/d7'").limit(1).withColumn("speech_text", F.lit("new"))
+    jobs.replace_speeches(stored, new, str(place))
+    after = {str(f) for f in place.rglob("*.parquet")}
+    changed = {f.rsplit("/", 1)[0] for f in before ^ after}
+    assert len(changed) == 1
+    got = tables.read_table(spark, str(tmp_path), "speeches")
+    assert got.count() == len(rows) - 1 and got.filter("speech_text = 'new'").count() == 1
+    jobs.replace_speeches(got, df.limit(0), str(place))
+    assert {str(f) for f in place.rglob("*.parquet")} == after
