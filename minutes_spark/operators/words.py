@@ -2,9 +2,10 @@
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
+from ..sources.tables import durable
 from .scan import top_per_group
 
 TOKEN_SCHEMA = "surface string, reading string, pos string, pos_detail_1 string, token_no int"
@@ -95,6 +96,90 @@ def count_words(tokens: DataFrame, order=("document_id", "sequence", "token_no")
     )
 
 
+_WORD = ["municipality_id", "word"]
+
+
+def document_words(tokens: DataFrame) -> DataFrame:
+    """Per (municipality, document, word): count, and place and kind of the first occurrence.
+
+    This is the state that ``word_totals`` can be brought up to date from. The place is one
+    number, ``sequence * 2^32 + token_no``, so tokens are counted by hash on the map side and
+    shuffled once; what is shuffled again has one row per word, kind and document.
+    """
+    if "error" in tokens.columns:
+        tokens = tokens.filter("error IS NULL")
+    place = F.shiftleft(F.col("sequence").cast("long"), 32) + F.col("token_no")
+    kind = ["reading", "pos", "pos_detail_1"]
+    kinds = tokens.groupBy("municipality_id", "document_id", F.col("surface").alias("word"), *kind).agg(
+        F.count("*").alias("count"), F.min(place).alias("place")
+    )
+    first = F.min_by(F.struct(*kind), "place").alias("_kind")
+    words = kinds.groupBy("municipality_id", "document_id", "word").agg(
+        F.sum("count").alias("count"), F.min("place").alias("place"), first
+    )
+    return words.select("municipality_id", "document_id", "word", "count", "place", "_kind.*")
+
+
+def _first_document() -> Column:
+    """The first of several documents' rows for a word, with its kind."""
+    return F.min_by(_row(), F.struct("document_id", "place"))
+
+
+def word_totals(per_document: DataFrame) -> DataFrame:
+    """``document_words`` added up per (municipality, word), with the first document's row."""
+    return (
+        per_document.groupBy(*_WORD)
+        .agg(F.sum("count").alias("count"), _first_document().alias("_first"))
+        .select(*_WORD, "count", "_first.*")
+    )
+
+
+def merged_totals(totals: DataFrame, removed: DataFrame, added: DataFrame, after: DataFrame) -> DataFrame:
+    """``totals`` after some documents' words were ``removed`` and others ``added``.
+
+    ``removed`` and ``added`` are ``document_words`` of the changed documents before and after the
+    change, ``after`` those of all documents after it. Counts are added up; the first occurrence
+    is the earlier of the stored and the added one. Only for words whose first document was
+    removed is it looked for in ``after``. Equals ``word_totals(after)``.
+    """
+    changes = (
+        removed.withColumn("_sign", F.lit(-1)).unionByName(added.withColumn("_sign", F.lit(1)))
+        .withColumn("_new", F.col("_sign") == 1)
+        .groupBy(*_WORD)
+        .agg(
+            F.sum(F.col("count") * F.col("_sign")).alias("_more"),
+            F.min(F.when(~F.col("_new"), F.struct("document_id", "place"))).alias("_gone"),
+            F.min(F.when(F.col("_new"), _row())).alias("_added"),
+        )
+    )
+    t = totals.withColumn("_stored", _row()).select(*[F.col(c).alias(f"_{c}") for c in _WORD], "count", "_stored")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _WORD]
+    lost = F.coalesce(F.struct("_stored.document_id", "_stored.place").eqNullSafe(F.col("_gone")), F.lit(False))
+    merged = t.join(changes, same[0] & same[1], "full_outer").select(
+        *[F.coalesce(c, f"_{c}").alias(c) for c in _WORD],
+        (F.coalesce("count", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("count"),
+        (F.col("_stored").isNotNull() & lost).alias("_lost"),
+        F.least("_stored", "_added").alias("_first"),
+    ).filter("count > 0")
+    merged = durable(merged, "word-totals")
+    found = word_totals(after.join(merged.filter("_lost").select(*_WORD), _WORD, "left_semi"))
+    known = merged.filter("NOT _lost").select(*_WORD, "count", "_first.*")
+    return known.unionByName(found)
+
+
+def _row() -> Column:
+    """A word's row as a value that is less the earlier it stands."""
+    return F.struct("document_id", "place", "reading", "pos", "pos_detail_1")
+
+
+def counts_of_totals(totals: DataFrame) -> DataFrame:
+    """The columns of ``count_words``."""
+    return totals.select(
+        *_WORD, "count", F.nullif("reading", F.lit("*")).alias("reading"),
+        F.concat("pos", F.lit("/"), "pos_detail_1").alias("part_of_speech"),
+    )
+
+
 def top_words(counts: DataFrame, n=config.WORDS_KEPT) -> DataFrame:
     return top_per_group(counts, ["municipality_id"], [F.desc("count"), "word"], n)
 

@@ -156,6 +156,34 @@ def replaced_speeches(spark, root):
     return after.select("municipality_id", "document_id", "sequence", "speaker_name_raw", "speech_text", "page_start")
 
 
+def _counts_of_changes(spark, root):
+    """The model's tables with speech counts kept from an earlier state, the parsed documents' replaced.
+
+    Before, each parsed document had its first speech only.
+    """
+    speeches = tables.read_table(spark, _stored_speeches(spark, root), "speeches")
+    parsed = V.documents(spark, root).filter("status = 'parsed'").select(F.col("document_id").cast("string"))
+    changed = speeches.join(parsed, "document_id", "left_semi")
+    before = speeches.join(parsed, "document_id", "left_anti").unionByName(changed.filter("sequence = 0"))
+    at = tables.shared_path(spark, "kept")
+    tables.write_table(M.kept_counts(before), at, "speech_counts")
+    kept = tables.read_table(spark, at, "speech_counts")
+    replace_speeches(kept, durable(M.kept_counts(changed), "counts"), f"{at}/speech_counts", "speech_counts")
+    kept = tables.read_table(spark, at, "speech_counts")
+    ids = {c: F.col(c).cast("long") for c in ("municipality_id", "document_id", "speaker_id")}
+    return V.Minutes(spark, root, speech_counts=kept.withColumns(ids))
+
+
+@query
+def dashboard_from_kept_counts(spark, root):
+    return M.dashboard_stats(_counts_of_changes(spark, root))
+
+
+@query
+def speaker_ranking_from_kept_counts(spark, root):
+    return M.speaker_ranking(_counts_of_changes(spark, root))
+
+
 # --- Text and parsing -------------------------------------------------------------------
 
 
@@ -546,6 +574,28 @@ def word_frequencies(spark, root):
     return _words(spark, root)
 
 
+@query
+def word_frequencies_by_delta(spark, root):
+    """Word counts of an earlier state brought up to date with the changed documents' words.
+
+    Before, toxic documents had another text and good ones were not there yet; those are tokenized anew.
+    """
+    def words(speeches):
+        return W.document_words(W.filter_tokens(W.tokenize(speeches), stop_words=STOP_WORDS))
+
+    labels = V.table(spark, root, "labels").groupBy(F.col("doc_id").alias("document_id")).agg(
+        F.max("toxic").alias("toxic"), F.max("quality").alias("quality")
+    )
+    changed = labels.filter("toxic = 1 OR quality = 1")
+    texts = V.text_speeches(spark, root)
+    other = texts.join(labels.filter("toxic = 1"), "document_id").withColumn("speech_text", F.upper("speech_text"))
+    removed = durable(words(other.select(*texts.columns)), "removed-words")
+    added = durable(words(texts.join(changed, "document_id", "left_semi")), "added-words")
+    kept = durable(words(texts.join(changed, "document_id", "left_anti")), "kept-words")
+    totals = durable(W.word_totals(kept.unionByName(removed)), "totals")
+    return W.counts_of_totals(W.merged_totals(totals, removed, added, kept.unionByName(added)))
+
+
 @query
 def top_words_by_group(spark, root):
     return W.top_words(_words(spark, root))

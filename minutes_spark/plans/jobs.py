@@ -6,6 +6,7 @@ A job reads one snapshot of the tables (``source``) and writes the changed table
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config
@@ -14,8 +15,8 @@ from ..functions.urls import local_url, title_from_filename
 from ..operators import words as W
 from ..schemas import PARTITIONED_BY, TABLES
 from ..sources.tables import (
-    LONGEST_FILE, check_keys, conform, durable, fingerprint, read_table, replace_partitions, scan_files,
-    too_long_files, write_table,
+    changed_files, check_keys, conform, durable, file_digests, list_files, open_file, read_table,
+    replace_partitions, write_table,
 )
 from . import marts
 
@@ -61,15 +62,15 @@ def outcomes(documents: DataFrame, assets: DataFrame, speeches: DataFrame) -> Da
     )
 
 
-def replace_speeches(stored: DataFrame, new: DataFrame, path: str) -> None:
+def replace_speeches(stored: DataFrame, new: DataFrame, path: str, name="speeches") -> None:
     """Put the speeches of ``new``'s documents in the place of theirs in the table at ``path``.
 
-    Only the document buckets that occur in ``new`` are read and rewritten. Their municipalities and
+    ``name`` may be another table in document buckets. Only the document buckets that occur in ``new`` are read and rewritten. Their municipalities and
     bucket numbers, at most as many as there are of each, prune the scan.
     """
-    check_keys(new, "speeches")
-    place = list(PARTITIONED_BY["speeches"])
-    new = conform(new, "speeches")
+    check_keys(new, name)
+    place = list(PARTITIONED_BY[name])
+    new = conform(new, name)
     touched = durable(new.select(*place).distinct(), "touched-buckets")
     known = touched.agg(*(F.collect_set(c).alias(c) for c in place)).first()
     if touched.isEmpty():
@@ -79,14 +80,26 @@ def replace_speeches(stored: DataFrame, new: DataFrame, path: str) -> None:
     asked = touched.select(*(F.col(c).alias(f"_{c}") for c in place))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
     inside = stored.filter(near).join(asked, same[0] & same[1], "left_semi")
-    replace_partitions(conform(state.replace_rows(inside, new, ["document_id"]), "speeches"), path, place)
+    replace_partitions(conform(state.replace_rows(inside, new, ["document_id"]), name), path, place)
+
+
+def _kept_counts(spark: SparkSession, root: str, speeches: DataFrame) -> DataFrame:
+    """The snapshot's speech counts; a snapshot that was written without them is counted."""
+    try:
+        return read_table(spark, root, "speech_counts").drop("document_bucket")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return marts.kept_counts(speeches)
 
 
 def run_extract(spark: SparkSession, source: str, target: str, again=False, speeches_at=None) -> DataFrame:
     """Parse all downloaded documents; ``again`` puts parsed ones back first.
 
     ``speeches_at`` is a speeches table beside the snapshots: it stays where it is, and only
-    the partitions that change are written; the snapshots then hold no speeches. A run that
+    the partitions that change are written; the snapshots then hold no speeches. Speech counts for
+    the reports are kept in the snapshots: those of the parsed documents are counted and replaced,
+    all are counted only where ``source`` has none yet. A run that
     failed half-way is repeated: its documents are still open in ``source``.
     Returns the counters of the run.
     """
@@ -105,6 +118,8 @@ def run_extract(spark: SparkSession, source: str, target: str, again=False, spee
 
     write_table(new["speakers"], target, "speakers")
     write_table(new["speaker_aliases"], target, "speaker_aliases")
+    counts = state.replace_rows(_kept_counts(spark, source, stored), marts.kept_counts(speeches), ["document_id"])
+    write_table(counts, target, "speech_counts")
     if speeches_at:
         replace_speeches(stored, speeches, speeches_at)
     else:
@@ -115,20 +130,27 @@ def run_extract(spark: SparkSession, source: str, target: str, again=False, spee
 
 def run_import(
     spark: SparkSession, source: str, target: str, files: str, municipality_id: str, run_id: str,
-    source_id=None, longest=LONGEST_FILE,
+    source_id=None, opener=open_file,
 ) -> DataFrame:
     """Register the document files below ``files``: documents, assets and the run's record.
 
-    A file whose document was fetched before is skipped; one that fits no value (``longest`` bytes)
-    is a failure.
-    Of several files of one name the one with the smallest hash counts. Returns the run.
+    A file whose document was fetched before is skipped. A file is read, as a stream of any length,
+    unless its size and time say that it is the one whose hash is stored; one that cannot be read is
+    a failure. Of several files of one name the one with the smallest hash counts. Returns the run.
     """
     started = spark.sql("SELECT current_timestamp() AS t").first().t
-    scanned = fingerprint(scan_files(spark, files, longest=longest)).select("path", "name", "sha256", "bytes")
-    failed = too_long_files(spark, files, longest=longest).select(
-        "path", "name", F.lit(None).cast("string").alias("sha256"), F.col("length").alias("bytes")
+    stored = read_table(spark, source, "document_assets")
+    known = stored.filter("storage_provider = 'local'").select(
+        F.col("storage_path").alias("path"), "bytes", F.col("content_sha256").alias("sha256"),
+        F.col("downloaded_at").alias("seen_at"),
     )
-    found = state.first_per_key(scanned.unionByName(failed), ["name"], ["sha256", "path"])
+    known = state.last_per_key(known, ["path"], ["seen_at", "sha256"])
+    listed = durable(changed_files(list_files(spark, files), known), "listed-files")
+    same = listed.filter("sha256 IS NOT NULL").select(
+        "path", "name", "sha256", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("error")
+    )
+    read = file_digests(listed.filter("sha256 IS NULL").drop("sha256"), opener).select(*same.columns)
+    found = state.first_per_key(same.unionByName(read), ["name"], [F.col("sha256").isNull(), "sha256", "path"])
     found = durable(found.withColumn("url", local_url("name")), "files")
 
     new = found.select(
@@ -148,7 +170,7 @@ def run_import(
         found.join(known.select("url", "document_id", "status"), "url").select(
             "document_id", "url", "path", "sha256", "bytes", outcome.alias("outcome"),
             (outcome == "done").alias("fetched"), F.lit(False).alias("stored"),
-            F.when(outcome == "failed", F.concat(F.lit("file of "), F.col("bytes"), F.lit(" bytes"))).alias("error"),
+            F.when(outcome == "failed", F.col("error")).alias("error"),
         ),
         "imports",
     )
@@ -157,7 +179,6 @@ def run_import(
         F.col("sha256").alias("content_sha256"), F.lit("application/pdf").alias("content_type"), "bytes",
         F.lit(started).alias("downloaded_at"),
     )
-    stored = read_table(spark, source, "document_assets")
     write_table(state.upsert_latest(stored, assets, ["document_id"], ["downloaded_at"]), target, "document_assets")
     write_table(state.advance_status(known, results), target, "documents")
     run = state.run_records(results, by=()).withColumn("run_id", F.lit(run_id))
@@ -186,6 +207,9 @@ def run_merge(spark: SparkSession, source: str, target: str) -> DataFrame:
     write_table(S.drop_duplicates(speakers, groups), target, "speakers")
     write_table(S.repoint_speeches(aliases, groups), target, "speaker_aliases")
     write_table(S.repoint_speeches(speeches, groups), target, "speeches")
+    counts = S.repoint_speeches(_kept_counts(spark, source, speeches), groups)
+    counts = counts.groupBy("municipality_id", "document_id", "speaker_id").agg(F.sum("speeches").alias("speeches"))
+    write_table(counts, target, "speech_counts")
     return S.merge_report(speeches, groups)
 
 

@@ -2,7 +2,9 @@
 
 Every report covers all municipalities at once; ``municipality_id`` narrows it to one and is
 pushed down to the scans. Counts are taken before joins, so that a hot document or speaker is
-reduced on the map side. Ties are broken by a unique column.
+reduced on the map side. Ties are broken by a unique column. Where the tables hold
+``speech_counts`` (``kept_counts`` of the speeches), the reports that only count speeches read
+these and no speech.
 """
 
 from types import SimpleNamespace
@@ -41,8 +43,24 @@ def _speeches(t, municipality_id) -> DataFrame:
     return _of(t.speeches, municipality_id if MUNICIPALITY in t.speeches.columns else None)
 
 
-def speech_counts(speeches: DataFrame) -> DataFrame:
-    return speeches.groupBy("document_id").agg(F.count("*").alias("speech_count"))
+def kept_counts(speeches: DataFrame) -> DataFrame:
+    """Speeches per document and speaker, the state the counting reports go on from.
+
+    Speeches without a speaker are a row of their document.
+    """
+    return speeches.groupBy(MUNICIPALITY, "document_id", "speaker_id").agg(F.count("*").alias("speeches"))
+
+
+def _counted(t, municipality_id) -> DataFrame:
+    """Rows to be counted with the number of speeches they stand for: kept counts, else speeches."""
+    kept = getattr(t, "speech_counts", None)
+    if kept is not None:
+        return _of(kept, municipality_id)
+    return _speeches(t, municipality_id).withColumn("speeches", F.lit(1).cast("long"))
+
+
+def speech_counts(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("document_id").agg(F.sum("speeches").alias("speech_count"))
 
 
 def _count(column) -> Column:
@@ -54,7 +72,7 @@ def dashboard_stats(t, municipality_id=None) -> DataFrame:
     documents = _of(t.documents, municipality_id)
     per_document = (
         documents.select("document_id", MUNICIPALITY)
-        .join(speech_counts(_speeches(t, municipality_id)), "document_id", "left")
+        .join(speech_counts(_counted(t, municipality_id)), "document_id", "left")
         .join(t.summaries.select("document_id", F.lit(1).alias("_summary")), "document_id", "left")
         .groupBy(MUNICIPALITY)
         .agg(
@@ -95,7 +113,7 @@ def recent_documents(t, municipality_id=None, limit=10) -> DataFrame:
         .join(
             # only the chosen documents' speeches are counted
             speech_counts(
-                _speeches(t, municipality_id).join(newest.select("document_id"), "document_id", "left_semi")
+                _counted(t, municipality_id).join(newest.select("document_id"), "document_id", "left_semi")
             ),
             "document_id", "left",
         )
@@ -129,10 +147,10 @@ def topic_frequencies(t, municipality_id=None, limit=15) -> DataFrame:
 def speaker_ranking(t, municipality_id=None, limit=15) -> DataFrame:
     """Speakers by number of speeches, those without any included."""
     counts = (
-        _speeches(t, municipality_id)
+        _counted(t, municipality_id)
         .filter(F.col("speaker_id").isNotNull())
         .groupBy("speaker_id")
-        .agg(F.count("*").alias("count"))
+        .agg(F.sum("speeches").alias("count"))
     )
     ranked = (
         _of(t.speakers, municipality_id)
@@ -214,7 +232,7 @@ def document_list(t, municipality_id=None, fiscal_year=None, session_type=None)
     return (
         documents.join(sessions, "session_id", how)
         .join(t.summaries.select("document_id", "summary_text", "topics"), "document_id", "left")
-        .join(speech_counts(_speeches(t, municipality_id)), "document_id", "left")
+        .join(speech_counts(_counted(t, municipality_id)), "document_id", "left")
         .select(
             MUNICIPALITY, "document_id", "title", "status", "created_at", "fiscal_year",
             "session_name", "session_type", session_label("session_type").alias("session_label"),
@@ -302,7 +320,7 @@ def speaker_breakdown(t, municipality_id=None, document_id=None) -> DataFrame:
     if document_id is not None:
         documents = documents.filter(F.col("document_id") == document_id)
     counts = (
-        _speeches(t, municipality_id).groupBy("document_id", "speaker_id").agg(F.count("*").alias("count"))
+        _counted(t, municipality_id).groupBy("document_id", "speaker_id").agg(F.sum("speeches").alias("count"))
         .join(documents.select("document_id", MUNICIPALITY), "document_id")
     )
     known, nobody = _by_speaker(counts, t.speakers)
@@ -368,7 +386,7 @@ def parsed_documents(t, limit=None) -> DataFrame:
         t.documents.filter(F.col("status") == "parsed")
         .select(MUNICIPALITY, "document_id", "title", "created_at")
     )
-    speeches = t.speeches
+    speeches = _counted(t, None)
     if limit:
         documents = documents.orderBy("created_at", "document_id").limit(limit)
         # only the chosen documents' speeches are counted

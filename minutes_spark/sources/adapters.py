@@ -29,7 +29,7 @@ class Minutes:
         self.spark, self.root, self.given = spark, root, given
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in VIEWS:
+        if name not in VIEWS and name not in self.given:
             raise AttributeError(name)
         if name not in self.given:
             self.given[name] = VIEWS[name](self.spark, self.root)

@@ -1,7 +1,9 @@
 """Table reads and writes, document files."""
 
+import hashlib
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -136,16 +138,23 @@ def kept_result(spark: SparkSession, sources, name: str, build) -> DataFrame:
     state = tuple(file_versions(spark, list(sources)).agg(F.count("*"), F.sum(version)).first())
     key = (spark.sparkContext.applicationId, tuple(sources), name, state)
     if key not in _KEPT:
-        _KEPT[key] = durable(build(), name)
-    return _KEPT[key]
+        # the place and the schema, so that no session hangs on the module
+        df, path = build(), shared_path(spark, name)
+        df.write.parquet(path)
+        _KEPT[key] = path, df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 #: Bytes of the longest file that fits one value.
 LONGEST_FILE = (1 << 31) - 64
 
+#: Bytes that are read from a file at once, and bytes of files for one task.
+_PIECE, _TASK_BYTES = 1 << 22, 1 << 30
+
 
 def scan_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]", longest=LONGEST_FILE) -> DataFrame:
-    """Files below ``path`` with name, content, size and time; see ``too_long_files`` for others."""
+    """Files below ``path`` with name, content, size and time; longer ones are left to ``file_digests``."""
     return _files(spark, path, glob).filter(F.col("length") <= longest)
 
 
@@ -159,9 +168,73 @@ def _files(spark, path, glob):
     )
 
 
-def too_long_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]", longest=LONGEST_FILE) -> DataFrame:
-    """Files that fit no value, by name and size; their content is not read."""
-    return _files(spark, path, glob).select("path", "name", "length").filter(F.col("length") > longest)
+def list_files(spark: SparkSession, path: str, glob="*.[pP][dD][fF]") -> DataFrame:
+    """Path, name, size and time of the files below ``path``; their content is not read.
+
+    Files without a byte are no documents; Spark does not list them.
+    """
+    return _files(spark, path, glob).select("path", "name", "length", "modificationTime")
+
+
+def open_file(path: str):
+    """A stream of the file's bytes, from a local disk or a file system that Arrow knows."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(quote(path, safe=":/"))
+    return system.open_input_stream(inside)
+
+
+def file_digests(files: DataFrame, opener=open_file) -> DataFrame:
+    """``files`` (path, length, others) with SHA-256, the bytes that were read, and ``error``.
+
+    A file of any size is read as a stream by one task, a piece at a time, as the hash is
+    sequential. Paths are spread over tasks by number, more of them where the files are large. A
+    file that cannot be read gives its error and no hash.
+    """
+    files = durable(files, "files")
+    spark = files.sparkSession
+    count, total = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, total // _TASK_BYTES + 1)))
+
+    def digest(path):
+        found, read = hashlib.sha256(), 0
+        try:
+            with opener(path) as stream:
+                while piece := stream.read(_PIECE):
+                    found.update(piece)
+                    read += len(piece)
+        except Exception as error:  # noqa: BLE001 - whatever the file system raises
+            return None, None, f"{type(error).__name__}: {error}"
+        return found.hexdigest(), read, None
+
+    def run(batches):
+        for batch in batches:
+            rows = [digest(path) for path in batch["path"]]
+            for at, name in enumerate(("sha256", "bytes", "error")):
+                batch[name] = [row[at] for row in rows]
+            batch["bytes"] = batch["bytes"].astype("Int64")
+            yield batch
+
+    digests = files.select("path").distinct().repartition(tasks).mapInPandas(
+        run, "path string, sha256 string, bytes long, error string"
+    )
+    return files.join(digests, "path")
+
+
+def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """``files`` with the hash that is ``known`` for them, NULL where they have to be read.
+
+    ``known`` holds path, bytes, sha256 and the time ``seen_at`` of an earlier reading, one row a
+    path. A file of the same size that was not touched since then is the same.
+    """
+    before = known.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha256"), "seen_at")
+    same = (F.col("length") == F.col("_bytes")) & (F.col("modificationTime") < F.col("seen_at"))
+    return files.join(before, "path", "left").withColumn("sha256", F.when(same, F.col("_sha256"))).drop(
+        "_bytes", "_sha256", "seen_at"
+    )
 
 
 def fingerprint(df: DataFrame, content="content") -> DataFrame:
@@ -171,9 +244,16 @@ def fingerprint(df: DataFrame, content="content") -> DataFrame:
     ).drop(content)
 
 
-def scan_documents(spark: SparkSession, path: str, glob="*.[pP][dD][fF]") -> DataFrame:
-    """Document files as they are registered: name, local URL, title, hash and size."""
-    return fingerprint(scan_files(spark, path, glob)).select(
+def scan_documents(spark: SparkSession, path: str, glob="*.[pP][dD][fF]", longest=LONGEST_FILE) -> DataFrame:
+    """Document files as they are registered: name, local URL, title, hash and size.
+
+    Files that fit a value are hashed in the JVM, longer ones as streams; an unreadable one ends the scan.
+    """
+    short = fingerprint(scan_files(spark, path, glob, longest)).select("name", "sha256", "bytes")
+    long = file_digests(list_files(spark, path, glob).filter(F.col("length") > longest))
+    unread = F.raise_error(F.concat("path", F.lit(": "), "error")).cast("string")
+    long = long.withColumn("sha256", F.when(F.col("error").isNull(), F.col("sha256")).otherwise(unread))
+    return short.unionByName(long.select("name", "sha256", "bytes")).select(
         "name", local_url("name").alias("url"), title_from_filename("name").alias("title"),
         "sha256", "bytes",
     )

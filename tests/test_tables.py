@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+import shutil
 import time
 from datetime import datetime
 
@@ -60,6 +62,31 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in tables.shared_content(new).collect()] == [("1", 2, "a")]
 
 
+def test_files_beyond_one_value_are_hashed_as_streams(spark, tmp_path):
+    size = (1 << 31) + 5
+    with (tmp_path / "議 a%.pdf").open("wb") as out:
+        out.truncate(size)
+    (tmp_path / "b.pdf").write_bytes(b"hello-world")
+    (tmp_path / "empty.pdf").touch()
+    want, zeros = hashlib.sha256(), bytes(1 << 24)
+    for at in range(0, size, len(zeros)):
+        want.update(zeros[: size - at])
+    got = {r.name: (r.sha256, r.bytes) for r in tables.scan_documents(spark, str(tmp_path)).collect()}
+    assert got == {
+        "議 a%.pdf": (want.hexdigest(), size), "b.pdf": (hashlib.sha256(b"hello-world").hexdigest(), 11)}
+    short = {r.name: (r.sha256, r.bytes) for r in tables.scan_documents(spark, str(tmp_path), longest=5).collect()}
+    assert short == got
+
+
+def test_reports_from_kept_counts_read_no_speeches(spark):
+    from minutes_spark.plans.catalog import QUERIES
+
+    for name in ("dashboard_from_kept_counts", "speaker_ranking_from_kept_counts"):
+        read = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert any("/speech_counts/" in file for file in read)
+        assert not any("/speeches/" in file or "lineitem" in file for file in read)
+
+
 def test_replace_partitions_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "words")
     schema = "word string, municipality_id string"
@@ -143,6 +170,34 @@ def test_words(spark):
     assert [(r.word, r.font_size, r.tier) for r in cloud.orderBy("rank").collect()] == [("a", 38.0, "high"), ("b", 24.0, "middle"), ("c", 10.0, "low")]
 
 
+def test_word_totals_after_changes_equal_a_full_count(spark):
+    draw = random.Random(5)
+    schema = "municipality_id string, document_id string, sequence int, token_no int, surface string, reading string, pos string, pos_detail_1 string"
+
+    def rows(documents):
+        return [
+            (draw.choice(("m", "n", None)) if d == "d0" else ("m", "n")[len(d) % 2], d, s, t,
+             draw.choice("abcdefgh"), draw.choice(("*", "x", None)), "名詞", draw.choice(("一般", None)))
+            for d in documents for s in range(2) for t in range(draw.randrange(4))
+        ]
+
+    def state(tokens):
+        return W.document_words(spark.createDataFrame(tokens, schema))
+
+    def content(df):
+        return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+    for _ in range(3):
+        names = [f"d{n}" for n in range(12)]
+        kept, removed, added = rows(names[:5]), rows(names[5:8]), rows(names[3 + 3:])
+        after = state(kept).unionByName(state(added))
+        totals = W.word_totals(state(kept).unionByName(state(removed)))
+        got = W.merged_totals(totals, state(removed), state(added), after)
+        assert content(got) == content(W.word_totals(after))
+        tokens = spark.createDataFrame(kept + added, schema)
+        assert content(W.counts_of_totals(got)) == content(W.count_words(tokens))
+
+
 def test_extract_job_and_incremental_pages(spark, tmp_path):
     now, source, target = datetime(2024, 1, 1), str(tmp_path / "v1"), str(tmp_path / "v2")
     text = "２．出席議員\n１番　南 澤 克 彦\n○南 澤 議 員\n　はい。\n○大下議長\nいいえ。"
@@ -170,6 +225,18 @@ def test_extract_job_and_incremental_pages(spark, tmp_path):
         own = tables.read_table(spark, target, "speeches", "m")
         assert own.count() == 2 and "PartitionFilters: [isnotnull(municipality_id" in own._jdf.queryExecution().toString()
         assert tables.read_table(spark, target, "speaker_aliases").count() == 2
+        kept = tables.read_table(spark, target, "speech_counts").collect()
+        assert sorted((r.document_id, r.speaker_id is None, r.speeches) for r in kept) == [
+            ("a", False, 1), ("a", True, 1), ("c", True, 1)]
+
+    # the next run counts the documents it parses, and finds the others' counts in the snapshot
+    again = str(tmp_path / "v2b")
+    shutil.copytree(source, again)
+    shutil.copytree(f"{target}/speech_counts", f"{again}/speech_counts")
+    tables.write_table(tables.read_table(spark, target, "speeches").limit(0), again, "speeches")
+    jobs.run_extract(spark, again, str(tmp_path / "v2c"))
+    counts = tables.read_table(spark, str(tmp_path / "v2c"), "speech_counts")
+    assert sorted((r.document_id, r.speeches) for r in counts.collect()) == [("a", 1), ("a", 1), ("c", 1)]
 
     # a speeches table that stays in place: the municipality of no new speech keeps its files
     place = tmp_path / "speeches"
@@ -201,7 +268,7 @@ def store(spark, root, **data):
 def test_import_job(spark, tmp_path):
     files = tmp_path / "files"
     files.mkdir()
-    for name, data in (("r6-new.pdf", b"new"), ("seen.pdf", b"seen"), ("open.pdf", b"open"), ("big.pdf", b"b" * 99)):
+    for name, data in (("r6-new.pdf", b"new"), ("seen.pdf", b"seen"), ("open.pdf", b"open"), ("bad.pdf", b"b" * 99)):
         (files / name).write_bytes(data)
     source, target, last = (str(tmp_path / v) for v in ("v1", "v2", "v3"))
     store(
@@ -209,17 +276,34 @@ def test_import_job(spark, tmp_path):
         documents=[{"document_id": "s", "municipality_id": "m", "url": "local://seen.pdf", "status": "parsed"},
                    {"document_id": "o", "municipality_id": "m", "url": "local://open.pdf", "status": "discovered"}],
     )
-    run = jobs.run_import(spark, source, target, str(files), "m", "r1", longest=50).first()
+    def opener(path):
+        if path.endswith("bad.pdf"):
+            raise OSError("broken")
+        return tables.open_file(path)
+
+    run = jobs.run_import(spark, source, target, str(files), "m", "r1", opener=opener).first()
     assert (run.total, run.done, run.skipped, run.failed, run.status) == (4, 2, 1, 1, "partial")
-    assert json.loads(run.log)["errors"] == [{"url": "local://big.pdf", "error": "file of 99 bytes"}]
+    assert json.loads(run.log)["errors"] == [{"url": "local://bad.pdf", "error": "OSError: broken"}]
     documents = {r.url: r for r in tables.read_table(spark, target, "documents").collect()}
     assert {u[8:]: r.status for u, r in documents.items()} == {
-        "r6-new.pdf": "downloaded", "seen.pdf": "parsed", "open.pdf": "downloaded", "big.pdf": "discovered"}
+        "r6-new.pdf": "downloaded", "seen.pdf": "parsed", "open.pdf": "downloaded", "bad.pdf": "discovered"}
     assert documents["local://r6-new.pdf"].title == "r6 new"
     assets = {r.document_id: r.content_sha256 for r in tables.read_table(spark, target, "document_assets").collect()}
     assert assets == {documents["local://r6-new.pdf"].document_id: hashlib.sha256(b"new").hexdigest(),
                       "o": hashlib.sha256(b"open").hexdigest()}
     assert {r.run_id for r in tables.read_table(spark, target, "ingestion_runs").collect()} == {"r0", "r1"}
+    # a later run reads only files that were not read or have changed since
+    (files / "open.pdf").write_bytes(b"changed")
+    log = tmp_path / "read"
+
+    def noting(path):
+        with log.open("a") as out:
+            out.write(path.rsplit("/", 1)[-1] + "\n")
+        return tables.open_file(path)
+
+    run = jobs.run_import(spark, target, str(tmp_path / "v4"), str(files), "m", "r3", opener=noting).first()
+    assert (run.total, run.done, run.skipped) == (4, 1, 3)
+    assert sorted(log.read_text().split()) == ["bad.pdf", "open.pdf", "seen.pdf"]
     (tmp_path / "none").mkdir()
     run = jobs.run_import(spark, target, last, str(tmp_path / "none"), "m", "r2").first()
     assert (run.total, run.status) == (0, "success")
