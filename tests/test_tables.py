@@ -13,7 +13,7 @@ from minutes_spark.operators import links, state as H, words as W
 from minutes_spark.operators.scan import numbered, running
 from minutes_spark.plans import jobs
 from minutes_spark.sources import tables
-from minutes_spark.streaming.incremental import parse_new_pages
+from minutes_spark.streaming.incremental import parse_new_pages, parse_whole_documents
 
 BASE = "https://city.example"
 
@@ -258,6 +258,31 @@ def test_extract_job_and_incremental_pages(spark, tmp_path):
     assert sum(seen) == 3
 
 
+def test_documents_wait_for_their_last_page(spark, tmp_path):
+    landing, seen = str(tmp_path / "pages"), []
+
+    def arrive(*rows, **options):
+        df = spark.createDataFrame(rows, "document_id string, page int, text string, page_count int")
+        df.coalesce(1).write.mode("append").parquet(landing)
+        got = []
+        parse_whole_documents(
+            spark, landing, str(tmp_path / "cp"),
+            lambda df, n: got.extend((r.document_id, r.page, r.text, r.complete) for r in df.collect()), **options,
+        ).awaitTermination()
+        return sorted(got)
+
+    # a document over two files, one that is whole, one without an id
+    assert arrive(("a", 1, "a1", 3), ("a", 2, "a2", None), ("b", 1, "b1", 1), (None, 1, "x", 1), wait=3_600_000) == [("b", 1, "b1", True)]
+    assert arrive(("c", 1, "c1", 2), wait=3_600_000) == []
+    want = [("a", 1, "a1", True), ("a", 2, "new", True), ("a", 3, "a3", True)]
+    assert arrive(("a", 3, "a3", 3), ("a", 2, "new", 3), wait=1) == want
+    # the last page of c does not come; d, of unknown length, is handed on after the wait as well
+    assert arrive(("d", 1, "d1", None), wait=1) == []
+    time.sleep(1)
+    assert arrive(("e", 1, "e1", 1), wait=1) == [("d", 1, "d1", False), ("e", 1, "e1", True)]
+    assert arrive(("c", 2, "c2", 2), wait=1) == [("c", 1, "c1", True), ("c", 2, "c2", True)]
+
+
 def store(spark, root, **data):
     for name, rows in data.items():
         schema = schemas.TABLES[name]
