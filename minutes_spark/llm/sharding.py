@@ -9,9 +9,14 @@ way, so no task gets a whole shard; a row's slot is its rank in the slice plus t
 shard's slices before it.
 
 Cases: a null text has no bytes but its row has a size; rows that are equal in text and key
-stay together; an empty table gives an empty result; a column with a result's name is replaced.
+stay together; an empty table gives an empty result; a column with a result's name is replaced, and
+``_h``, ``_k``, ``_slice`` and ``_ahead`` are names of the operator's own. Of a text of any length only its
+hash and size are sorted and counted. The driver holds a few numbers for each slice and probe, and its
+work grows with their number times its logarithm.
 """
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -109,21 +114,21 @@ def splitters(keys, parts, loose=None, tolerance=TOLERANCE, probes=PROBES):
         ends = {p: n for p, n in zip(bounds, below)}
         counted.update(ends)
         for i, s in list(open_.items()):
-            for p in bounds:
-                if not s["a"] < p < s["b"]:
-                    continue
-                off = abs(ends[p] - s["goal"])
+            # the probes inside; bytes below them grow with them, so the two around the goal count
+            lo, hi = bisect_right(bounds, s["a"]), bisect_left(bounds, s["b"])
+            inner, at = lo < hi, bisect_right(below, s["goal"], lo, hi)
+            near = [bisect_left(below, below[at - 1], lo, at)] if at > lo else []
+            near += [at] if at < hi else []
+            for j in near:
+                off = abs(below[j] - s["goal"])
                 if off < s["best"][0]:
-                    s["best"] = (off, p)
-            inner = [p for p in bounds if s["a"] < p < s["b"]]
-            lower = [p for p in inner if ends[p] <= s["goal"]]
-            upper = [p for p in inner if ends[p] > s["goal"]]
-            if lower:
-                s["a"], s["below"] = lower[-1], ends[lower[-1]]
-            if upper:
-                s["b"], s["upto"] = upper[0], ends[upper[0]]
+                    s["best"] = (off, bounds[j])
+            if at > lo:
+                s["a"], s["below"] = bounds[at - 1], below[at - 1]
+            if at < hi:
+                s["b"], s["upto"] = bounds[at], below[at]
             # no row lies between the ends and the keys of the interval
-            held = found[bounds.index(s["a"]) + 1] if s["a"] in ends else found[0]
+            held = found[bisect_left(bounds, s["a"]) + 1] if s["a"] in ends else found[0]
             if held[2] is not None and (s["b"] in ends or s["b"] == most + 1) and s["a"] in ends:
                 s["a"], s["b"] = max(s["a"], held[2]), min(s["b"], held[3] + 1)
                 counted[s["a"]], counted[s["b"]] = s["below"], s["upto"]
@@ -145,10 +150,15 @@ def shard(docs, shards=SHARDS, text="text", key="doc_id", tolerance=TOLERANCE, s
     bounds = splitters(keys, shards * per_shard, per_shard, tolerance)
     counts = [rows for _, rows, *_ in _histogram(keys, bounds)]
     counts += [0] * (shards * per_shard - len(counts))
-    before = [sum(counts[i - i % per_shard : i]) for i in range(len(counts))]
-    ahead = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col("_slice") + 1)
-    placed = keyed.withColumn("_slice", _interval_of(bounds) if bounds else F.lit(0))
+    before, rows = [], 0
+    for i, n in enumerate(counts):
+        rows = 0 if i % per_shard == 0 else rows
+        before.append((i, rows))
+        rows += n
+    # two numbers for each slice of some megabytes
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(before, "_slice int, _ahead long"))
+    placed = keyed.withColumn("_slice", _interval_of(bounds) if bounds else F.lit(0)).join(offsets, "_slice")
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_h", "_k"))
     return placed.withColumns(
-        {"shard": F.floor(F.col("_slice") / per_shard).cast("int"), "slot": (ahead + rank - 1).cast("long")}
-    ).drop("_h", "_k", "_slice")
+        {"shard": F.floor(F.col("_slice") / per_shard).cast("int"), "slot": (F.col("_ahead") + rank - 1).cast("long")}
+    ).drop("_h", "_k", "_slice", "_ahead")
