@@ -146,10 +146,14 @@ def posterior(vote, share, rates):
     return 1 / (1 + math.exp(-logit))
 
 
-def judge(docs, text="text", rules=RULES):
-    """``docs`` with features, base_failed, quality (posterior of good) and kept."""
+def judge(docs, text="text", rules=RULES, with_text=True):
+    """``docs`` with features, base_failed, quality (posterior of good) and kept.
+
+    The features are written once, with the texts unless ``with_text`` is false.
+    """
     names = [f"vote_{r.name}" for r in rules]
-    measured = durable(features(docs, text).withColumns(votes(rules)), "quality-features")
+    measured = features(docs, text).withColumns(votes(rules))
+    measured = durable(measured if with_text else measured.drop(text), "quality-features")
     counts = measured.groupBy(*names).count().collect()
     share, rates = learn([(tuple(r[n] for n in names), r["count"]) for r in counts], len(rules))
     logit = F.lit(_weight(share))

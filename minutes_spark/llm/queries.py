@@ -64,7 +64,7 @@ def op3_sharding(spark, sf_dir):
 
 @query
 def op4_quality_rules(spark, sf_dir):
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", "quality")
 
 
