@@ -22,3 +22,24 @@ def test_document_without_topics_has_an_empty_list(spark):
     }
     t = V.Minutes(spark, "", **{name: spark.createDataFrame([row], schema) for name, (schema, row) in tables.items()})
     assert [r["topics"] for r in M.document_speeches(t, "m", "d").collect()] == [[]]
+
+
+def test_earliest_alias_rows_are_found_by_hash(spark, monkeypatch):
+    plans, write = {}, S.durable
+
+    def durable(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(S, "durable", durable)
+    rows = [("m", "a", f"2020-01-0{d}", f"d{d}", 1, n, 0, f"s{d}{n}") for d in (2, 1, 3) for n in (1, 0)]
+    rows += [(None, "b", None, "d9", 1, 0, 0, "s9"), (None, "b", "2020-01-01", "d1", 1, 0, 0, "s0")]
+    incoming = spark.createDataFrame(
+        rows, "municipality_id string, alias_norm string, at string, document_id string, page int, line_no int, pos int, speaker_id string"
+    ).withColumns({
+        "created_at": F.col("at").cast("timestamp"), "part": F.lit(0), "alias_raw": F.col("alias_norm"),
+        "alias_type": F.lit("attendee_derived"), "confidence": F.lit(1.0),
+    })
+    got = {(r["municipality_id"], r["alias_norm"]): r["speaker_id"] for r in S.merge_aliases(None, incoming).collect()}
+    assert got == {("m", "a"): "s10", (None, "b"): "s9"}
+    assert "SortAggregate" not in plans["alias-times"]
