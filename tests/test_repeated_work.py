@@ -24,6 +24,15 @@ def test_document_without_topics_has_an_empty_list(spark):
     assert [r["topics"] for r in M.document_speeches(t, "m", "d").collect()] == [[]]
 
 
+def test_equal_lines_are_parsed_once(spark, monkeypatch):
+    parsed, parse = [], A.line_entries
+    monkeypatch.setattr(A, "line_entries", lambda lines, roles: parsed.append(lines.count()) or parse(lines, roles))
+    rows = [(str(d), 1, n, "市長石丸伸二", "executive", False) for d in range(3) for n in range(2)]
+    lines = spark.createDataFrame(rows, "document_id string, page int, line_no int, line string, category string, seated boolean")
+    got = sorted((r["document_id"], r["line_no"], r["full_name"]) for r in A.parse_lines(lines).collect())
+    assert got == [(str(d), n, "石丸伸二") for d in range(3) for n in range(2)] and parsed == [1]
+
+
 def test_earliest_alias_rows_are_found_by_hash(spark, monkeypatch):
     plans, write = {}, S.durable
 
