@@ -24,6 +24,16 @@ def test_document_without_topics_has_an_empty_list(spark):
     assert [r["topics"] for r in M.document_speeches(t, "m", "d").collect()] == [[]]
 
 
+def test_a_role_at_the_start_is_no_end_of_a_name(spark):
+    cases = {
+        "○議員田中議員はい。": None, "○議員田中市長はい": "議員田中市長", "○ 田 中 副 市 長 はい": " 田 中 副 市 長",
+        "○市長議員市長": "市長議員", "○田市長議員": "田市長",
+    }
+    df = with_speaker_match(spark.createDataFrame(list(enumerate(cases)), "n int, line string"))
+    assert [r["speaker_name_raw"] for r in df.orderBy("n").collect()] == list(cases.values())
+    assert "lambda" not in _plan(df)
+
+
 def test_equal_lines_are_parsed_once(spark, monkeypatch):
     parsed, parse = [], A.line_entries
     monkeypatch.setattr(A, "line_entries", lambda lines, roles: parsed.append(lines.count()) or parse(lines, roles))
