@@ -62,3 +62,17 @@ def test_earliest_alias_rows_are_found_by_hash(spark, monkeypatch):
     got = {(r["municipality_id"], r["alias_norm"]): r["speaker_id"] for r in S.merge_aliases(None, incoming).collect()}
     assert got == {("m", "a"): "s10", (None, "b"): "s9"}
     assert "SortAggregate" not in plans["alias-times"]
+
+
+def test_only_open_names_are_looked_up_by_prefix(spark, monkeypatch):
+    asked, match = [], resolve.match_prefix
+    monkeypatch.setattr(resolve, "match_prefix", lambda names, f: asked.extend(r["name_norm"] for r in names.collect()) or match(names, f))
+    people = spark.createDataFrame(
+        [("d", 1, 1, 0, "石丸伸二", "石丸", "p", "m")],
+        "document_id string, page int, line_no int, pos int, full_name string, family_name string, speaker_id string, municipality_id string",
+    ).withColumn("created_at", F.lit("2020-01-01").cast("timestamp")).withColumn("role", F.lit("市長"))
+    names = people.select("document_id", F.explode(F.array(*map(F.lit, ("石丸", "石丸伸二", "石丸さん", "田中")))).alias("name_norm"), "municipality_id", "created_at")
+    history = S.alias_history(None, S.derive_aliases(people))
+    got = {r["name_norm"]: r["match_strategy"] for r in resolve.resolve_names(names, people, history).collect()}
+    assert got == {"石丸": "exact_family", "石丸伸二": "exact_fullname", "石丸さん": "prefix", "田中": "unresolved"}
+    assert sorted(asked) == ["田中", "石丸さん"]
