@@ -21,9 +21,12 @@ def tokenize(speeches: DataFrame, tokenizer: Callable | None = None, text="speec
     """
     keep = [c for c in speeches.columns if c != text]
     if tokenizer is None:
-        return speeches.select(
-            *keep,
-            F.posexplode(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))).alias("token_no", "surface"),
+        # outer: the filter on an array's size that goes with a plain one looks for all tokens twice
+        found = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))
+        return speeches.select(*keep, F.posexplode_outer(found).alias("token_no", "surface")).filter(
+            F.col("surface").isNotNull()
+        ).select(
+            "*",
             F.lit(None).cast("string").alias("reading"),
             F.lit(config.NOUN).alias("pos"),
             F.lit("一般").alias("pos_detail_1"),

@@ -76,3 +76,10 @@ def test_only_open_names_are_looked_up_by_prefix(spark, monkeypatch):
     got = {r["name_norm"]: r["match_strategy"] for r in resolve.resolve_names(names, people, history).collect()}
     assert got == {"石丸": "exact_family", "石丸伸二": "exact_fullname", "石丸さん": "prefix", "田中": "unresolved"}
     assert sorted(asked) == ["田中", "石丸さん"]
+
+
+def test_tokens_are_looked_for_once(spark):
+    speeches = spark.createDataFrame([("m", "d", 0, "ab cd"), ("m", "e", 0, ""), ("m", "f", 0, None)], "municipality_id string, document_id string, sequence int, speech_text string")
+    tokens = W.tokenize(speeches)
+    assert sorted((r["token_no"], r["surface"]) for r in tokens.collect()) == [(0, "ab"), (1, "cd")]
+    assert _plan(tokens).count("regexp_extract_all") == 1
