@@ -83,3 +83,8 @@ def test_tokens_are_looked_for_once(spark):
     tokens = W.tokenize(speeches)
     assert sorted((r["token_no"], r["surface"]) for r in tokens.collect()) == [(0, "ab"), (1, "cd")]
     assert _plan(tokens).count("regexp_extract_all") == 1
+
+
+def test_pages_are_written_once(spark):
+    first, second = (V.page_texts(spark, "/root/testdata/sf0.001") for _ in range(2))
+    assert first.inputFiles() == second.inputFiles() and "page-texts" in first.inputFiles()[0]
