@@ -1,6 +1,7 @@
 """Word frequencies."""
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -123,6 +124,32 @@ def document_words(tokens: DataFrame) -> DataFrame:
     return words.select("municipality_id", "document_id", "word", "count", "place", "_kind.*")
 
 
+#: Places in one document, and so the step from one document's first place to the next one's.
+_PLACES = Decimal(1 << 63)
+
+
+def token_totals(tokens: DataFrame, by=()) -> DataFrame:
+    """``document_words`` of all documents together: a row per (``by``, municipality, word, kind).
+
+    Document and place of the first occurrence are one decimal while tokens are counted, so that
+    they are counted by hash where they lie and only vocabularies are shuffled, no row per document.
+    ``document_id`` is a whole number and ``sequence`` not negative. ``word_totals`` and
+    ``merged_totals`` take these rows like those of ``document_words``.
+    """
+    if "error" in tokens.columns:
+        tokens = tokens.filter("error IS NULL")
+    place = F.shiftleft(F.col("sequence").cast("long"), 32) + F.col("token_no")
+    at = F.col("document_id").cast("decimal(19,0)") * F.lit(_PLACES) + place
+    keys = [*by, "municipality_id", "word", "reading", "pos", "pos_detail_1"]
+    totals = tokens.withColumnRenamed("surface", "word").groupBy(*keys).agg(
+        F.count("*").alias("count"), F.min(at).alias("_at")
+    )
+    return totals.withColumn("_place", F.pmod("_at", F.lit(_PLACES))).select(
+        *by, "municipality_id", F.expr(f"(_at - _place) div {_PLACES}BD").alias("document_id"), "word", "count",
+        F.col("_place").cast("long").alias("place"), "reading", "pos", "pos_detail_1",
+    )
+
+
 def _first_document() -> Column:
     """The first of several documents' rows for a word, with its kind."""
     return F.min_by(_row(), F.struct("document_id", "place"))
@@ -140,8 +167,8 @@ def word_totals(per_document: DataFrame) -> DataFrame:
 def merged_totals(totals: DataFrame, removed: DataFrame, added: DataFrame, after: DataFrame) -> DataFrame:
     """``totals`` after some documents' words were ``removed`` and others ``added``.
 
-    ``removed`` and ``added`` are ``document_words`` of the changed documents before and after the
-    change, ``after`` those of all documents after it. Counts are added up; the first occurrence
+    ``removed`` and ``added`` are ``document_words`` (or ``token_totals``) of the changed documents before
+    and after the change, ``after`` those of all documents after it. Counts are added up; the first occurrence
     is the earlier of the stored and the added one. Only for words whose first document was
     removed is it looked for in ``after``. Equals ``word_totals(after)``.
     """
@@ -165,7 +192,8 @@ def merged_totals(totals: DataFrame, removed: DataFrame, added: DataFrame, after
         F.least("_stored", "_added").alias("_first"),
     ).filter("count > 0")
     merged = durable(merged, "word-totals")
-    found = word_totals(after.join(merged.filter("_lost").select(*_WORD), _WORD, "left_semi"))
+    asked = merged.filter("_lost").select(*[F.col(c).alias(f"_{c}") for c in _WORD])
+    found = word_totals(after.join(asked, same[0] & same[1], "left_semi"))
     known = merged.filter("NOT _lost").select(*_WORD, "count", "_first.*")
     return known.unionByName(found)
 

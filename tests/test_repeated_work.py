@@ -88,3 +88,34 @@ def test_tokens_are_looked_for_once(spark):
 def test_pages_are_written_once(spark):
     first, second = (V.page_texts(spark, "/root/testdata/sf0.001") for _ in range(2))
     assert first.inputFiles() == second.inputFiles() and "page-texts" in first.inputFiles()[0]
+
+
+def test_words_of_all_documents_are_counted_without_a_row_per_document(spark):
+    schema = "municipality_id string, document_id long, sequence int, token_no int, surface string, reading string, pos string, pos_detail_1 string"
+    ids = (-(1 << 63), -7, 0, 5, (1 << 63) - 1)
+    rows = [(("m", None)[d % 2], d, s, t, "abc"[(d + s + t) % 3], ("*", None)[(d + t) % 2], "n", None) for d in ids for s in (0, (1 << 31) - 1) for t in range(4)]
+    removed, kept = [r for r in rows if r[1] < -6], [r for r in rows if r[1] >= -6]
+
+    def content(df):
+        return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+    def frame(some):
+        return spark.createDataFrame(some, schema)
+
+    counted = W.token_totals(frame(rows))
+    assert content(W.word_totals(counted)) == content(W.word_totals(W.document_words(frame(rows))))
+    assert counted.count() == len({(r[0], *r[4:]) for r in rows})
+    # a word of no municipality whose first document went is found again
+    none = W.token_totals(frame([]))
+    got = W.merged_totals(W.word_totals(counted), W.token_totals(frame(removed)), none, W.token_totals(frame(kept)))
+    assert content(got) == content(W.word_totals(W.document_words(frame(kept))))
+    assert None in {r["municipality_id"] for r in got.collect()}
+
+
+def test_delta_counts_read_texts_once(spark, monkeypatch):
+    from minutes_spark.plans import catalog
+
+    asked, tokenize = [], W.tokenize
+    monkeypatch.setattr(W, "tokenize", lambda texts: asked.append(1) or tokenize(texts))
+    catalog.QUERIES["word_frequencies_by_delta"](spark, "/root/testdata/sf0.001")
+    assert asked == [1]
