@@ -7,7 +7,7 @@ A job reads one snapshot of the tables (``source``) and writes the changed table
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import config
 from ..operators import attendees as A, resolve, speakers as S, speeches as P, state, summaries as G
@@ -16,10 +16,13 @@ from ..operators import words as W
 from ..schemas import PARTITIONED_BY, TABLES
 from ..sources.tables import (
     changed_files, check_keys, conform, durable, file_digests, list_files, open_file, read_table,
-    replace_partitions, write_table,
+    replace_partitions, write_partitions, write_table,
 )
 from . import marts
 
+#: Rows of a bucketed table, stored and new ones, for one task: some hundred MB.
+ROWS_PER_TASK = 500_000
+
 
 def extract(pages: DataFrame, documents: DataFrame, speakers: DataFrame, aliases: DataFrame, block=None):
     """New speakers, aliases, speeches and outcomes of the given documents' pages.
@@ -62,25 +65,49 @@ def outcomes(documents: DataFrame, assets: DataFrame, speeches: DataFrame) -> Da
     )
 
 
-def replace_speeches(stored: DataFrame, new: DataFrame, path: str, name="speeches") -> None:
+def replace_speeches(stored: DataFrame, new: DataFrame, path: str, name="speeches", per_task=ROWS_PER_TASK) -> DataFrame:
     """Put the speeches of ``new``'s documents in the place of theirs in the table at ``path``.
 
-    ``name`` may be another table in document buckets. Only the document buckets that occur in ``new`` are read and rewritten. Their municipalities and
-    bucket numbers, at most as many as there are of each, prune the scan.
+    ``name`` may be another table in document buckets. Only the document buckets that occur in ``new``
+    are read and rewritten; they are returned. Their municipalities and bucket numbers, at most as many as
+    there are of each, prune the scan. Stored and new rows are shuffled once, by bucket and, where there are
+    more than ``per_task`` rows for a task, by pieces of a bucket that hold whole documents; stored rows that meet
+    new ones of their document are dropped there. A document stays in its municipality.
     """
     check_keys(new, name)
     place = list(PARTITIONED_BY[name])
     new = conform(new, name)
     touched = durable(new.select(*place).distinct(), "touched-buckets")
-    known = touched.agg(*(F.collect_set(c).alias(c) for c in place)).first()
-    if touched.isEmpty():
-        return
+    buckets, *known = touched.agg(F.count("*"), *(F.collect_set(c) for c in place)).first()
+    if not buckets:
+        return touched
     near = F.col(place[0]).isin(known[0]) | F.col(place[0]).isNull()
     near &= F.col(place[1]).isin(known[1]) | F.col(place[1]).isNull()
+    inside = conform(_of_buckets(stored.filter(near), touched, place, "left_semi"), name)
+    tasks = (inside.count() + new.count()) // per_task + 1
+    piece = F.pmod(F.hash("document_id"), F.lit(tasks // buckets + 1))
+    rows = inside.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    rows = rows.withColumn("_piece", piece).repartition(tasks, *place, "_piece")
+    # the table is large as text and small as keys, so no join moves it once more
+    gone = F.max("_new").over(Window.partitionBy(*place, "_piece", "document_id")) & F.col("document_id").isNotNull()
+    left = rows.withColumn("_gone", gone).filter("_new OR NOT _gone").drop("_new", "_gone", "_piece")
+    write_partitions(left, path, place)
+    return touched
+
+
+def _of_buckets(df: DataFrame, touched: DataFrame, place, how: str) -> DataFrame:
     asked = touched.select(*(F.col(c).alias(f"_{c}") for c in place))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
-    inside = stored.filter(near).join(asked, same[0] & same[1], "left_semi")
-    replace_partitions(conform(state.replace_rows(inside, new, ["document_id"]), name), path, place)
+    return df.join(asked, same[0] & same[1], how)
+
+
+def replaced_snapshot(stored: DataFrame, new: DataFrame, path: str, name="speeches") -> None:
+    """``replace_speeches`` to another ``path``: buckets that do not change are copied, the others written once."""
+    touched = replace_speeches(stored, new, path, name)
+    place = list(PARTITIONED_BY[name])
+    others = _of_buckets(stored, touched, place, "left_anti")
+    if not others.isEmpty():
+        replace_partitions(others, path, place)
 
 
 def _kept_counts(spark: SparkSession, root: str, speeches: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from minutes_spark.functions.names import with_speaker_match
 from minutes_spark.operators import attendees as A, resolve, speakers as S, words as W
-from minutes_spark.plans import marts as M
-from minutes_spark.sources import adapters as V
+from minutes_spark.plans import jobs, marts as M
+from minutes_spark.sources import adapters as V, tables
 
 
 def _plan(df):
@@ -119,3 +119,41 @@ def test_delta_counts_read_texts_once(spark, monkeypatch):
     monkeypatch.setattr(W, "tokenize", lambda texts: asked.append(1) or tokenize(texts))
     catalog.QUERIES["word_frequencies_by_delta"](spark, "/root/testdata/sf0.001")
     assert asked == [1]
+
+
+def test_replaced_rows_are_moved_once_and_without_a_join_of_texts(spark, tmp_path, monkeypatch):
+    plans, write = [], jobs.write_partitions
+    monkeypatch.setattr(jobs, "write_partitions", lambda df, *a: plans.append(_plan(df)) or write(df, *a))
+    schema = "municipality_id string, document_id string, sequence int, speech_text string"
+    rows = [(m, d and m + d, n, "old") for m in ("m", "n") for d in ("a", "b", "c", None) for n in range(3) if d or n < 2]
+    old = spark.createDataFrame(rows, schema)
+    fresh = [("m", "ma", 0, "new"), ("m", "mb", 0, "new"), ("m", None, 7, "new")]
+    new = spark.createDataFrame(fresh, schema)
+    # rows without a document replace none
+    want = sorted([r for r in rows if r[1] not in ("ma", "mb")] + fresh, key=str)
+    for per_task in (jobs.ROWS_PER_TASK, 1):
+        first, second = (str(tmp_path / f"{at}{per_task}") for at in "ab")
+        tables.write_table(old, first, "speeches")
+        stored = tables.read_table(spark, first, "speeches")
+        jobs.replaced_snapshot(stored, new, f"{second}/speeches")
+        jobs.replace_speeches(stored, new, f"{first}/speeches", per_task=per_task)
+        for at in (first, second):
+            got = spark.read.schema(stored.schema).parquet(f"{at}/speeches").select(*schema.replace(" string", "").replace(" int", "").split(", "))
+            assert sorted(map(tuple, got.collect()), key=str) == want
+    assert all("LeftAnti" not in plan and plan.count("Repartition") == 1 for plan in plans)
+
+
+def test_repeated_numbers_are_found_by_bits(spark):
+    def check(rows):
+        df = spark.createDataFrame(rows, "document_id string, sequence int")
+        try:
+            tables.check_keys(df, "speeches")
+        except ValueError as error:
+            return str(error)
+
+    rows = [("a", n) for n in range(-130, 130)] + [("b", 1), (None, 1), (None, 1), ("b", None), ("b", None)]
+    assert check(rows) is None
+    for repeated in (-128, -1, 0, 63, 64):
+        assert str(repeated) in check(rows + [("a", repeated)])
+    sent = spark.createDataFrame(rows, "document_id string, sequence int")
+    assert not tables._numbers_repeat(sent, ["document_id"], "sequence")
