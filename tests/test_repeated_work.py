@@ -157,3 +157,10 @@ def test_repeated_numbers_are_found_by_bits(spark):
         assert str(repeated) in check(rows + [("a", repeated)])
     sent = spark.createDataFrame(rows, "document_id string, sequence int")
     assert not tables._numbers_repeat(sent, ["document_id"], "sequence")
+
+
+def test_kept_counts_write_no_speeches(spark, monkeypatch):
+    from minutes_spark.plans import catalog
+
+    monkeypatch.setattr(catalog, "_stored_speeches", lambda *a: 1 / 0)
+    assert catalog.QUERIES["speaker_ranking_from_kept_counts"](spark, "/root/testdata/sf0.001").count() > 0
