@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from minutes_spark.functions.names import with_speaker_match
-from minutes_spark.operators import attendees as A, resolve, speakers as S, words as W
+from minutes_spark.operators import attendees as A, lines as L, resolve, speakers as S, words as W
 from minutes_spark.plans import jobs, marts as M
 from minutes_spark.sources import adapters as V, tables
 
@@ -164,3 +164,16 @@ def test_kept_counts_write_no_speeches(spark, monkeypatch):
 
     monkeypatch.setattr(catalog, "_stored_speeches", lambda *a: 1 / 0)
     assert catalog.QUERIES["speaker_ranking_from_kept_counts"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_tasks_that_sort_lines_follow_the_text(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    rows = [(f"d{d}", p, "１．出席議員\n田中\n○始め" if p == 2 else "前文") for d in range(9) for p in (1, 2, 3)]
+    pages = spark.createDataFrame(rows, "document_id string, page int, text string")
+    small, seen = sorted(map(tuple, A.attendee_sections(pages).collect()), key=str), []
+    for size in (100, 10):
+        monkeypatch.setattr(L, "TASK_BYTES", size)
+        plan = A.attendee_sections(pages)
+        assert sorted(map(tuple, plan.collect()), key=str) == small
+        seen.append(plan.rdd.getNumPartitions())
+    assert len(small) == 27 and seen[1] > 5 * seen[0]
