@@ -32,7 +32,7 @@ def extract(pages: DataFrame, documents: DataFrame, speakers: DataFrame, aliases
     """
     block = P.page_blocks(block)
     attendees = durable(
-        S.with_speaker_ids(A.parse_attendees(pages, block=block), documents, speakers), "attendees"
+        S.with_speaker_ids(A.parse_attendees(pages, documents, block=block), documents, speakers), "attendees"
     )
     history = durable(S.alias_history(aliases, S.derive_aliases(attendees)), "aliases")
     names = durable(resolve.speech_names(P.named_lines(pages), documents), "names")

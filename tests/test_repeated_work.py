@@ -177,3 +177,40 @@ def test_tasks_that_sort_lines_follow_the_text(spark, monkeypatch):
         assert sorted(map(tuple, plan.collect()), key=str) == small
         seen.append(plan.rdd.getNumPartitions())
     assert len(small) == 27 and seen[1] > 5 * seen[0]
+
+
+def test_lists_and_names_meet_once(spark, tmp_path, monkeypatch):
+    plans, write = [], resolve.durable
+    monkeypatch.setattr(resolve, "durable", lambda df, name: plans.append(_plan(df)) or write(df, name))
+    spark.createDataFrame(
+        [("d", 1, 1, 0, "石丸伸二", "石丸", "p", "m"), ("d", 1, 2, 0, "山本数博", "山本", "q", "m"), ("d", 1, 2, 1, "山本優", "山本", "r", "m")],
+        "document_id string, page int, line_no int, pos int, full_name string, family_name string, speaker_id string, municipality_id string",
+    ).withColumn("created_at", F.lit("2020-01-01").cast("timestamp")).write.parquet(str(tmp_path / "people"))
+    people = spark.read.parquet(str(tmp_path / "people"))
+    said = ("石丸", "山本数博", "山本", "山本（優）", "石丸さん", "田中")
+    names = spark.createDataFrame([("d", n, "m") for n in said], "document_id string, name_norm string, municipality_id string")
+    names = names.withColumn("created_at", F.lit("2020-01-01").cast("timestamp"))
+    history = S.alias_history(None, S.derive_aliases(people))
+    got = {r["name_norm"]: (r["match_strategy"], r["speaker_id"]) for r in resolve.resolve_names(names, people, history).collect()}
+    assert got == {
+        "石丸": ("exact_family", "p"), "山本数博": ("exact_fullname", "q"), "山本": ("alias_norm", "q"),
+        "山本（優）": ("paren_hint", "r"), "石丸さん": ("prefix", "p"), "田中": ("unresolved", None),
+    }
+    assert len(plans) == 1 and plans[0].count("family_name#") and sum("Relation [" in x and "family_name" in x for x in plans[0].splitlines()) == 1
+    # a document that is listed twice has its names twice, and each row meets the hits of both
+    twice = [tuple(r)[1:] for r in resolve.resolve_names(names.unionByName(names), people, history).select("name_norm", "match_strategy").collect()]
+    assert sorted(twice) == sorted([("exact_family",)] * 4 + [("exact_fullname",)] * 4 + [("alias_norm",)] * 4 + [("paren_hint",)] * 4 + [("unresolved",)] * 4)
+
+
+def test_alias_taken_back_by_its_first_speaker(spark, monkeypatch):
+    wrote, write = [], S.durable
+    monkeypatch.setattr(S, "durable", lambda df, name: wrote.append(name) or write(df, name))
+    rows = [("m", "a", f"2020-01-0{d}", f"d{d}", 1, 0, 0, 0, s, k) for d, s, k in (
+        (1, "A", "speech_derived"), (2, "A", "manual"), (3, "B", "attendee_derived"), (4, "A", "manual"), (5, "A", "manual"))]
+    incoming = spark.createDataFrame(
+        rows, "municipality_id string, alias_norm string, at string, document_id string, page int, line_no int, pos int, part int, speaker_id string, alias_type string"
+    ).withColumns({"created_at": F.col("at").cast("timestamp"), "alias_raw": F.col("alias_norm"), "confidence": F.lit(1.0)})
+    history = S.alias_history(None, incoming).orderBy("valid_from")
+    got = [(r["speaker_id"], r["valid_from"]["document_id"], r["valid_to"] and r["valid_to"]["document_id"]) for r in history.collect()]
+    assert got == [("A", "d1", "d3"), ("B", "d3", "d4"), ("A", "d4", None)]
+    assert "alias-rows" not in wrote
