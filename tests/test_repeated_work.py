@@ -214,3 +214,31 @@ def test_alias_taken_back_by_its_first_speaker(spark, monkeypatch):
     got = [(r["speaker_id"], r["valid_from"]["document_id"], r["valid_to"] and r["valid_to"]["document_id"]) for r in history.collect()]
     assert got == [("A", "d1", "d3"), ("B", "d3", "d4"), ("A", "d4", None)]
     assert "alias-rows" not in wrote
+
+
+def test_counts_travel_with_their_names(spark):
+    at = F.lit("2020-01-01").cast("timestamp")
+    people = spark.createDataFrame(
+        [("d", 1, 1, 0, "石丸伸二", "石丸", "p", "m")],
+        "document_id string, page int, line_no int, pos int, full_name string, family_name string, speaker_id string, municipality_id string",
+    ).withColumn("created_at", at)
+    documents = spark.createDataFrame([("d", "m")], "document_id string, municipality_id string").withColumn("created_at", at)
+    rows = [("d", "石丸", 3), ("d", "田中", 1), ("x", "石丸", 2), (None, "石丸", 1)]
+    counts = spark.createDataFrame(rows, "document_id string, name_norm string, speeches long")
+    history = S.alias_history(None, S.derive_aliases(people))
+    resolved = resolve.resolve_names(resolve.counted_names(counts, documents), people, history)
+    counted = resolve.count_resolved(counts, resolved)
+    got = {tuple(r) for r in counted.select(*counts.columns, "speaker_id", "confidence", "match_strategy").collect()}
+    # names of unknown documents are counted and not resolved
+    assert got == {
+        ("d", "石丸", 3, "p", "high", "exact_family"), ("d", "田中", 1, None, "low", "unresolved"),
+        ("x", "石丸", 2, None, None, None), (None, "石丸", 1, None, None, None),
+    }
+    assert "Join" not in _plan(counted)
+
+
+def test_packed_ids_come_back(spark):
+    ids = ["p", "00ff", "00FF", "f", "", None, "\x01ab", "\x00", "石丸", "0123456789abcdef" * 2]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").withColumn("packed", S.packed_id("id"))
+    got = df.select("id", S.unpacked_id(F.col("packed")).alias("back"), "packed").collect()
+    assert [r["back"] for r in got] == ids and len({bytes(r["packed"]) for r in got if r["packed"] is not None}) == len(ids) - 1
